@@ -65,3 +65,11 @@ def local_session(cpus: str | int = "*", memory: str = "8g", partitions: int = 8
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one streaming run, under the shared checkpoint folder."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -154,19 +154,32 @@ class Tables:
             F.struct("is_relevant", "primary_category", "topics", "countries", "entities", "summary",
                      "importance_score", "relevance_score")
         )
+        # one annotator writes bare names instead of objects
+        names = F.transform("entities", lambda e: e["name"])
+        bare = F.to_json(
+            F.struct("is_relevant", "primary_category", "topics", "countries", names.alias("entities"), "summary",
+                     "importance_score", "relevance_score")
+        )
         broken = F.concat(F.lit('{"is_relevant": tr, "n": '), F.col("article_id").cast("string"))
         return a.select(
             "annotation_id", "article_id", "status", "created_at",
             F.when(F.col("status") == "invalid_json", broken)
-            .when(F.col("is_relevant").isNotNull(), body).alias("output_json"),
+            .when(F.col("is_relevant").isNull(), None)
+            .when(F.col("article_id") % 6 == 0, bare)
+            .otherwise(body).alias("output_json"),
         )
 
     # --- feeds and actions ----------------------------------------------------
-    def feed_items(self) -> DataFrame:
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a file stream."""
+        reader = self.spark.readStream.schema(self.raw(name).schema).option("pathGlobFilter", f"{name}.parquet")
+        return reader.parquet(self.path)
+
+    def feed_items(self, documents: DataFrame | None = None) -> DataFrame:
         """Landed feed entries: each document posted under a page's URL."""
         pages = self.raw("pages")
-        n = pages.select(F.count(F.lit(1)).alias("n")).scalar()
-        d = self.raw("documents").select(
+        n = pages.count()
+        d = (self.raw("documents") if documents is None else documents).select(
             "doc_id", "source", (F.col("doc_id") % n).alias("page_id"), F.substring_index("text", "\n", 1).alias("line")
         )
         i = F.col("doc_id")
