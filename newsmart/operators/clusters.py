@@ -16,9 +16,8 @@ from newsmart.session import cut_lineage
 LIST_LIMIT = 10_000  # members up to which a fingerprint reads the id list itself
 
 
-def assign(articles: DataFrame, sources: DataFrame, annotations: DataFrame | None, threshold: float = 0.70) -> DataFrame:
-    """(id, label) for every article; label is the smallest member id."""
-    feats = pairs.features(articles, sources, annotations)
+def assign(feats: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """(id, label) for every feature row; label is the smallest member id."""
     rows, n = pairs.nodes(feats)
     rows, n = cut_lineage(rows), cut_lineage(n)
     comp = pairs.node_components(rows, n, threshold)
@@ -27,20 +26,24 @@ def assign(articles: DataFrame, sources: DataFrame, annotations: DataFrame | Non
     return rows.select("id", "sig", "slot").join(named, ["sig", "slot"]).select("id", "label")
 
 
-def fingerprint(members: DataFrame, by: str = "label") -> DataFrame:
+def assign_articles(articles: DataFrame, sources: DataFrame, annotations: DataFrame | None, threshold: float = 0.70) -> DataFrame:
+    return assign(pairs.features(articles, sources, annotations), threshold)
+
+
+def fingerprint(members: DataFrame, by: list[str]) -> DataFrame:
     """Cluster id from the member ids.
 
     Up to LIST_LIMIT members the digest reads the sorted id list. A larger cluster is digested from
     its count, smallest id and an order-free hash sum, so its ids are never gathered in one row.
     """
-    g = members.groupBy(by).agg(
+    g = members.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mix")
     )
-    small = members.join(g.where(F.col("n") <= LIST_LIMIT).select(by), by, "left_semi")
-    listed = small.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string")), "-").alias("ids"))
+    small = members.join(g.where(F.col("n") <= LIST_LIMIT).select(*by), by, "left_semi")
+    listed = small.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string")), "-").alias("ids"))
     text = F.coalesce("ids", F.concat_ws("-", F.col("n").cast("string"), F.col("first_id").cast("string"), F.col("mix").cast("string")))
     return g.join(listed, by, "left").select(
-        by, F.concat(F.lit("evt_"), F.col("first_id").cast("string"), F.lit("_"), F.substring(F.sha2(text, 256), 1, 16)).alias("cluster_id")
+        *by, F.concat(F.lit("evt_"), F.col("first_id").cast("string"), F.lit("_"), F.substring(F.sha2(text, 256), 1, 16)).alias("cluster_id")
     )
 
 
@@ -98,9 +101,9 @@ def summarise(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def build(articles: DataFrame, sources: DataFrame, annotations: DataFrame, as_of: Column, threshold: float = 0.70) -> tuple[DataFrame, DataFrame]:
     """(clusters, members) with their final ids."""
-    labels = cut_lineage(assign(articles, sources, annotations, threshold))
+    labels = cut_lineage(assign_articles(articles, sources, annotations, threshold))
     scored = scored_members(articles, labels, sources, annotations, as_of)
-    ids = fingerprint(labels)
+    ids = fingerprint(labels, ["label"])
     clusters = summarise(scored).join(ids, "label")
     members = labels.join(ids, "label").join(clusters.select("label", "primary_id"), "label").select(
         "cluster_id", F.col("id").alias("article_id"), (F.col("id") == F.col("primary_id")).alias("is_primary"),

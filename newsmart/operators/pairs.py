@@ -24,7 +24,7 @@ def _has_word(low: Column, terms) -> Column:
 
 
 def features(articles: DataFrame, sources: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
-    """id, at_us, pub_us, source_id and the comparison struct ``f``."""
+    """id, at_us, pub_us, source_id and the comparison struct ``f``, once per article."""
     rows = with_source(articles.select("id", "source_id", "title", "published_at", "collected_at", "primary_category"), sources, ["category"])
     names = None
     if annotations is not None:
@@ -44,10 +44,23 @@ def features(articles: DataFrame, sources: DataFrame, annotations: DataFrame | N
     )
     return rows.select(
         "id", "source_id", F.unix_micros(F.coalesce("published_at", "collected_at")).alias("at_us"),
-        F.unix_micros("published_at").alias("pub_us"), f.alias("f"),
+        F.unix_micros("published_at").alias("pub_us"), f.alias("f"), F.lit("").alias("part"),
     )
 
 
+def by_part(feats: DataFrame, parts: DataFrame, part: str) -> DataFrame:
+    """Repeat features for every part an article belongs to (an edition, say). Parts never link to
+    each other; the working id packs the day number of the part above the article id."""
+    day = F.datediff(F.col(part), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return parts.select("id", part).join(feats.drop("part"), "id").select(
+        F.shiftleft(day, 44).bitwiseOR(F.col("id")).alias("id"), "source_id", "at_us", "pub_us", "f", F.col(part).cast("string").alias("part")
+    )
+
+
+def article_of(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit((1 << 44) - 1))
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """Mean of Jaccard and overlap coefficient on two token sets."""
     both, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
@@ -117,13 +130,19 @@ def is_edge(s: Column, temp: Column, threshold: float) -> Column:
 def proximity(pub_a: Column, pub_b: Column) -> Column:
     """1 at no distance, 0 at 48 hours; 1 when either publication time is missing."""
     gap = F.abs(pub_a - pub_b) / F.lit(3600000000.0)
-    return F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.lit(48.0)), F.lit(1.0))
+    near = F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.lit(48.0))
+    return F.when(gap.isNull(), F.lit(1.0)).otherwise(near)  # greatest() itself skips nulls
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later expressions read instead of repeating (a one-row generate is not inlined)."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     """pairs (a, b) -> score, band and parts."""
     side = lambda p: feats.select(F.col("id").alias(p), F.col("pub_us").alias(f"{p}_pub"), F.col("f").alias(f"{p}_f"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("s", static_score(F.col("a_f"), F.col("b_f")))
+    j = once(pairs.join(side("a"), "a").join(side("b"), "b"), "s", static_score(F.col("a_f"), F.col("b_f")))
     j = j.withColumn("temp", proximity(F.col("a_pub"), F.col("b_pub"))).withColumn("score", final_score(F.col("s"), F.col("temp")))
     return j.withColumn("band", band(F.col("s"), F.col("score"))).drop("a_f", "b_f", "a_pub", "b_pub")
 
@@ -171,7 +190,7 @@ def bounds(threshold: float) -> tuple[float, float, float]:
 
 def _rare_first(sets: DataFrame, column: str) -> DataFrame:
     """(sig, item, size, rn): set items numbered from the rarest."""
-    items = sets.select("sig", F.size(column).alias("size"), F.explode(column).alias("item"))
+    items = sets.select("sig", "part", F.size(column).alias("size"), F.explode(column).alias("item"))
     df = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
     return items.join(df, "item").withColumn("rn", F.row_number().over(Window.partitionBy("sig").orderBy("df", "item")))
 
@@ -193,23 +212,23 @@ def candidate_keys(sets: DataFrame, threshold: float) -> DataFrame:
     """
     t, e, t1 = bounds(threshold)
     tokens = _rare_first(sets, "tokens")
-    titles = tokens.select("sig", F.concat(F.lit("t:"), "item").alias("key"), "size", _must_hit(t).alias("probe"))
+    titles = tokens.select("sig", F.concat("part", F.lit("t:"), "item").alias("key"), "size", _must_hit(t).alias("probe"))
     only = sets.where(F.size("entities") == 1).select("sig", F.get("entities", 0).alias("name"))
     single = tokens.join(only, "sig").select(
-        "sig", F.concat(F.lit("o:"), "name", F.lit("|"), "item").alias("key"), "size", _must_hit(t1).alias("probe")
+        "sig", F.concat("part", F.lit("o:"), "name", F.lit("|"), "item").alias("key"), "size", _must_hit(t1).alias("probe")
     )
     names = _rare_first(sets.where(F.size("entities") > 1), "entities").select(
-        "sig", F.concat(F.lit("e:"), "item").alias("key"), "size", _must_hit(e).alias("probe")
+        "sig", F.concat("part", F.lit("e:"), "item").alias("key"), "size", _must_hit(e).alias("probe")
     )
     flat = F.lit(0).alias("size")
-    numbers = sets.select("sig", F.explode("numbers").alias("n")).select("sig", F.concat(F.lit("n:"), "n").alias("key"), flat, F.lit(True).alias("probe"))
-    long = sets.select("sig", F.explode("entities").alias("name")).where(F.length("name") > 3)
+    numbers = sets.select("sig", "part", F.explode("numbers").alias("n")).select("sig", F.concat("part", F.lit("n:"), "n").alias("key"), flat, F.lit(True).alias("probe"))
+    long = sets.select("sig", "part", F.explode("entities").alias("name")).where(F.length("name") > 3)
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 3), lambda i: F.substr("name", i, F.lit(4))))
-    grams = long.select("sig", "name", F.explode(pieces).alias("item"))
+    grams = long.select("sig", "part", "name", F.explode(pieces).alias("item"))
     df = grams.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
     best = F.row_number().over(Window.partitionBy("sig", "name").orderBy("df", "item"))
-    inside = grams.join(df, "item").withColumn("probe", best == 1).groupBy("sig", "item").agg(F.bool_or("probe").alias("probe")).select(
-        "sig", F.concat(F.lit("g:"), "item").alias("key"), flat, "probe"
+    inside = grams.join(df, "item").withColumn("probe", best == 1).groupBy("sig", "part", "item").agg(F.bool_or("probe").alias("probe")).select(
+        "sig", F.concat("part", F.lit("g:"), "item").alias("key"), flat, "probe"
     )
     return titles.unionByName(single).unionByName(names).unionByName(numbers).unionByName(inside)
 
@@ -224,8 +243,8 @@ def nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = F.col("f")
     conflict = (f["hold"] & (f["cut"] | f["hike"])) | (f["cut"] & f["hike"])
     alone = conflict | (F.size(f["tokens"]) == 0)
-    sig = F.sha2(F.to_json(F.struct(f, F.when(alone, F.col("id")).alias("only"))), 256)
-    rows = feats.select("id", "source_id", "at_us", "pub_us", "f", sig.alias("sig"), F.floor(F.col("at_us") / WINDOW_US).alias("slot"))
+    sig = F.sha2(F.to_json(F.struct(f, "part", F.when(alone, F.col("id")).alias("only"))), 256)
+    rows = feats.select("id", "source_id", "at_us", "pub_us", "f", "part", sig.alias("sig"), F.floor(F.col("at_us") / WINDOW_US).alias("slot"))
     undated = F.when(F.col("pub_us").isNull(), F.col("at_us"))
     n = rows.groupBy("sig", "slot").agg(
         F.min("id").alias("node"), F.min("at_us").alias("lo"), F.max("at_us").alias("hi"), F.min(undated).alias("u_lo"), F.max(undated).alias("u_hi")
@@ -241,8 +260,8 @@ def node_components(rows: DataFrame, n: DataFrame, threshold: float) -> DataFram
     of a block's largest component only with the others. Pairs inside one component cannot
     change the result, so none is lost.
     """
-    sets = cut_lineage(rows.groupBy("sig").agg(F.any_value("f").alias("f")))
-    keys = candidate_keys(sets.select("sig", "f.*"), threshold)
+    sets = cut_lineage(rows.groupBy("sig").agg(F.any_value("f").alias("f"), F.any_value("part").alias("part")))
+    keys = candidate_keys(sets.select("sig", "part", "f.*"), threshold)
     slots = n.select("sig", "slot", "node")
     placed = keys.join(slots, "sig")
     block = ["key", "at"]
@@ -283,9 +302,8 @@ def _verified(found: DataFrame, rows: DataFrame, n: DataFrame, sets: DataFrame,
     # score each pair of feature sets once, whatever the number of slots it meets in
     uniq = pair.select("sa", "sb").distinct()
     fs = lambda p: sets.select(F.col("sig").alias(f"s{p}"), F.col("f").alias(f"f{p}"))
-    scored = uniq.join(fs("a"), "sa").join(fs("b"), "sb").where(compatible(F.col("fa.cat"), F.col("fb.cat"))).select(
-        "sa", "sb", static_score(F.col("fa"), F.col("fb")).alias("s")
-    ).where(is_edge(F.col("s"), F.lit(1.0), threshold))
+    both = uniq.join(fs("a"), "sa").join(fs("b"), "sb").where(compatible(F.col("fa.cat"), F.col("fb.cat")))
+    scored = once(both, "s", static_score(F.col("fa"), F.col("fb"))).select("sa", "sb", "s").where(is_edge(F.col("s"), F.lit(1.0), threshold))
     scored = scored.select("sa", "sb", "s", is_edge(F.col("s"), F.lit(0.0), threshold).alias("always"))
     side = lambda p: n.select(F.col("sig").alias(f"s{p}"), F.col("slot").alias(f"k{p}"), *[F.col(c).alias(f"{c}_{p}") for c in ("node", "lo", "hi", "u_lo", "u_hi")])
     met = pair.join(scored, ["sa", "sb"]).join(side("a"), ["sa", "ka"]).join(side("b"), ["sb", "kb"])

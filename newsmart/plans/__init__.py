@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "feeds", "ingest", "clusters"]
+MODULES = ["scalars", "feeds", "ingest", "clusters", "editions"]
 
 
 def load_all():

@@ -47,7 +47,8 @@ def compare_sql(pairs_sql):
    {common} AS m, len(list_distinct(list_concat(x.ent, y.ent))) AS eu,
    CASE WHEN x.cat <> '' AND x.cat = y.cat THEN 1.0e0 ELSE 0.5e0 END AS cm, len(x.num) > 0 AND len(y.num) > 0 AS marked, len(list_intersect(x.num, y.num)) > 0 AS shared,
    (x.hold AND (y.cut OR y.hike)) OR (y.hold AND (x.cut OR x.hike)) OR (x.cut AND y.hike) OR (y.cut AND x.hike) OR (x.earn AND y.launch AND NOT y.earn) OR (y.earn AND x.launch AND NOT x.earn) AS act,
-   coalesce(greatest(0.0e0, 1.0e0 - abs(epoch_us(x.published_at) - epoch_us(y.published_at)) / 3600000000.0e0 / 48.0e0), 1.0e0) AS temp
+   CASE WHEN x.published_at IS NULL OR y.published_at IS NULL THEN 1.0e0
+     ELSE greatest(0.0e0, 1.0e0 - abs(epoch_us(x.published_at) - epoch_us(y.published_at)) / 3600000000.0e0 / 48.0e0) END AS temp
   FROM ({pairs_sql})))))"""
 
 
@@ -117,7 +118,7 @@ _edges = f"""edge AS (SELECT a, b FROM {compare_sql(candidates_sql())} WHERE ban
 
 @query("G2 G5 D8", f"WITH RECURSIVE {_edges} SELECT id, label FROM label")
 def article_components(t):
-    return clusters.assign(t.articles(), t.sources(), t.annotations(), 0.70)
+    return clusters.assign_articles(t.articles(), t.sources(), t.annotations(), 0.70)
 
 
 @query("G2", """
@@ -170,5 +171,5 @@ def cluster_members(t):
 WITH RECURSIVE {_edges} SELECT CAST(sum(n) AS BIGINT) AS articles, count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n > 1) AS multis, max(n) AS largest,
  {s.rnd('(1.0e0 - count(*) / sum(n)) * 100.0e0', 2)} AS compression_pct FROM (SELECT label, count(*) AS n FROM label GROUP BY 1)""")
 def cluster_compression(t):
-    sizes = clusters.assign(t.articles(), t.sources(), t.annotations(), 0.70).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = clusters.assign_articles(t.articles(), t.sources(), t.annotations(), 0.70).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return clusters.compression(sizes)

@@ -28,6 +28,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; leave sizing to the cluster."""
     for key, value in {**RESULT_CONF, **ADAPTIVE_CONF}.items():
         spark.conf.set(key, value)
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(8, sc.defaultParallelism)))  # the default suits a cluster
     return spark
 
 
