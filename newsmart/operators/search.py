@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsmart.operators.joins import with_source
+from newsmart import lexicon as lx
+from newsmart.functions import dates
+from newsmart.functions.numbers import round_half_up
+from newsmart.functions.text import WORD, str_array, strip, words
+from newsmart.operators.annotations import pick_annotation
+from newsmart.operators.joins import broadcast_if_small, with_source
+from newsmart.session import cut_lineage
 
 
 def _clean(values, change) -> list[str]:
@@ -66,3 +72,187 @@ def score_facet(articles: DataFrame, annotations: DataFrame, relevant_only=False
     for k in flags:
         g = g.where(F.col(k))
     return articles.join(g.select("id"), "id", "left_semi")
+
+
+# --- queries ---------------------------------------------------------------------
+def query_terms(queries: DataFrame) -> DataFrame:
+    """Adds match tokens, ranking terms, expansion terms, triggered rules and the boolean expression."""
+    q = F.trim(F.col("question"))
+    low = F.lower(q)
+    raw = words(low)
+    keep = lambda arr, stop, n: F.filter(arr, lambda w: ~w.isin(stop) & (F.length(w) > n))
+    rule_words = keep(
+        F.filter(F.regexp_extract_all(low, F.lit(rf"[{WORD}]+"), F.lit(0)), lambda w: w != ""), lx.EXPANSION_STOPWORDS, 1
+    )
+    names = list(lx.EXPANSION_RULES)
+    rules = F.array(*[F.struct(F.lit(k).alias("k"), str_array(v).alias("v")) for k, v in lx.EXPANSION_RULES.items()])
+    phrases = F.filter(rules, lambda r: r["k"].contains(" ") & low.contains(r["k"]))
+    singles = F.filter(rules, lambda r: F.array_contains(rule_words, r["k"]))
+    hit = F.flatten(F.transform(F.concat(phrases, singles), lambda r: r["v"]))
+    expanded = F.array_sort(F.array_distinct(F.filter(hit, lambda e: ~F.array_contains(rule_words, e) & (e != low))))
+    fired = F.concat(
+        F.transform(phrases, lambda r: F.concat(F.lit("PHRASE:'"), r["k"], F.lit("'"))),
+        F.transform(
+            F.array_distinct(F.filter(rule_words, lambda w: w.isin(names))), lambda w: F.concat(F.lit("TOKEN:'"), w, F.lit("'"))
+        ),
+    )
+    part = lambda arr, sep: F.concat(F.lit("("), F.array_join(arr, sep), F.lit(")"))
+    spaced = F.transform(expanded, lambda e: F.replace(e, F.lit(" "), F.lit(" & ")))
+    expression = F.concat_ws(
+        " | ", F.when(F.size(rule_words) > 0, part(rule_words, " & ")), F.when(F.size(expanded) > 0, part(spaced, " | "))
+    )
+    return queries.select(
+        "*", low.alias("q_low"), F.array_distinct(keep(raw, lx.SEARCH_STOPWORDS, 1)).alias("tokens"), F.filter(raw, lambda w: F.length(w) > 2).alias("terms"),
+        rule_words.alias("rule_words"), expanded.alias("expanded"), F.array_distinct(fired).alias("rules"),
+        F.when(expression != "", expression).otherwise(q).alias("expression"),
+    )
+
+
+# --- matching ----------------------------------------------------------------------
+def searchable(articles: DataFrame, annotations: DataFrame, sources: DataFrame) -> DataFrame:
+    """Lower-case text rows (id, at, core, extra): one per article and one per annotation of it.
+
+    ``core`` is what tokens and expansions may match, ``extra`` what only tokens may.
+    """
+    a = with_source(articles.select("id", "source_id", "title", "raw_summary", "published_at", "collected_at", "primary_category"), sources, ["name"])
+    a = a.withColumn("at", F.coalesce("published_at", "collected_at"))
+    none = F.array().cast("array<string>")
+    names = F.coalesce(F.transform("entities", lambda e: F.concat_ws("\n", e["name"], e["type"])), none)
+    parts = F.concat(F.array(F.coalesce("summary", F.lit(""))), F.coalesce("topics", none), F.coalesce("countries", none), names)
+    n = annotations.select(F.col("article_id").alias("id"), F.lower(F.array_join(parts, "\n")).alias("core"))
+    return a.select(
+        "id", "at", F.lower(F.concat_ws("\n", "title", "raw_summary")).alias("core"), F.lower(F.concat_ws("\n", "primary_category", "source_name")).alias("extra")
+    ).unionByName(n.join(a.select("id", "at"), "id").withColumn("extra", F.lit("")))
+
+
+def pieces(c: Column) -> Column:
+    """Distinct two- and three-letter pieces of a word."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+    return F.array_distinct(F.concat(cut(2), cut(3)))
+
+
+def matches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (token, kind) -> (token, kind, id, at): exact substring matches without testing every pair.
+
+    A token without blanks lies inside one word, so tokens meet the distinct vocabulary on their
+    first letters, are verified there once, and only matching words are looked up in the
+    articles. A phrase is looked up by its first word and verified in the text.
+    """
+    part = F.element_at(F.split("token", " "), 1)
+    tok = cut_lineage(wanted.where(F.col("token") != "").distinct().withColumn("part", part).withColumn("piece", F.substring(part, 1, 3)))
+    vocab = docs.select(F.explode(words(F.concat_ws("\n", "core", "extra"))).alias("word")).distinct()
+    found = cut_lineage(
+        vocab.select("word", F.explode(pieces(F.col("word"))).alias("piece")).join(broadcast_if_small(tok.select("part", "piece").distinct()), "piece")
+        .where(F.col("word").contains(F.col("part"))).select("word", "part").distinct()
+    )
+    row = lambda c, core: docs.select("id", "at", F.explode(F.array_distinct(words(F.col(c)))).alias("word"), F.lit(core).alias("core"))
+    hits = row("core", True).unionByName(row("extra", False)).join(broadcast_if_small(found), "word").groupBy("part", "id", "at").agg(F.bool_or("core").alias("core"))
+    m = hits.join(broadcast_if_small(tok.drop("piece")), "part").where((F.col("kind") == "token") | F.col("core"))
+    plain = m.where(~F.col("token").contains(" ")).select("token", "kind", "id", "at")
+    phrase = m.where(F.col("token").contains(" ")).join(docs.select("id", F.col("core").alias("txt")), "id").where(F.col("txt").contains(F.col("token")))
+    return plain.unionByName(phrase.select("token", "kind", "id", "at").distinct())
+
+
+def candidate_pool(queries: DataFrame, docs: DataFrame, pool: int, expansion: bool) -> DataFrame:
+    """(query_id, id): the ``pool`` newest matching articles of each query.
+
+    Tokens are shared between queries, and each (token, date scope) keeps only its newest ``pool``
+    articles, which always contain the query's newest ``pool``. The rank filter runs before the
+    shuffle, so a token that matches a third of the archive sends ``pool`` rows per task.
+    """
+    lists = [F.transform("tokens", lambda w: F.struct(w.alias("token"), F.lit("token").alias("kind")))]
+    if expansion:
+        lists.append(F.transform("expanded", lambda w: F.struct(w.alias("token"), F.lit("expansion").alias("kind"))))
+    every = F.concat(*lists)
+    none = F.array(F.struct(F.lit("").alias("token"), F.lit("all").alias("kind")))
+    scope = ["from_at", "to_at"]
+    asked = queries.select("query_id", *scope, F.explode(F.when(F.size(every) > 0, every).otherwise(none)).alias("w")).select("query_id", *scope, "w.*")
+    found = matches(docs, asked.select("token", "kind"))
+    if not asked.where(F.col("token") == "").isEmpty():
+        found = found.unionByName(docs.select(F.lit("").alias("token"), F.lit("all").alias("kind"), "id", "at").distinct())
+    scopes = asked.select("token", "kind", *scope).distinct()
+    inside = F.coalesce(F.col("at") >= F.col("from_at"), F.lit(True)) & F.coalesce(F.col("at") <= F.col("to_at"), F.lit(True))
+    key = ["token", "kind", *scope]
+    newest = [F.col("at").desc(), F.col("id").desc()]
+    top = found.join(broadcast_if_small(scopes), ["token", "kind"]).where(inside)
+    top = top.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(*newest))).where(F.col("rn") <= pool)
+    same = [asked[k].eqNullSafe(top[k]) for k in key]
+    mine = asked.join(top, same[0] & same[1] & same[2] & same[3]).select(asked["query_id"], top["id"], top["at"]).distinct()
+    return mine.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy(*newest))).where(F.col("ord") <= pool).drop("at")
+
+
+# --- ranking -------------------------------------------------------------------------
+def rank(pairs: DataFrame, queries: DataFrame, articles: DataFrame, annotations: DataFrame, sources: DataFrame, as_of: Column,
+         expansion: bool = False, rerank: bool = False) -> DataFrame:
+    """Hybrid score, match origin and match tags for (query, article) candidates."""
+    no = F.array().cast("array<string>")
+    latest = pick_annotation(annotations).select(
+        F.col("article_id").alias("id"), F.col("summary").alias("a_sum"), "topics", F.transform("entities", lambda e: e["name"]).alias("names"),
+        "relevance_score", "importance_score",
+    )
+    a = with_source(articles.select("id", "source_id", "title", "raw_summary", "published_at", "collected_at"), sources, ["trust_tier"])
+    need = pairs.select("id").distinct()
+    rows = pairs.join(a.join(need, "id", "left_semi").join(latest, "id", "left"), "id").join(
+        queries.select("query_id", "q_low", "terms", "expanded", (F.col("from_at").isNotNull() | F.col("to_at").isNotNull()).alias("dated")), "query_id"
+    )
+    title, summ, note = F.lower("title"), F.lower(F.coalesce("raw_summary", F.lit(""))), F.lower(F.coalesce("a_sum", F.lit("")))
+    terms = F.col("terms")
+    extra = F.filter("expanded", lambda e: F.length(e) > 2) if expansion else no
+    body = lambda t: summ.contains(t) | note.contains(t)
+    full = title.contains(F.col("q_low"))
+    in_title, in_body = F.exists(terms, lambda t: title.contains(t)), F.exists(terms, body)
+    e_title, e_body = F.exists(extra, lambda t: title.contains(t)), F.exists(extra, body)
+    pts = F.when(full, F.lit(50.0)).when(in_title, F.lit(30.0)).otherwise(F.lit(0.0)) + F.when(in_body, F.lit(15.0)).otherwise(F.lit(0.0))
+    anywhere = lambda arr: F.size(F.filter(arr, lambda t: title.contains(t) | body(t)))
+    if rerank:
+        pts = pts + anywhere(terms) * F.lit(8.0) + F.when((F.size(terms) > 0) & F.forall(terms, lambda t: title.contains(t)), F.lit(15.0)).otherwise(F.lit(0.0))
+        pts = pts + anywhere(extra) * F.lit(4.0)
+    elif expansion:
+        pts = pts + F.when(e_title, F.lit(10.0)).otherwise(F.lit(0.0)) + F.when(e_body, F.lit(5.0)).otherwise(F.lit(0.0))
+    topics = F.transform(F.coalesce("topics", no), lambda x: F.regexp_replace(strip(x), "^#+", ""))
+    labels = F.concat(topics, F.coalesce("names", no))
+    direct = lambda x: F.exists(terms, lambda t: F.lower(x).contains(t)) | F.lower(x).contains(F.col("q_low"))
+    loose = lambda x: ~direct(x) & F.exists(extra, lambda t: F.lower(x).contains(t))
+    hit = F.filter(labels, direct)
+    pts = pts + F.size(hit) * F.lit(15.0) + F.size(F.filter(labels, loose)) * F.lit(5.0)
+    rel, imp = F.coalesce(F.col("relevance_score").cast("double"), F.lit(70.0)), F.coalesce(F.col("importance_score").cast("double"), F.lit(50.0))
+    age = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(F.coalesce("published_at", "collected_at"))) / F.lit(86400000000.0))
+    span = F.when(F.col("dated"), F.lit(180.0)).otherwise(F.lit(365.0)) if rerank else F.lit(180.0)
+    recency = F.greatest(F.lit(0.0), F.lit(1.0) - age / span) * F.lit(5.0)
+    tier = F.coalesce("source_trust_tier", F.lit(""))
+    trust = F.when(tier == "institutional", 5.0).when(tier == "primary", 3.0).when(tier == "secondary", 1.0).otherwise(0.0) if rerank else F.lit(0.0)
+    w_rel, w_imp = (0.25, 0.20) if rerank else (0.15, 0.15)
+    total = round_half_up(pts + rel * F.lit(w_rel) + imp * F.lit(w_imp) + recency + trust, 2)
+    own, exp = full | in_title | in_body, e_title | e_body
+    origin = F.when(own & exp, F.lit("BOTH")).when(own, F.lit("ORIGINAL_QUERY")).when(exp, F.lit("EXPANSION")).otherwise(F.lit("ORIGINAL_QUERY"))
+    heads = F.array_compact(
+        F.array(
+            F.when(full, F.concat(F.substring("title", 1, 30), F.lit("..."))),
+            F.when(e_title, F.concat(F.lit("(exp) "), F.substring("title", 1, 25), F.lit("..."))) if expansion and not rerank else F.lit(None).cast("string"),
+        )
+    )
+    return rows.select("query_id", "id", "ord", total.alias("score"), origin.alias("origin"), F.slice(F.array_distinct(F.concat(heads, hit)), 1, 5).alias("tags"))
+
+
+def paged(ranked: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
+    """One page per query in score order, with pool totals; a page past the end is clamped."""
+    q = Window.partitionBy("query_id")  # at most the pool size of rows
+    r = ranked.withColumn("rank", F.row_number().over(q.orderBy(F.desc("score"), "ord"))).withColumn("pool_size", F.count(F.lit(1)).over(q))
+    r = r.withColumn("total_pages", F.ceil(F.col("pool_size") / size)).withColumn("page", F.least(F.lit(page), F.col("total_pages")))
+    return r.where((F.col("rank") > (F.col("page") - 1) * size) & (F.col("rank") <= F.col("page") * size))
+
+
+def scope_bounds(queries: DataFrame) -> DataFrame:
+    """Local date_from / date_to as UTC instants."""
+    return queries.withColumn("from_at", dates.day_start(F.col("date_from"))).withColumn("to_at", dates.day_end_inclusive(F.col("date_to")))
+
+
+def run(queries: DataFrame, articles: DataFrame, annotations: DataFrame, sources: DataFrame, as_of: Column, pool: int = 40,
+        relevant_only: bool = False, expansion: bool = False, rerank: bool = False) -> DataFrame:
+    """Ranked candidates of every query at once. ``queries``: query_id, question, date_from, date_to."""
+    rows = articles.where(dates.not_future(F.col("published_at"), as_of))
+    rows = score_facet(rows, annotations, relevant_only=relevant_only)
+    q = cut_lineage(query_terms(scope_bounds(queries)))
+    docs = searchable(rows, annotations, sources)
+    pool_rows = cut_lineage(candidate_pool(q, docs, pool, expansion))
+    return rank(pool_rows, q, rows, annotations, sources, as_of, expansion, rerank)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "feeds", "ingest", "clusters", "editions"]
+MODULES = ["scalars", "feeds", "ingest", "clusters", "editions", "search"]
 
 
 def load_all():
