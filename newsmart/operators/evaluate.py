@@ -9,6 +9,7 @@ from newsmart.functions import dates
 from newsmart.functions.numbers import round_half_up
 from newsmart.functions.text import words
 from newsmart.operators.joins import broadcast_if_small
+from newsmart.operators.pairs import once
 
 
 def gold_by_passage(questions: DataFrame, documents: DataFrame, inner: int = 4) -> DataFrame:
@@ -19,9 +20,10 @@ def gold_by_passage(questions: DataFrame, documents: DataFrame, inner: int = 4)
     """
     w = words(F.col("passage"))
     key = questions.select("query_id", "passage", F.array_join(F.slice(w, 2, inner), " ").alias("run"))
-    d = words(F.col("text"))
+    split = once(documents.select(F.col("doc_id").alias("id"), "text"), "w", words(F.col("text"))).select("id", "w")
+    d = F.col("w")
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(d) - inner + 1, F.lit(1))), lambda i: F.array_join(F.slice(d, i, inner), " "))
-    places = documents.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(runs)).alias("run"))
+    places = split.select("id", F.explode(runs).alias("run"))
     met = places.join(broadcast_if_small(key.select("run").distinct()), "run").join(key.select("query_id", "run"), "run").select("query_id", "id").distinct()
     both = met.join(questions.select("query_id", "passage"), "query_id").join(documents.select(F.col("doc_id").alias("id"), "text"), "id")
     return both.where(F.col("text").contains(F.col("passage"))).select("query_id", "id")

@@ -126,9 +126,9 @@ def searchable(articles: DataFrame, annotations: DataFrame, sources: DataFrame)
 
 
 def pieces(c: Column) -> Column:
-    """Distinct two- and three-letter pieces of a word."""
+    """Distinct pieces of two to four letters of a word."""
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
-    return F.array_distinct(F.concat(cut(2), cut(3)))
+    return F.array_distinct(F.concat(cut(2), cut(3), cut(4)))
 
 
 def matches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def matches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     articles. A phrase is looked up by its first word and verified in the text.
     """
     part = F.element_at(F.split("token", " "), 1)
-    tok = cut_lineage(wanted.where(F.col("token") != "").distinct().withColumn("part", part).withColumn("piece", F.substring(part, 1, 3)))
+    tok = cut_lineage(wanted.where(F.col("token") != "").distinct().withColumn("part", part).withColumn("piece", F.substring(part, 1, 4)))
     vocab = docs.select(F.explode(words(F.concat_ws("\n", "core", "extra"))).alias("word")).distinct()
     found = cut_lineage(
         vocab.select("word", F.explode(pieces(F.col("word"))).alias("piece")).join(broadcast_if_small(tok.select("part", "piece").distinct()), "piece")

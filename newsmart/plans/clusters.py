@@ -64,7 +64,7 @@ def candidates_sql(feat="feat"):
 WITH p AS (SELECT x.id AS a, y.id AS b FROM ({candidates_sql('plain_feat')}))
 SELECT id, count(a) AS partners FROM article LEFT JOIN (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) ON a = id GROUP BY 1""")
 def candidate_partner_counts(t):
-    return pairs.partner_counts(pairs.features(t.articles(), t.sources()))
+    return pairs.partner_counts(pairs.features(t.articles(heavy=True), t.sources()))
 
 
 # consecutive articles and consecutive repeats of one title: a labelled set that grows with the archive
@@ -73,7 +73,7 @@ _lab = """(SELECT id AS a, lead(id) OVER (ORDER BY id) AS b, 'next_id' AS kind F
 
 
 def labelled_pairs(t):
-    a = t.articles().select("id", "title")
+    a = t.articles(heavy=True).select("id", "title")
     step = a.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     nxt = step.join(a.select(F.col("id").alias("b")), "b").select("a", "b", F.lit("next_id").alias("kind"))
     # a repeat's successor: the smallest larger id of the same title, found inside id ranges of fixed width
@@ -87,7 +87,7 @@ def labelled_pairs(t):
 SELECT p.kind, c.a, c.b, {s.rnd('ts', 6)} AS title_sim, {s.rnd('es', 6)} AS entity_sim, CAST(m AS INT) AS matches, nm AS numeric_match, nc AS numeric_conflict, act AS action_conflict, score, band
 FROM {compare_sql(f"SELECT x, y FROM {_lab} p JOIN feat x ON x.id = p.a JOIN feat y ON y.id = p.b GROUP BY x, y")} c JOIN {_lab} p ON p.a = c.a AND p.b = c.b""")
 def pair_similarity(t):
-    feats = pairs.features(t.articles(), t.sources(), t.annotations())
+    feats = pairs.features(t.articles(heavy=True), t.sources(), t.annotations())
     r = pairs.score_pairs(labelled_pairs(t), feats)
     x = F.col("s")
     return r.select(
@@ -105,7 +105,7 @@ SELECT tp, fp, fn, tn, {s.rnd('tp / (tp + fp)', 6)} AS precision, {s.rnd('tp / (
 FROM (SELECT count(*) FILTER (WHERE expected AND predicted) AS tp, count(*) FILTER (WHERE NOT expected AND predicted) AS fp,
  count(*) FILTER (WHERE expected AND NOT predicted) AS fn, count(*) FILTER (WHERE NOT expected AND NOT predicted) AS tn FROM {_conf})""")
 def pair_confusion(t):
-    feats = pairs.features(t.articles(), t.sources(), t.annotations())
+    feats = pairs.features(t.articles(heavy=True), t.sources(), t.annotations())
     r = pairs.score_pairs(labelled_pairs(t), feats).select((F.col("kind") == "same_title").alias("e"), (F.col("band") == "HIGH_CONFIDENCE").alias("p"))
     return clusters.confusion(r)
 
@@ -118,7 +118,7 @@ _edges = f"""edge AS (SELECT a, b FROM {compare_sql(candidates_sql())} WHERE ban
 
 @query("G2 G5 D8", f"WITH RECURSIVE {_edges} SELECT id, label FROM label")
 def article_components(t):
-    return clusters.assign_articles(t.articles(), t.sources(), t.annotations(), 0.70)
+    return clusters.assign_articles(t.articles(heavy=True), t.sources(), t.annotations(), 0.70)
 
 
 @query("G2", """
@@ -152,7 +152,7 @@ CLUSTERS_SQL = f"""{_edges},
 WITH RECURSIVE {CLUSTERS_SQL} SELECT cluster_id, canonical_title, primary_id, category, distinct_source_count, article_count, cluster_score, primary_score,
  {s.fmt_ts('earliest_at')} AS earliest_at, {s.fmt_ts('latest_at')} AS latest_at FROM cl""")
 def event_clusters(t):
-    c, _ = clusters.build(t.articles(), t.sources(), t.annotations(), dates.ts(AS_OF))
+    c, _ = clusters.build(t.articles(heavy=True), t.sources(), t.annotations(), dates.ts(AS_OF))
     return c.select(
         "cluster_id", "canonical_title", "primary_id", "category", "distinct_source_count", "article_count", "cluster_score", "primary_score",
         stamp(F.col("earliest_at")).alias("earliest_at"), stamp(F.col("latest_at")).alias("latest_at"),
@@ -163,7 +163,7 @@ def event_clusters(t):
 WITH RECURSIVE {CLUSTERS_SQL} SELECT cluster_id, m.id AS article_id, m.id = primary_id AS is_primary, CASE WHEN m.id = primary_id THEN 'PRIMARY' ELSE 'SUPPORTING' END AS relationship,
  CASE WHEN m.id = primary_id THEN 1.0e0 ELSE 0.85e0 END AS similarity FROM mem m JOIN cl USING (label)""")
 def cluster_members(t):
-    _, m = clusters.build(t.articles(), t.sources(), t.annotations(), dates.ts(AS_OF))
+    _, m = clusters.build(t.articles(heavy=True), t.sources(), t.annotations(), dates.ts(AS_OF))
     return m
 
 
@@ -171,5 +171,5 @@ def cluster_members(t):
 WITH RECURSIVE {_edges} SELECT CAST(sum(n) AS BIGINT) AS articles, count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n > 1) AS multis, max(n) AS largest,
  {s.rnd('(1.0e0 - count(*) / sum(n)) * 100.0e0', 2)} AS compression_pct FROM (SELECT label, count(*) AS n FROM label GROUP BY 1)""")
 def cluster_compression(t):
-    sizes = clusters.assign_articles(t.articles(), t.sources(), t.annotations(), 0.70).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = clusters.assign_articles(t.articles(heavy=True), t.sources(), t.annotations(), 0.70).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return clusters.compression(sizes)

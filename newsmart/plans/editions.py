@@ -69,16 +69,16 @@ def built(t):
     """Edition clusters and decisions, computed once per session and folder."""
     key = (t.spark.sparkContext.applicationId, t.path)
     if key not in _built:
-        cl, mem = selection.edition_clusters(t.articles(), t.sources(), t.annotations(), as_of())
+        cl, mem = selection.edition_clusters(t.articles(heavy=True), t.sources(), t.annotations(), as_of())
         cl = cut_lineage(cl)
-        plain = pairs.features(t.articles(), t.sources())
+        plain = pairs.features(t.articles(heavy=True), t.sources())
         _built[key] = (cl, mem, cut_lineage(selection.select_events(cl, plain)))
     return _built[key]
 
 
 @query("C12 B7", "SELECT CAST(edition_date AS VARCHAR) AS edition, id FROM placed")
 def edition_candidates(t):
-    ok = selection.eligible(t.articles(), t.sources(), t.annotations(), as_of())
+    ok = selection.eligible(t.articles(heavy=True), t.sources(), t.annotations(), as_of())
     return selection.edition_windows(ok).select(F.col("edition_date").cast("string").alias("edition"), "id")
 
 
@@ -122,7 +122,7 @@ SELECT CAST(i.edition_date AS VARCHAR) AS edition, i.cluster_id, string_agg(CAST
 FROM ids i JOIN plain_feat p ON p.id = i.id LEFT JOIN source_dim s ON s.id = p.source_id GROUP BY 1, 2""")
 def evidence_packs(t):
     _, mem, dec = built(t)
-    p = evidence.packs(selection.with_roles(dec), built(t)[0], mem, t.articles(), t.sources(), t.annotations())
+    p = evidence.packs(selection.with_roles(dec), built(t)[0], mem, t.articles(heavy=True), t.sources(), t.annotations())
     ids = F.transform("evidence_ids", lambda i: i.cast("string"))
     return p.select(
         F.col("edition_date").cast("string").alias("edition"), "cluster_id", F.array_join(ids, ",").alias("evidence_ids"),
@@ -149,7 +149,7 @@ def prose(t):
         "edition_date", "cluster_id", F.concat(F.lit("Generated: "), "canonical_title").alias("headline"),
         F.concat(F.lit("Generated: "), "canonical_title").alias("summary"),
     )
-    return evidence.prose_or_fallback(ev, gen, t.articles(), t.annotations())
+    return evidence.prose_or_fallback(ev, gen, t.articles(heavy=True), t.annotations())
 
 
 @query("V4", f"""
@@ -227,7 +227,7 @@ _pool = f"""pool0 AS (SELECT *, {_ld} AS edition_date FROM article WHERE eff_at
 
 @query("C13 C14", f"WITH {_pool} SELECT CAST(edition_date AS VARCHAR) AS edition, reason, count(*) AS n FROM rsn GROUP BY ALL")
 def edition_exclusions(t):
-    r = daily.with_reason(daily.pool(t.articles(), as_of()), t.annotations(), t.sources())
+    r = daily.with_reason(daily.pool(t.articles(heavy=True), as_of()), t.annotations(), t.sources())
     return r.groupBy(F.col("edition_date").cast("string").alias("edition"), "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -255,12 +255,12 @@ ARTICLE_EDITION_SQL = f"""{_pool},
 
 @query("W14", f"WITH RECURSIVE {ARTICLE_EDITION_SQL} SELECT CAST(edition_date AS VARCHAR) AS edition, id, outcome FROM dec")
 def article_caps(t):
-    rows = cut_lineage(daily.scored(daily.with_reason(daily.pool(t.articles(), as_of()), t.annotations(), t.sources()), t.article_countries()))
+    rows = cut_lineage(daily.scored(daily.with_reason(daily.pool(t.articles(heavy=True), as_of()), t.annotations(), t.sources()), t.article_countries()))
     return daily.select_articles(rows).select(F.col("edition_date").cast("string").alias("edition"), "id", "outcome")
 
 
 def finals(t):
-    rows = cut_lineage(daily.scored(daily.with_reason(daily.pool(t.articles(), as_of()), t.annotations(), t.sources()), t.article_countries()))
+    rows = cut_lineage(daily.scored(daily.with_reason(daily.pool(t.articles(heavy=True), as_of()), t.annotations(), t.sources()), t.article_countries()))
     return daily.rescored(rows, daily.select_articles(rows))
 
 
@@ -290,13 +290,13 @@ def article_sections(t):
 
 @query("W17")
 def unique_edition_articles(t):
-    rows = cut_lineage(daily.scored(daily.with_reason(daily.pool(t.articles(), as_of()), t.annotations(), t.sources()), t.article_countries()))
+    rows = cut_lineage(daily.scored(daily.with_reason(daily.pool(t.articles(heavy=True), as_of()), t.annotations(), t.sources()), t.article_countries()))
     return daily.suppress_duplicates(rows).select(F.col("edition_date").cast("string").alias("edition"), "id")
 
 
 @query("W18 W17 W14 W15 W16")
 def article_editions(t):
-    r = daily.build(t.articles(), t.sources(), t.annotations(), t.article_countries(), as_of())
+    r = daily.build(t.articles(heavy=True), t.sources(), t.annotations(), t.article_countries(), as_of())
     return r.select(F.col("edition_date").cast("string").alias("edition"), "section", "position", "id", F.col("s.score").alias("score"), F.col("selection_reason").alias("reason"))
 
 
@@ -316,6 +316,6 @@ def edition_distributions(t):
 
 @query("B16")
 def headline_similarities(t):
-    a = t.articles().select("id", "title")
+    a = t.articles(heavy=True).select("id", "title")
     p = labelled_pairs(t).join(a.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a").join(a.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
     return p.select("kind", "a", "b", round_half_up(similarity.headline_similarity(F.col("ta"), F.col("tb")), 4).alias("similarity"))

@@ -142,7 +142,7 @@ def title_entities(t):
 SELECT doc_id AS id, {s.sorted_join(s.numeric_markers('text'))} AS markers, {s.sorted_join(s.numeric_tokens('text'))} AS numbers
 FROM documents""")
 def document_numbers(t):
-    return t.raw("documents").select(
+    return t.spread("documents").select(
         F.col("doc_id").alias("id"), joined(text.numeric_markers(F.col("text"))).alias("markers"),
         joined(text.numeric_tokens(F.col("text"))).alias("numbers"),
     )
@@ -382,7 +382,7 @@ _hits = "list_filter([" + ", ".join(
 @query("B32", f"SELECT doc_id AS id, {_rel} AS relationship, array_to_string(h, ',') AS patterns FROM (SELECT doc_id, {_hits} AS h FROM documents)")
 def market_moving_documents(t):
     r = markets.market_moving(F.col("text"))
-    return t.raw("documents").select(F.col("doc_id").alias("id"), r.alias("r")).select(
+    return t.spread("documents").select(F.col("doc_id").alias("id"), r.alias("r")).select(
         "id", "r.relationship", F.array_join(F.col("r.patterns").cast("array<string>"), ",").alias("patterns")
     )
 
@@ -648,7 +648,7 @@ def prioritised(t, reasons=True):
     from newsmart.operators.joins import with_source
 
     a = with_source(
-        t.articles().select("id", "source_id", "title", "raw_summary", "published_at", "collected_at", "primary_category"),
+        t.articles(heavy=True).select("id", "source_id", "title", "raw_summary", "published_at", "collected_at", "primary_category"),
         t.sources(), ["trust_tier", "source_family", "category"],
     )
     r = scoring.queue_priority(

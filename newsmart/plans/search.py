@@ -92,7 +92,7 @@ TAGS = "array_to_string(list_filter(tags0, lambda x, i: list_position(tags0, x)
 
 def searched(t, **kw):
     q = scoped_questions(t)
-    return search.run(q, t.articles(), t.annotations(), t.sources(), as_of(), POOL, **kw)
+    return search.run(q, t.articles(heavy=True), t.annotations(), t.sources(), as_of(), POOL, **kw)
 
 
 @query("B30 B31", """
@@ -110,7 +110,7 @@ def expanded_queries(t):
 @query("C9 W5", f"WITH {ranked_sql('r')} SELECT query_id, id, ord FROM r_c")
 def search_candidates(t):
     q = search.query_terms(search.scope_bounds(scoped_questions(t)))
-    rows = t.articles().where(dates.not_future(F.col("published_at"), as_of()))
+    rows = t.articles(heavy=True).where(dates.not_future(F.col("published_at"), as_of()))
     docs = search.searchable(rows, t.annotations(), t.sources())
     return search.candidate_pool(cut_lineage(q), docs, POOL, False).select("query_id", "id", F.col("ord").cast("bigint").alias("ord"))
 
@@ -120,7 +120,7 @@ def fulltext_matches(t):
     """Stemmed boolean matches of the questions' expressions on title and summary."""
     from newsmart.operators.fulltext import fulltext
 
-    rows = t.articles().where(dates.not_future(F.col("published_at"), as_of()))
+    rows = t.articles(heavy=True).where(dates.not_future(F.col("published_at"), as_of()))
     return fulltext(search.query_terms(search.scope_bounds(scoped_questions(t))), rows, t.annotations()).select("query_id", "id", "field")
 
 
@@ -148,7 +148,7 @@ _rec = f"""{ranked_sql('r', relevant=True)},
 
 def records(t):
     page = search.paged(searched(t, relevant_only=True), 1, 10)
-    return answers.evidence_records(page, t.articles(), t.annotations(), t.sources())
+    return answers.evidence_records(page, t.articles(heavy=True), t.annotations(), t.sources())
 
 
 @query("V5", f"""
@@ -174,7 +174,7 @@ s.cte("gold", "SELECT q.query_id, d.doc_id AS id, d.doc_id % 3 <> 1 AS core FROM
 
 
 def gold(t):
-    g = evaluate.gold_by_passage(t.questions().select("query_id", "passage"), t.raw("documents").select("doc_id", "text"))
+    g = evaluate.gold_by_passage(t.questions().select("query_id", "passage"), t.spread("documents").select("doc_id", "text"))
     split = g.where(F.col("id") % 3 == 1).select("query_id", "id", F.lit(False).alias("is_core"))
     return cut_lineage(evaluate.split_gold(g, split))
 
@@ -257,7 +257,7 @@ WITH {ranked_sql('a')}, f AS (SELECT CASE WHEN x.id IS NULL THEN 'NOT_IN_ARCHIVE
 SELECT cause, count(*) AS n, (SELECT count(*) FROM gold) AS total FROM f GROUP BY 1""")
 def retrieval_failures(t):
     g = gold(t).select("query_id", "id")
-    c = evaluate.failure_class(g, evaluate.ranked_positions(searched(t)), t.articles(), as_of())
+    c = evaluate.failure_class(g, evaluate.ranked_positions(searched(t)), t.articles(heavy=True), as_of())
     return c.groupBy("cause").agg(F.count(F.lit(1)).alias("n")).withColumn("total", g.agg(F.count(F.lit(1)).alias("x")).scalar())
 
 
@@ -293,7 +293,7 @@ WITH g AS (SELECT query_id, id FROM gold UNION ALL SELECT query_id, id + 1000000
 def gold_drift(t):
     g = gold(t).select("query_id", "id")
     more = g.where(F.col("query_id") % 5 == 0).select("query_id", (F.col("id") + 100000000).alias("id"))
-    return evaluate.gold_drift(g.unionByName(more), t.articles()).groupBy("query_id", "drift").agg(F.count(F.lit(1)).alias("n"))
+    return evaluate.gold_drift(g.unionByName(more), t.articles(heavy=True)).groupBy("query_id", "drift").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("V1 B13", None)
@@ -309,7 +309,7 @@ def checked(t):
     from newsmart.plans.editions import built
 
     cl, mem, dec = built(t)
-    p = evidence.packs(selection.with_roles(dec), cl, mem, t.articles(), t.sources(), t.annotations())
+    p = evidence.packs(selection.with_roles(dec), cl, mem, t.articles(heavy=True), t.sources(), t.annotations())
     i = F.get("rows", 0)
     pid = i["id"]
     text = F.array_join(F.transform("rows", lambda x: F.concat_ws(" ", x["title"], x["best"])), " ")

@@ -34,6 +34,7 @@ ACTIONS = {"click": "read", "purchase": "save", "view": "unread", "error": "unsa
 
 # A dimension with at most this many rows is small enough to broadcast.
 DIMENSION_ROWS = 100_000
+_scan_partitions: dict[tuple, int] = {}
 
 
 def pick(values, index: Column) -> Column:
@@ -51,9 +52,22 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table over at least as many partitions as there are cores.
+
+        For work that is heavy per row. A table of many files already has more and is left alone;
+        one small file would otherwise keep a single core busy.
+        """
+        df, cores = self.raw(name), self.spark.sparkContext.defaultParallelism
+        key = (self.spark.sparkContext.applicationId, self.path, name)
+        if key not in _scan_partitions:
+            _scan_partitions[key] = df.rdd.getNumPartitions()
+        return df.repartition(cores) if _scan_partitions[key] < cores else df
+
     # --- articles -------------------------------------------------------------
-    def articles(self) -> DataFrame:
-        d = self.raw("documents")
+    def articles(self, heavy: bool = False) -> DataFrame:
+        """Articles; ``heavy`` spreads them for text work that dominates the scan."""
+        d = self.spread("documents") if heavy else self.raw("documents")
         i = F.col("doc_id")
         line = F.substring_index("text", "\n", 1)
         base = F.lit(EPOCH) + (i * 7919) % MONTH_SECONDS
@@ -97,7 +111,7 @@ class Tables:
     def annotations(self) -> DataFrame:
         """Up to two annotations per labelled article, in several states."""
         labels = self.raw("labels")
-        art = self.articles().select("id", "collected_at", "last_line", "title", "n_chars")
+        art = self.articles(heavy=True).select("id", "collected_at", "last_line", "title", "n_chars")
         runs = F.expr("sequence(0, IF(doc_id % 3 = 0, 1, 0))")
         i, k = F.col("doc_id"), F.col("k")
         status = (
