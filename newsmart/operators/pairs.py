@@ -348,3 +348,22 @@ def _timed_links(rows: DataFrame, met: DataFrame, threshold: float) -> DataFrame
     temp = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("gap") / F.lit(3600000000.0) / F.lit(48.0))
     ok = (F.col("gap") <= WINDOW_US) & is_edge(F.col("s"), temp, threshold)
     return best.where(ok).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+
+
+# --- fixed values: words that mark one running story ---
+EVENT_MARKERS = ["fed", "ecb", "oil", "china"]
+
+
+def near_neighbours(ranked: DataFrame, reach: int = 40, shared: int = 3) -> DataFrame:
+    """Candidate duplicates among time neighbours: fewer than ``reach`` places apart, within 48 hours,
+    with enough shared words or one shared marker. Blocks of ``reach`` ranks meet themselves and the next."""
+    low = F.lower("title")
+    rows = ranked.select(
+        "id", "pub_us", "rank", F.floor(F.col("rank") / reach).alias("block"), F.array_distinct(text.words(low)).alias("w"),
+        F.array_compact(F.array(*[F.when(low.contains(m), F.lit(m)) for m in EVENT_MARKERS])).alias("m"),
+    )
+    left = rows.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns], F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
+    j = left.join(rows, "block").where((F.col("rank") > F.col("x_rank")) & (F.col("rank") < F.col("x_rank") + reach))
+    near = F.coalesce(F.abs(F.col("x_pub_us") - F.col("pub_us")) <= WINDOW_US, F.lit(True))
+    common = F.size(F.array_intersect("x_w", "w"))
+    return j.where(near & ((common >= shared) | F.arrays_overlap("x_m", "m"))).select(F.col("x_id").alias("a"), F.col("id").alias("b"), common.alias("common"))
