@@ -19,7 +19,7 @@ LIST_LIMIT = 10_000  # members up to which a fingerprint reads the id list itsel
 def assign(feats: DataFrame, threshold: float = 0.70) -> DataFrame:
     """(id, label) for every feature row; label is the smallest member id."""
     rows, n = pairs.nodes(feats)
-    rows, n = cut_lineage(rows), cut_lineage(n)
+    n = cut_lineage(n)
     comp = pairs.node_components(rows, n, threshold)
     named = n.select("sig", "slot", "node").join(comp, "node", "left").select("sig", "slot", F.coalesce("label", "node").alias("label"))
     # one row per node on the right; a slot full of copies is split by adaptive skew handling

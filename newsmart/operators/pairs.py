@@ -12,11 +12,11 @@ from newsmart.functions.scoring import whole_words
 from newsmart.functions.text import contains_any
 from newsmart.operators.annotations import pick_annotation
 from newsmart.operators.graph import connected_components
-from newsmart.operators.joins import with_source
+from newsmart.operators.joins import is_small, with_source
 from newsmart.session import cut_lineage
 
 WINDOW_US = 48 * 3600 * 1_000_000
-FEATURES = ["tokens", "entities", "numbers", "hold", "cut", "hike", "earnings", "launch", "cat"]
+FEATURE_ROWS = 50_000  # feature sets broadcast to the scoring tasks; above it they are joined by shuffle
 
 
 def _has_word(low: Column, terms) -> Column:
@@ -244,7 +244,9 @@ def nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     conflict = (f["hold"] & (f["cut"] | f["hike"])) | (f["cut"] & f["hike"])
     alone = conflict | (F.size(f["tokens"]) == 0)
     sig = F.sha2(F.to_json(F.struct(f, "part", F.when(alone, F.col("id")).alias("only"))), 256)
-    rows = feats.select("id", "source_id", "at_us", "pub_us", "f", "part", sig.alias("sig"), F.floor(F.col("at_us") / WINDOW_US).alias("slot"))
+    rows = cut_lineage(
+        feats.select("id", "source_id", "at_us", "pub_us", "f", "part", sig.alias("sig"), F.floor(F.col("at_us") / WINDOW_US).alias("slot"))
+    )
     undated = F.when(F.col("pub_us").isNull(), F.col("at_us"))
     n = rows.groupBy("sig", "slot").agg(
         F.min("id").alias("node"), F.min("at_us").alias("lo"), F.max("at_us").alias("hi"), F.min(undated).alias("u_lo"), F.max(undated).alias("u_hi")
@@ -299,10 +301,23 @@ def _verified(found: DataFrame, rows: DataFrame, n: DataFrame, sets: DataFrame,
         F.least("s1", "s2").alias("sa"), F.greatest("s1", "s2").alias("sb"), F.when(swap, F.col("k1")).otherwise(F.col("k2")).alias("ka"),
         F.when(swap, F.col("k2")).otherwise(F.col("k1")).alias("kb"),
     ).distinct()
+    pair = cut_lineage(pair)  # read twice below
     # score each pair of feature sets once, whatever the number of slots it meets in
     uniq = pair.select("sa", "sb").distinct()
-    fs = lambda p: sets.select(F.col("sig").alias(f"s{p}"), F.col("f").alias(f"f{p}"))
+    small = is_small(sets, rows=FEATURE_ROWS)
+
+    def fs(p):
+        side = sets.select(F.col("sig").alias(f"s{p}"), F.col("f").alias(f"f{p}"))
+        return F.broadcast(side) if small else side
+
     both = uniq.join(fs("a"), "sa").join(fs("b"), "sb").where(compatible(F.col("fa.cat"), F.col("fb.cat")))
+    # titles and numbers rule most pairs out before entities are compared
+    title, _, t1 = bounds(threshold)
+    least = min(t1, (min(threshold, 0.68) - 0.005 - 1e-9 - 0.65) / 0.35)
+    numbers = F.arrays_overlap("fa.numbers", "fb.numbers")
+    named = (F.size("fa.entities") > 0) & (F.size("fb.entities") > 0)
+    both = once(both, "t", title_similarity(F.col("fa.tokens"), F.col("fb.tokens")))
+    both = both.where(numbers | (F.col("t") >= title - 1e-9) | (named & (F.col("t") >= least - 1e-9))).drop("t")
     scored = once(both, "s", static_score(F.col("fa"), F.col("fb"))).select("sa", "sb", "s").where(is_edge(F.col("s"), F.lit(1.0), threshold))
     scored = scored.select("sa", "sb", "s", is_edge(F.col("s"), F.lit(0.0), threshold).alias("always"))
     side = lambda p: n.select(F.col("sig").alias(f"s{p}"), F.col("slot").alias(f"k{p}"), *[F.col(c).alias(f"{c}_{p}") for c in ("node", "lo", "hi", "u_lo", "u_hi")])
@@ -320,7 +335,7 @@ def _verified(found: DataFrame, rows: DataFrame, n: DataFrame, sets: DataFrame,
 
     touching = near("lo_a", "hi_a", "lo_b", "hi_b")
     untimed = near("u_lo_a", "u_hi_a", "lo_b", "hi_b") | near("lo_a", "hi_a", "u_lo_b", "u_hi_b")
-    met = met.where(touching).withColumn("sure", F.col("always") | untimed)
+    met = cut_lineage(met.where(touching).withColumn("sure", F.col("always") | untimed))
     direct = met.where("sure").select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     return direct.unionByName(_timed_links(rows, met.where(~F.col("sure")), threshold)).distinct()
 
