@@ -9,7 +9,7 @@ from newsmart.functions import dates, scoring
 from newsmart.functions.numbers import round_half_up
 from newsmart.operators import clusters, graph, pairs
 from newsmart.plans import sqltext as s
-from newsmart.plans.registry import query
+from newsmart.plans.registry import query, shared
 from newsmart.plans.scalars import AS_OF, CATEGORY_SQL, editorial_sql, stamp
 from newsmart.session import cut_lineage
 
@@ -116,9 +116,13 @@ _edges = f"""edge AS (SELECT a, b FROM {compare_sql(candidates_sql())} WHERE ban
  label AS (SELECT id, min(root) AS label FROM walk GROUP BY 1)"""
 
 
+def components(t):
+    return shared(t, "components", lambda: cut_lineage(clusters.assign_articles(t.articles(heavy=True), t.sources(), t.annotations(), 0.70)))
+
+
 @query("G2 G5 D8", f"WITH RECURSIVE {_edges} SELECT id, label FROM label")
 def article_components(t):
-    return clusters.assign_articles(t.articles(heavy=True), t.sources(), t.annotations(), 0.70)
+    return components(t)
 
 
 @query("G2", """
@@ -148,11 +152,21 @@ CLUSTERS_SQL = f"""{_edges},
   FROM pr JOIN (SELECT label, count(*) AS n, min(eff_at) AS earliest_at, max(eff_at) AS latest_at, string_agg(CAST(id AS VARCHAR), '-' ORDER BY id) AS ids FROM mem GROUP BY 1) g ON g.label = pr.label)"""
 
 
+def built(t):
+    """(clusters, members) of the whole archive."""
+
+    def make():
+        c, m = clusters.build(t.articles(heavy=True), t.sources(), t.annotations(), dates.ts(AS_OF))
+        return cut_lineage(c), cut_lineage(m)
+
+    return shared(t, "clusters", make)
+
+
 @query("G3 G4 G5 W10 E18 B42", f"""
 WITH RECURSIVE {CLUSTERS_SQL} SELECT cluster_id, canonical_title, primary_id, category, distinct_source_count, article_count, cluster_score, primary_score,
  {s.fmt_ts('earliest_at')} AS earliest_at, {s.fmt_ts('latest_at')} AS latest_at FROM cl""")
 def event_clusters(t):
-    c, _ = clusters.build(t.articles(heavy=True), t.sources(), t.annotations(), dates.ts(AS_OF))
+    c, _ = built(t)
     return c.select(
         "cluster_id", "canonical_title", "primary_id", "category", "distinct_source_count", "article_count", "cluster_score", "primary_score",
         stamp(F.col("earliest_at")).alias("earliest_at"), stamp(F.col("latest_at")).alias("latest_at"),
@@ -163,13 +177,12 @@ def event_clusters(t):
 WITH RECURSIVE {CLUSTERS_SQL} SELECT cluster_id, m.id AS article_id, m.id = primary_id AS is_primary, CASE WHEN m.id = primary_id THEN 'PRIMARY' ELSE 'SUPPORTING' END AS relationship,
  CASE WHEN m.id = primary_id THEN 1.0e0 ELSE 0.85e0 END AS similarity FROM mem m JOIN cl USING (label)""")
 def cluster_members(t):
-    _, m = clusters.build(t.articles(heavy=True), t.sources(), t.annotations(), dates.ts(AS_OF))
-    return m
+    return built(t)[1]
 
 
 @query("E32", f"""
 WITH RECURSIVE {_edges} SELECT CAST(sum(n) AS BIGINT) AS articles, count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n > 1) AS multis, max(n) AS largest,
  {s.rnd('(1.0e0 - count(*) / sum(n)) * 100.0e0', 2)} AS compression_pct FROM (SELECT label, count(*) AS n FROM label GROUP BY 1)""")
 def cluster_compression(t):
-    sizes = clusters.assign_articles(t.articles(heavy=True), t.sources(), t.annotations(), 0.70).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = components(t).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return clusters.compression(sizes)

@@ -10,7 +10,7 @@ from newsmart.functions.numbers import round_half_up
 from newsmart.operators import daily, editions, evidence, pairs, selection
 from newsmart.plans import sqltext as s
 from newsmart.plans.clusters import compare_sql, labelled_pairs
-from newsmart.plans.registry import query
+from newsmart.plans.registry import query, shared
 from newsmart.plans.scalars import AS_OF, CATEGORY_SQL, edition_score_sql, editorial_sql, reason_sql
 from newsmart.session import cut_lineage
 
@@ -62,18 +62,15 @@ EDITION_SQL = f"""edge AS (SELECT a, b FROM {compare_sql(_pairs)} WHERE band = '
  led AS (SELECT edition_date, position AS lead FROM sel WHERE cluster_score >= 70 QUALIFY row_number() OVER (PARTITION BY edition_date ORDER BY significance DESC, position) = 1),
  events_sel AS (SELECT sel.*, CASE WHEN position = lead THEN 'LEAD' WHEN (lead IS NOT NULL AND position <= 4) OR (lead IS NULL AND position <= 5) THEN 'TOP' ELSE 'SECTION' END AS role FROM sel LEFT JOIN led USING (edition_date))"""
 
-_built: dict[tuple, tuple] = {}
-
-
 def built(t):
-    """Edition clusters and decisions, computed once per session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.path)
-    if key not in _built:
+    """Edition clusters, members and decisions."""
+
+    def make():
         cl, mem = selection.edition_clusters(t.articles(heavy=True), t.sources(), t.annotations(), as_of())
         cl = cut_lineage(cl)
-        plain = pairs.features(t.articles(heavy=True), t.sources())
-        _built[key] = (cl, mem, cut_lineage(selection.select_events(cl, plain)))
-    return _built[key]
+        return cl, mem, cut_lineage(selection.select_events(cl, pairs.features(t.articles(heavy=True), t.sources())))
+
+    return shared(t, "editions", make)
 
 
 @query("C12 B7", "SELECT CAST(edition_date AS VARCHAR) AS edition, id FROM placed")

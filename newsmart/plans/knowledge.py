@@ -10,8 +10,8 @@ from newsmart.operators import annotations as ann
 from newsmart.operators import backfill, clusters, entities, links, pairs, selection, signals
 from newsmart.plans import editions as ed
 from newsmart.plans import sqltext as s
-from newsmart.plans.clusters import CLUSTERS_SQL, compare_sql
-from newsmart.plans.registry import query
+from newsmart.plans.clusters import CLUSTERS_SQL, built as archive_clusters, compare_sql
+from newsmart.plans.registry import query, shared
 from newsmart.plans.scalars import AS_OF, FOLD, name_sql, slug_sql, stamp, type_sql
 from newsmart.session import cut_lineage
 from newsmart.sources import readers
@@ -80,19 +80,17 @@ s.cte("resolved", """
 SELECT m.*, f.slug, f.method, CASE WHEN f.method = 'COUNTRY_ALIAS' THEN 'COUNTRY' ELSE e.entity_type END AS resolved_type FROM mention m JOIN resolved_form f ON f.name = m.name AND f.raw_type = m.raw_type JOIN entity e ON e.slug = f.slug""")
 s.cte("kept_mention", "SELECT * FROM resolved QUALIFY row_number() OVER (PARTITION BY article_id, slug ORDER BY ord) = 1")
 
-_built: dict[tuple, tuple] = {}
-
-
 def resolved(t):
-    """(kept mentions, all entities), once per session and folder."""
-    key = ("e", t.spark.sparkContext.applicationId, t.path)
-    if key not in _built:
+    """(resolved mentions, all entities)."""
+
+    def make():
         e, a = entities.seed(curated(t))
         e, a, m = cut_lineage(e), cut_lineage(a), cut_lineage(mentions(t))
         r, minted = entities.resolve(m, e, a)
         cols = ["slug", "canonical_name", "entity_type"]
-        _built[key] = (cut_lineage(r), cut_lineage(e.select(*cols).unionByName(minted.select(*cols))))
-    return _built[key]
+        return cut_lineage(r), cut_lineage(e.select(*cols).unionByName(minted.select(*cols)))
+
+    return shared(t, "entities", make)
 
 
 @query("D13 B23 B35", "SELECT DISTINCT name, raw_type, slug, method, resolved_type FROM resolved")
@@ -128,15 +126,15 @@ LINK_SQL = f"""{CLUSTERS_SQL},
 
 
 def linked(t):
-    """(clusters, members, links), once per session and folder."""
-    key = ("l", t.spark.sparkContext.applicationId, t.path)
-    if key not in _built:
-        c, m = clusters.build(t.articles(heavy=True), t.sources(), t.annotations(), dates.ts(AS_OF))
-        c, m = cut_lineage(c), cut_lineage(m)
+    """(clusters, members, links)."""
+
+    def make():
+        c, m = archive_clusters(t)
         r, e = resolved(t)
         ev = links.evidence(entities.first_mentions(r), m, c, t.articles())
-        _built[key] = (c, m, cut_lineage(links.link(ev, e)))
-    return _built[key]
+        return c, m, cut_lineage(links.link(ev, e))
+
+    return shared(t, "links", make)
 
 
 @query("E20 E21 B41 D15 D16", f"""
@@ -236,12 +234,13 @@ def signal_evidence(t):
 # --- coverage ------------------------------------------------------------------------------
 def odd_clusters(t):
     """Clusters of half the archive, the base that the other half is attached to."""
-    key = ("b", t.spark.sparkContext.applicationId, t.path)
-    if key not in _built:
+
+    def make():
         half = t.articles(heavy=True).where(F.col("id") % 2 == 1)
         c, _ = clusters.build(half, t.sources(), t.annotations(), dates.ts(AS_OF))
-        _built[key] = (cut_lineage(c), half.select("id"))
-    return _built[key]
+        return cut_lineage(c), half.select("id")
+
+    return shared(t, "half", make)
 
 
 _half = CLUSTERS_SQL.replace("SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge", "SELECT a, b FROM edge WHERE a % 2 = 1 AND b % 2 = 1 UNION ALL SELECT b, a FROM edge WHERE a % 2 = 1 AND b % 2 = 1").replace(

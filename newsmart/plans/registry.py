@@ -36,3 +36,19 @@ def query(covers: str, sql: str | None = None):
         return plan
 
     return wrap
+
+
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(t: Tables, name: str, make: Callable[[], object]):
+    """A checkpointed intermediate that several queries of one session read."""
+    key = (t.spark.sparkContext.applicationId, t.path, name)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
+def forget_shared() -> None:
+    """Drop the shared intermediates (the benchmark does before each query)."""
+    _SHARED.clear()

@@ -8,7 +8,7 @@ from newsmart import lexicon as lx
 from newsmart.functions import dates
 from newsmart.operators import answers, evaluate, search
 from newsmart.plans import sqltext as s
-from newsmart.plans.registry import query
+from newsmart.plans.registry import query, shared
 from newsmart.plans.scalars import AS_OF, stamp
 from newsmart.session import cut_lineage
 
@@ -91,8 +91,13 @@ TAGS = "array_to_string(list_filter(tags0, lambda x, i: list_position(tags0, x)
 
 
 def searched(t, **kw):
-    q = scoped_questions(t)
-    return search.run(q, t.articles(heavy=True), t.annotations(), t.sources(), as_of(), POOL, **kw)
+    """Ranked candidates of every question under one variant."""
+
+    def make():
+        q = scoped_questions(t)
+        return cut_lineage(search.run(q, t.articles(heavy=True), t.annotations(), t.sources(), as_of(), POOL, **kw))
+
+    return shared(t, f"search {sorted(kw)}", make)
 
 
 @query("B30 B31", """
@@ -174,6 +179,10 @@ s.cte("gold", "SELECT q.query_id, d.doc_id AS id, d.doc_id % 3 <> 1 AS core FROM
 
 
 def gold(t):
+    return shared(t, "gold", lambda: _gold(t))
+
+
+def _gold(t):
     g = evaluate.gold_by_passage(t.questions().select("query_id", "passage"), t.spread("documents").select("doc_id", "text"))
     split = g.where(F.col("id") % 3 == 1).select("query_id", "id", F.lit(False).alias("is_core"))
     return cut_lineage(evaluate.split_gold(g, split))
