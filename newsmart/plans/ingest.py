@@ -10,7 +10,7 @@ from newsmart.functions.text import strip
 from newsmart.operators import archive, ingest
 from newsmart.plans import sqltext as s
 from newsmart.plans.registry import query
-from newsmart.plans.scalars import AS_OF, _U, stamp
+from newsmart.plans.scalars import _U, clean_sql, stamp
 from newsmart.sources import readers, writers
 from newsmart.session import run_folder
 
@@ -65,7 +65,7 @@ def archive_append(t):
     return ingest.new_items(batch, old).select("item_id", "source_id", "canonical_url", "title_fingerprint")
 
 
-@query("A10 B2")
+@query("A10 B2", f"SELECT f.item_id, canonical_url, f.title, {clean_sql('i.summary')} AS raw_summary FROM fresh_item f JOIN feed_item i ON i.item_id = f.item_id")
 def archive_append_clean(t):
     old, batch = split_items(t)
     return ingest.with_clean_summary(ingest.new_items(batch, old)).select("item_id", "canonical_url", "title", "raw_summary")

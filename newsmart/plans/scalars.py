@@ -36,19 +36,22 @@ def canonical_urls(t):
     return t.raw("pages").select("page_id", urls.canonicalize_url(F.col("url")).alias("canonical_url"))
 
 
-@query("B2")
-def cleaned_page_text(t):
-    return t.raw("pages").select("page_id", text.clean_summary("html").alias("clean_text"))
+def clean_sql(x):
+    """Cleaned text of markup, or null."""
+    out = rf"regexp_replace({x}, '(?is)<!--.*?-->|<(script|style|template)\b.*?</(script|style|template)\s*>', ' ', 'g')"
+    out = rf"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
+    for name, value in text.BASIC_ENTITIES:
+        out = f"replace({out}, {s.q(name)}, {s.q(value)})"
+    out = s.strip(rf"regexp_replace(replace({out}, chr(160), ' '), '\s+', ' ', 'g')")
+    return f"nullif({out}, '')"
 
 
-_blank = r"regexp_replace(html, '(?is)<!--.*?-->|<(script|style|template)\b.*?</(script|style|template)\s*>', ' ', 'g')"
-_clean = rf"regexp_replace({_blank}, '<[^>]*>', ' ', 'g')"
-for _n, _v in text.BASIC_ENTITIES:
-    _clean = f"replace({_clean}, {s.q(_n)}, {s.q(_v)})"
-_clean = s.strip(rf"regexp_replace(replace({_clean}, chr(160), ' '), '\s+', ' ', 'g')")
+@query("B2", f"SELECT page_id, {clean_sql('html')} AS clean_text FROM pages")
+def cleaned_page_text(t):
+    return t.spread("pages").select("page_id", text.clean_summary("html").alias("clean_text"))
 
 
-@query("B2", f"SELECT page_id, nullif({_clean}, '') AS clean_text FROM pages")
+@query("B2", f"SELECT page_id, {clean_sql('html')} AS clean_text FROM pages")
 def cleaned_page_text_native(t):
     return t.raw("pages").select("page_id", text.clean_summary_native(F.col("html")).alias("clean_text"))
 

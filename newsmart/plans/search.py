@@ -8,6 +8,7 @@ from newsmart import lexicon as lx
 from newsmart.functions import dates
 from newsmart.operators import answers, evaluate, search
 from newsmart.plans import sqltext as s
+from newsmart.plans.editions import EDITION_SQL
 from newsmart.plans.registry import query, shared
 from newsmart.plans.scalars import AS_OF, stamp
 from newsmart.session import cut_lineage
@@ -305,7 +306,26 @@ def gold_drift(t):
     return evaluate.gold_drift(g.unionByName(more), t.articles(heavy=True)).groupBy("query_id", "drift").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("V1 B13", None)
+_dg = lambda x: f"regexp_replace({x}, '[^\\d.]', '', 'g')"
+_sent = lambda x: f"len(list_filter(regexp_split_to_array({x}, '[.!?]+'), lambda z: {s.strip('z')} <> ''))"
+_pre = lambda lst, label: f"list_transform(list_sort({lst}), lambda z: {s.q(label)} || z)"
+GROUND_SQL = f"""{EDITION_SQL},
+ sup AS (SELECT e.edition_date, e.cluster_id, m.id, row_number() OVER (PARTITION BY e.edition_date, e.cluster_id ORDER BY (m.source_id IS NOT NULL AND m.source_id IS DISTINCT FROM e.source) DESC,
+   (m.id IN (SELECT article_id FROM annotation)) DESC, coalesce(epoch_us(m.published_at), 0) DESC, m.id) AS r FROM events_sel e JOIN mem m ON m.edition_date = e.edition_date AND m.label = e.label AND m.id <> e.primary_id),
+ ids AS (SELECT edition_date, cluster_id, primary_id AS id, 0 AS r FROM events_sel UNION ALL SELECT edition_date, cluster_id, id, r FROM sup WHERE r <= 3),
+ eb AS (SELECT i.*, a.title, coalesce(nullif(n.summary, ''), CASE WHEN length(a.raw_summary) > 250 THEN substr(a.raw_summary, 1, 250) || '...' ELSE a.raw_summary END, a.title) AS best FROM ids i JOIN article a ON a.id = i.id LEFT JOIN latest_success n ON n.article_id = i.id),
+ eg AS (SELECT edition_date, cluster_id, min(id) FILTER (WHERE r = 0) AS pid, min(title) FILTER (WHERE r = 0) AS head, min(best) FILTER (WHERE r = 0) AS best, string_agg(title || ' ' || best, ' ' ORDER BY r) AS evidence, list(id ORDER BY r) AS allowed FROM eb GROUP BY 1, 2),
+ e1 AS (SELECT *, {s.strip("best || CASE WHEN pid % 4 = 1 THEN ' Output rose 37.5% over the year.' ELSE '' END || CASE WHEN pid % 6 = 2 THEN ' This was forced by events.' ELSE '' END")} AS summ FROM eg),
+ e2 AS (SELECT *, head || ' ' || summ AS gen, lower(evidence) AS evl FROM e1),
+ e3 AS (SELECT *, {s.numeric_tokens('gen')} AS gn, {s.numeric_tokens('evidence')} AS kn FROM e2),
+ ck AS (SELECT *, list_concat(list_filter([CASE WHEN head = '' THEN 'headline missing' END, CASE WHEN summ = '' THEN 'summary missing' END, CASE WHEN head <> '' AND (len({s.words('head')}) < 4 OR len({s.words('head')}) > 30) THEN 'headline length' END, CASE WHEN pid % 10 = 0 THEN 'watch source not in evidence' END], lambda z: z IS NOT NULL),
+   CASE WHEN pid % 9 = 0 THEN ['unknown article 999999999'] ELSE CAST([] AS VARCHAR[]) END, {_pre(f"list_filter({s.arr(lx.SENSATIONAL_TERMS)}, lambda w: contains(lower(head), w))", 'sensational ')},
+   {_pre(f"list_filter(gn, lambda w: NOT regexp_matches(w, '^[0-9]$') AND NOT list_contains(kn, w) AND {_dg('w')} <> '' AND NOT list_contains(list_transform(kn, lambda k: {_dg('k')}), {_dg('w')}))", 'unsupported number ')},
+   CASE WHEN {s.contains_any('evl', lx.CAUSAL_EVIDENCE)} THEN CAST([] AS VARCHAR[]) ELSE {_pre(f"list_filter({s.arr(lx.CAUSAL_TRIGGERS)}, lambda w: contains(lower(gen), w) AND NOT contains(evl, w))", 'unsupported cause ')} END) AS errors,
+   CASE WHEN {_sent('summ')} > 6 THEN 'summary length' ELSE '' END AS warnings FROM e3)"""
+
+
+@query("V1 B13", f"WITH RECURSIVE {GROUND_SQL} SELECT CAST(edition_date AS VARCHAR) AS edition_date, cluster_id, len(errors) = 0 AS is_valid, array_to_string(errors, '; ') AS errors, warnings FROM ck")
 def grounding_checks(t):
     return checked(t).select("edition_date", "cluster_id", "is_valid", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings")).withColumn(
         "edition_date", F.col("edition_date").cast("string")
@@ -334,7 +354,12 @@ def checked(t):
     return evidence.validate(rows)
 
 
-@query("E41 V1", None)
+_has = lambda p: f"count(*) FILTER (WHERE len(list_filter(errors, lambda z: starts_with(z, {s.q(p)}))) > 0)"
+
+
+@query("E41 V1", f"""
+WITH RECURSIVE {GROUND_SQL} SELECT count(*) AS events, count(*) FILTER (WHERE len(errors) = 0) AS valid, {_has('unsupported number')} AS unsupported_numbers, {_has('unsupported cause')} AS unsupported_causes,
+ {s.rnd('count(*) FILTER (WHERE pid % 5 = 0) / count(*)', 6)} AS watch_rate FROM ck""")
 def grounding_audit(t):
     from newsmart.operators import evidence
 
