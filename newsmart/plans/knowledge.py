@@ -268,7 +268,13 @@ def attached_articles(t):
     return backfill.attach(pairs.features(todo, t.sources(), t.annotations()), prim)
 
 
-@query("G6 A18", None)
+_rest = f"""{_att}, rest AS (SELECT a.* FROM article a WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM att)),
+ sym2 AS (SELECT a, b FROM edge WHERE a IN (SELECT id FROM rest) AND b IN (SELECT id FROM rest) UNION ALL SELECT b, a FROM edge WHERE a IN (SELECT id FROM rest) AND b IN (SELECT id FROM rest)),
+ walk2 AS (SELECT id, id AS root FROM rest UNION SELECT sym2.b, walk2.root FROM walk2 JOIN sym2 ON sym2.a = walk2.id WHERE walk2.root < sym2.b),
+ label2 AS (SELECT id, min(root) AS label FROM walk2 GROUP BY 1), name2 AS (SELECT label, 'evt_' || label || '_' || substr(sha256(string_agg(CAST(id AS VARCHAR), '-' ORDER BY id)), 1, 16) AS cluster_id FROM label2 GROUP BY 1)"""
+
+
+@query("G6 A18", f"WITH RECURSIVE {_rest} SELECT id, cluster_id, 'ATTACHED' AS how FROM att UNION ALL SELECT id, cluster_id, 'NEW' FROM label2 JOIN name2 USING (label)")
 def coverage_backfill(t):
     c, half = odd_clusters(t)
     return backfill.backfill(t.articles(heavy=True), t.sources(), t.annotations(), half, c)

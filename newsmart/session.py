@@ -10,8 +10,11 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import newsmart
+
 RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "false",
@@ -26,6 +29,7 @@ ADAPTIVE_CONF = {
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; leave sizing to the cluster."""
+    cloudpickle.register_pickle_by_value(newsmart)  # workers need no copy of the package on their path
     for key, value in {**RESULT_CONF, **ADAPTIVE_CONF}.items():
         spark.conf.set(key, value)
     sc = spark.sparkContext
