@@ -1,0 +1,118 @@
+"""Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
+
+A candidate is a run of token characters of at least ``window`` characters. Its character class (hex, upper and digits,
+mixed) sets the entropy that a window must reach. The window slides one character at a time: counts per character and the
+sum of c * log2(c) are updated for the character that enters and the one that leaves, so each step costs the same. The
+span found runs from the first to the last window that reaches the bar. Allow-listed candidates are suppressed, and so
+are those that a fixed pattern covers already.
+
+Defined results: null and empty texts have no spans; equal rows have equal results; null ids are kept. DataFrame
+functions only.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from newsmart.llm.spans import KEY, keyed, matches, per_document, uncovered
+
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+# a run of 16 and more is the whole run: shorter runs fail the length test anyway
+HEX = r"[0-9a-f]{16,}"
+KINDS = ["assign", "access", "hex"]
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Strings never reported: plain words, numbers, dashed rules, dates and times, UUIDs, documented example keys.
+ALLOWED = [
+    r"[A-Za-z]++(?:[_/-][A-Za-z]++)*+", r"[0-9+/_=-]+", r"[A-Za-z]++[0-9]{1,4}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}T?[0-9]*",
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", r"[A-Za-z0-9+/_=-]*EXAMPLE[A-Za-z0-9+/_=-]*",
+]
+BARS = {"hex": 3.0, "upper": 3.5, "mixed": 3.7}
+
+
+def base_matches(docs: DataFrame) -> DataFrame:
+    """The three fixed patterns; matches that fail their length test are dropped without a retry."""
+    text = F.col("text")
+    found = matches(docs, [
+        ("assign", ASSIGN, text.rlike("[:=]")),
+        ("access", ACCESS, text.contains("AKIA")),
+        ("hex", HEX, text.rlike("[0-9a-f]{16}")),
+    ])
+    value, kind = F.col("value"), F.col("kind")
+    long_enough = F.when(kind == "assign", F.length(F.regexp_extract(value, f"^{ASSIGN}$", 2)) >= 12).when(kind == "access", F.length(value) >= 18).otherwise(True)
+    return found.where(long_enough)
+
+
+def char_class(value: Column) -> Column:
+    return F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(value.rlike("^[A-Z0-9]+$"), "upper").otherwise("mixed")
+
+
+def entropy_range(value: Column, bar: Column, window: int) -> Column:
+    """struct(first, last): starts of the first and last window whose entropy reaches ``bar``; nulls if none does."""
+    clog = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+    chars = F.transform(F.split(value, ""), lambda c: F.ascii(c))
+    beside = F.arrays_zip(chars, F.concat(F.array_repeat(F.lit(-1), window), chars))  # each character and the one that leaves for it
+    step = F.filter(F.transform(beside, lambda z, i: F.struct(z["0"].alias("new"), z["1"].alias("old"), i.alias("i"))), lambda x: x["new"].isNotNull())
+    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def slide(state, x):
+        count = state["counts"]
+        out = x["old"]
+        leaves = F.when(out >= 0, F.get(clog, F.get(count, out) - 1) - F.get(clog, F.get(count, out))).otherwise(0.0)
+        now = F.get(count, x["new"]) - F.when(out == x["new"], 1).otherwise(0)
+        s = state["s"] + leaves + F.get(clog, now + 1) - F.get(clog, now)
+        high = (x["i"] >= window - 1) & (F.lit(math.log2(window)) - s / window >= bar - 1e-9)
+        counts = F.transform(count, lambda c, k: c + F.when(k == x["new"], 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
+        at = x["i"] - (window - 1)
+        return F.struct(counts.alias("counts"), s.alias("s"), F.coalesce(state["first"], F.when(high, at)).alias("first"), F.when(high, at).otherwise(state["last"]).alias("last"))
+
+    return F.aggregate(step, zero, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+
+def entropy_matches(docs: DataFrame, window: int = 20, bars: dict[str, float] = BARS, allowed: list[str] = ALLOWED) -> DataFrame:
+    found = matches(docs, [("entropy", CANDIDATE, F.col("text").rlike(CANDIDATE))])
+    value = F.col("value")
+    kept = found.where(~value.rlike("^(" + "|".join(allowed) + ")$"))
+    bar = F.element_at(F.create_map(*[F.lit(v) for k, b in bars.items() for v in (k, b)]), char_class(value))
+    scored = kept.withColumn("w", entropy_range(value, bar, window)).where("w.first is not null")
+    begin = F.col("start")
+    return scored.select(*KEY, "kind", F.substring(value, F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + window).alias("value"), (begin + F.col("w.first")).alias("start"), (begin + F.col("w.last") + window).alias("end"))
+
+
+def secrets(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) -> keyed texts, and spans: doc_id, h, kind, value, start, end, base."""
+    texts = keyed(docs)
+    base = base_matches(texts)
+    extra = uncovered(entropy_matches(texts, window), base)
+    return texts, base.withColumn("base", F.lit(True)).unionByName(extra.withColumn("base", F.lit(False)))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row per document: counts of the fixed kinds, digest of their spans, and all spans."""
+    texts, spans = secrets(docs)
+    return per_document(texts, spans, KINDS, ["start", "rank", "end"])
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """The documents with every found span replaced by ``mask``; n_chars, where present, follows the text."""
+    _, spans = secrets(docs)
+    per = spans.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts")).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # a cut keeps what stands before it, so overlapping cuts leave one mask
+    done = F.aggregate(
+        "_cuts",
+        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        lambda s, c: F.struct(
+            F.when(c["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(text, s["at"].cast("int") + 1, (c["start"] - s["at"]).cast("int")), F.lit(mask))).alias("out"),
+            F.greatest(s["at"], c["end"].cast("long")).alias("at"),
+        ),
+        lambda s: F.concat(s["out"], F.substring(text, s["at"].cast("int") + 1, F.length(text))),
+    )
+    out = docs.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
+    out = out.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(done))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)
