@@ -278,6 +278,13 @@ def _result(member: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 
 def one_each(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The documents without near copies: the smallest id of every component stays, with all columns."""
-    kept = join(docs, n, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]))
+    """The documents without near copies: the smallest id of every component stays, with all columns.
+
+    Of rows that repeat that id one stays; rows with a null id stay.
+    """
+    found = stored(join(docs, n, threshold))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -138,28 +138,51 @@ def sample(docs: DataFrame, learn, sample_docs: int, sample_bytes: int) -> dict[
     return {lang: texts for lang, texts in out.items() if texts}
 
 
-def identify(docs: DataFrame, learn, sample_docs: int = 150, sample_bytes: int = 20_000) -> DataFrame:
-    """docs (doc_id, text, lang) -> doc_id, lang_pred, score. ``learn``: condition on rows whose lang may be learnt."""
-    spark = docs.sparkSession
+def _scorer(docs: DataFrame, learn, sample_docs: int, sample_bytes: int):
+    """Function of an Arrow batch with text and letters to (language, score) of its rows."""
     texts = sample(docs, learn, sample_docs, sample_bytes)
-    model = spark.sparkContext.broadcast(train(texts) if texts else None)
+    model = docs.sparkSession.sparkContext.broadcast(train(texts) if texts else None)  # bounded by the sample
 
-    def score(batches):
+    def of(batch):
         m = model.value
+        data, offsets = text_bytes(batch.column("text"))
+        letters = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
+        lang, sure = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+        for i, j in chunks(offsets) if m else []:
+            off = offsets[i : j + 1] - offsets[i]
+            bits = code_lengths(m, data[offsets[i] : offsets[j]], off)
+            excess = (bits - bits.min(1, keepdims=True)) / np.sqrt(np.diff(off) + 1.0)[:, None]
+            lang[i:j] = np.array(m.langs, object)[bits.argmin(1)]
+            sure[i:j] = 1 / np.exp2(-excess).sum(1)
+        lang[~letters], sure[~letters] = "und", 0.0
+        return lang, sure
+
+    return of
+
+
+LETTERS = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has letters")
+
+
+def identify(docs: DataFrame, learn, sample_docs: int = 150, sample_bytes: int = 20_000) -> DataFrame:
+    """docs (doc_id, text, lang) -> doc_id, lang_pred, score. ``learn``: condition on rows whose lang may be learnt."""
+    scored = _scorer(docs, learn, sample_docs, sample_bytes)
+
+    def work(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            letters = np.array(batch.column("letters").to_pylist(), bool)
-            lang, sure = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-            for i, j in chunks(offsets) if m else []:
-                off = offsets[i : j + 1] - offsets[i]
-                bits = code_lengths(m, data[offsets[i] : offsets[j]], off)
-                best = bits.argmin(1)
-                excess = (bits - bits.min(1, keepdims=True)) / np.sqrt(np.diff(off) + 1.0)[:, None]
-                lang[i:j] = np.array(m.langs, object)[best]
-                sure[i:j] = 1 / np.exp2(-excess).sum(1)
-            lang[~letters], sure[~letters] = "und", 0.0
+            lang, sure = scored(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", letters).mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text", LETTERS).mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
+
+
+def in_known_language(docs: DataFrame, learn, least: float = 0.5, sample_docs: int = 150, sample_bytes: int = 20_000) -> DataFrame:
+    """The documents in one of the learnt languages, by a score of at least ``least``, with all their columns."""
+    scored = _scorer(docs, learn, sample_docs, sample_bytes)
+
+    def work(batches):
+        for batch in batches:
+            lang, sure = scored(batch)
+            yield batch.drop_columns([batch.schema.names[-1]]).filter(pa.array((lang != "und") & (sure >= least)))
+
+    return docs.select("*", LETTERS).mapInArrow(work, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmart.llm import decontam, jaccard, langid, mixing, pii, secretscan, topk, toxicity, urlrules
+from newsmart.llm import decontam, jaccard, langid, mixing, pii, secretscan, suffixdedup, topk, toxicity, urlrules
 from newsmart.llm.base import in_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
+
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, folder, "documents"))
