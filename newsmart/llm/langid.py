@@ -141,10 +141,10 @@ def sample(docs: DataFrame, learn, sample_docs: int, sample_bytes: int) -> dict[
 def _scorer(docs: DataFrame, learn, sample_docs: int, sample_bytes: int):
     """Function of an Arrow batch with text and letters to (language, score) of its rows."""
     texts = sample(docs, learn, sample_docs, sample_bytes)
-    model = docs.sparkSession.sparkContext.broadcast(train(texts) if texts else None)  # bounded by the sample
+    model = docs.sparkSession.sparkContext.broadcast(vars(train(texts)) if texts else None)  # bounded by the sample
 
     def of(batch):
-        m = model.value
+        m = Model(**model.value) if model.value else None
         data, offsets = text_bytes(batch.column("text"))
         letters = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
         lang, sure = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
@@ -160,7 +160,8 @@ def _scorer(docs: DataFrame, learn, sample_docs: int, sample_bytes: int):
     return of
 
 
-LETTERS = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has letters")
+def _letters():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has letters")
 
 
 def identify(docs: DataFrame, learn, sample_docs: int = 150, sample_bytes: int = 20_000) -> DataFrame:
@@ -173,7 +174,7 @@ def identify(docs: DataFrame, learn, sample_docs: int = 150, sample_bytes: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", LETTERS).mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text", _letters()).mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
 
 
 def in_known_language(docs: DataFrame, learn, least: float = 0.5, sample_docs: int = 150, sample_bytes: int = 20_000) -> DataFrame:
@@ -185,4 +186,4 @@ def in_known_language(docs: DataFrame, learn, least: float = 0.5, sample_docs: i
             lang, sure = scored(batch)
             yield batch.drop_columns([batch.schema.names[-1]]).filter(pa.array((lang != "und") & (sure >= least)))
 
-    return docs.select("*", LETTERS).mapInArrow(work, docs.schema)
+    return docs.select("*", _letters()).mapInArrow(work, docs.schema)

@@ -219,10 +219,11 @@ def sample(docs: DataFrame, labels: DataFrame, learn, per_label: int, sample_byt
 def toxicity(docs: DataFrame, labels: DataFrame, learn, per_label: int = 1500, sample_bytes: int = 6_000) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, toxic) -> doc_id, score. ``learn``: condition on rows that may be learnt."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(*sample(docs, labels, learn, per_label, sample_bytes)))
+    fitted = train(*sample(docs, labels, learn, per_label, sample_bytes))
+    model = spark.sparkContext.broadcast(vars(fitted) if fitted else None)  # one weight per subsequence
 
     def score(batches):
-        m = model.value
+        m = Model(**model.value) if model.value else None
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             out = np.zeros(batch.num_rows)
