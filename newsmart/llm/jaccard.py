@@ -5,10 +5,10 @@ only if their sizes are within a factor t and they differ in at most d = (1 - t)
 of a size class are therefore cut into d + 1 and some more blocks by hash: two linked rows agree exactly on more blocks
 than any document may leave empty, so on a block that is not empty. Row blocks are what shares such a column block.
 
-Overlaps are accumulated block by block: what agreeing column blocks and the smaller sides of the others can add up to is
-a bound that discards most pairs, and the exact overlap of the rest comes from their whole sets. In a row block, members
-meet its first row, then, in further rounds, the first row of every other component that is still there; pairs that
-are already in one component need no product. Only components are asked for, so copies cost one product each.
+What shares such a block with its first row, directly or not, is a family. Rows first meet the first rows of their column
+blocks; what that links needs no product any more. The rest of a family is cut into tiles of bounded size, and every pair
+of tiles is multiplied column block by column block, accumulating overlaps and dropping pairs that can no longer reach
+the bound set by their sizes. A task emits fewer links than it has rows; pairs never become rows.
 
 Shuffled: one (block key, row) per column block, and the sets of rows that share any. Hot blocks combine before the
 shuffle, and joins are left to adaptive execution, which splits large keys.
@@ -198,82 +198,165 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     return both.select("a", "b", common.alias("common"), union.alias("total")).where(F.col("common") * threshold.denominator >= F.col("total") * threshold.numerator).select("a", "b")
 
 
-def labelled(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """rows with column ``id``: adds the smallest id of its component so far."""
-    if edges is None:
-        return rows.withColumn("label", F.col("id"))
-    comp = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return rows.join(comp, "id", "left").withColumn("label", F.coalesce("label", "id"))
+TILE_GRAMS = 400_000
+TILE = "fam long, tile long, ids array<long>, labels array<long>, sizes array<long>, grams array<long>"
 
 
-def join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), star_rounds: int = 2) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _pack(table: pa.Table) -> pa.Table:
+    """The rows of one tile as one row."""
+    one = lambda x: pa.array([x], pa.list_(pa.int64()))
+    grams = table.column("grams").combine_chunks()
+    columns = [table.column(c)[:1].combine_chunks() for c in ("fam", "tile")]
+    columns += [one(table.column(c).to_numpy()) for c in ("id", "label")] + [one(np.diff(grams.offsets.to_numpy()).astype(np.int64)), one(grams.flatten().to_numpy())]
+    return pa.table(columns, ["fam", "tile", "ids", "labels", "sizes", "grams"])
+
+
+def product(left, right, num: int, den: int, dense: int = 16, width: int = 1024) -> np.ndarray:
+    """Linked (row, row) of two tiles with different labels. A tile: (labels, sizes, grams).
+
+    Overlaps are accumulated over blocks of columns, rare columns first. A pair is dropped as soon as what it has and the
+    columns still open to the smaller of both cannot reach the bound that its sizes set.
+    """
+    (la, na, ga), (lb, nb, gb) = left, right
+    total = na[:, None] + nb[None, :]
+    need = -(-num * total // (num + den))  # least overlap for the similarity
+    alive = (np.minimum(na[:, None], nb[None, :]) >= need) & (la[:, None] != lb[None, :])
+    out = np.zeros((0, 2), np.int64)
+    if not alive.any():
+        return out
+    common = np.intersect1d(ga, gb)
+    if not len(common):
+        return out
+
+    def entries(n, g):
+        row = np.repeat(np.arange(len(n)), n)
+        col = np.minimum(np.searchsorted(common, g), len(common) - 1)
+        hit = common[col] == g
+        row, col = row[hit], col[hit]
+        order = np.argsort(col, kind="stable")
+        return row[order], col[order], np.bincount(col, minlength=len(common))
+
+    (ra, ca, fa), (rb, cb, fb) = entries(na, ga), entries(nb, gb)
+    count = np.zeros(total.shape, np.float32)
+    open_a, open_b = np.bincount(ra, minlength=len(na)), np.bincount(rb, minlength=len(nb))
+    often = fa * fb > dense * dense
+    # rare columns: the few pairs of each
+    at = np.flatnonzero(~often[ca])
+    first = np.cumsum(fb) - fb
+    n = fb[ca[at]]
+    i = np.repeat(ra[at], n)
+    j = rb[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[ca[at]], n)]
+    np.add.at(count, (i, j), 1)
+    open_a = open_a - np.bincount(ra[at], minlength=len(na))
+    open_b = open_b - np.bincount(rb[~often[cb]], minlength=len(nb))
+    place = np.cumsum(often) - 1
+    ka, kb = often[ca], often[cb]
+    ra, ca, rb, cb = ra[ka], place[ca[ka]], rb[kb], place[cb[kb]]
+    for c in range(0, int(often.sum()), width):
+        alive &= count + np.minimum(open_a[:, None], open_b[None, :]) >= need
+        rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        if not len(rows):
+            return out
+        x, y = np.zeros((len(na), width), np.float32), np.zeros((len(nb), width), np.float32)
+        ia, ib = slice(*np.searchsorted(ca, (c, c + width))), slice(*np.searchsorted(cb, (c, c + width)))
+        x[ra[ia], ca[ia] - c] = 1
+        y[rb[ib], cb[ib] - c] = 1
+        count[np.ix_(rows, cols)] += x[rows] @ y[cols].T
+        open_a, open_b = open_a - np.bincount(ra[ia], minlength=len(na)), open_b - np.bincount(rb[ib], minlength=len(nb))
+    alive &= count * den >= num * (total - count)
+    return np.argwhere(alive)
+
+
+def _multiply(num: int, den: int):
+    def work(table: pa.Table) -> pa.Table:
+        tiles = []
+        for r in range(table.num_rows):
+            tiles.append([table.column(c)[r].values.to_numpy() for c in ("ids", "labels", "sizes", "grams")])
+        one, other = tiles[0], tiles[-1]
+        links = product(one[1:], other[1:], num, den)
+        a, b = one[0][links[:, 0]], other[0][links[:, 1]]
+        # links that join what the tile's own links have not joined yet: fewer than rows
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        keep = []
+        label_a, label_b = one[1][links[:, 0]], other[1][links[:, 1]]
+        for k, (x, y) in enumerate(zip(label_a.tolist(), label_b.tolist())):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[x] = y
+                keep.append(k)
+        return pa.table([pa.array(np.minimum(a[keep], b[keep]), pa.int64()), pa.array(np.maximum(a[keep], b[keep]), pa.int64())], ["a", "b"])
+
+    return work
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, label) of every row that has a link, the smallest of a component included."""
+    found = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return stored(found.unionByName(found.select("label", F.col("label").alias("id")).distinct()))
+
+
+def tile_links(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """rows (id, n, fam, label) -> links (a, b) that join different labels of one family.
+
+    A family is cut into tiles of about ``TILE_GRAMS`` n-grams, rows of its largest label apart: those need no product
+    among themselves. Every other pair of tiles is one task's product.
+    """
+    counts = rows.groupBy("fam", "label").agg(F.count(F.lit(1)).alias("m"))
+    big = counts.groupBy("fam").agg(F.max_by("label", F.struct("m", "label")).alias("big"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    open_rows = stored(rows.join(big, "fam").withColumn("rest", (F.col("label") != F.col("big")).cast("long")).drop("big"))
+    sized = open_rows.groupBy("fam", "rest").agg(F.ceil(F.sum("n") / TILE_GRAMS).alias("tiles"))
+    dealt = open_rows.join(sized, ["fam", "rest"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")) * 2 + F.col("rest"))
+    packed = dealt.join(sets.withColumnRenamed("doc_id", "id"), "id").select("fam", "tile", "id", "label", "grams").groupBy("fam", "tile").applyInArrow(_pack, TILE)
+    packed = stored(packed)
+    ends = packed.select("fam", F.col("tile").alias("t1")).join(packed.select("fam", F.col("tile").alias("t2")), "fam").where("t1 <= t2 and (t1 % 2 = 1 or t2 % 2 = 1)")
+    sides = ends.withColumn("tile", F.explode(F.array_distinct(F.array("t1", "t2"))))
+    return sides.join(packed, ["fam", "tile"]).groupBy("fam", "t1", "t2").applyInArrow(_multiply(threshold.numerator, threshold.denominator), "a long, b long")
+
+
+def _sketched(texts: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, rep) of every row, and (id, n, keys) of the smallest id of each distinct set."""
     all_rows = stored(sketches(texts, n, threshold))
-    # equal sets are one row of the matrix: its smallest id
     same = ["n_shingles", "h1", "h2"]
     reps = all_rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"))
     member = stored(all_rows.select("doc_id", *same).join(reps, same, "left").select("doc_id", "n_shingles", "rep"))
-    only = stored(all_rows.join(reps, same).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys").dropDuplicates(["id"]))
-    release(spark)
+    only = all_rows.join(reps, same).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys")
+    return member, stored(only.dropDuplicates(["id"]))
+
 
+def _shared(only: DataFrame) -> DataFrame:
+    """Pairs (a, b): each row with the first row of every column block that it shares."""
     keyed = only.select("id", F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"))
+    release(only.sparkSession)
+    return stored(keyed.join(shared, "key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+
+
+def join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    member, only = _sketched(texts, n, threshold)
     release(spark)
-    held = keyed.join(shared, "key")
-    held = stored(held.join(only.select("id", "n"), "id"))  # id, key, first, n
+    pairs = _shared(only)
     release(spark)
-    near = lambda p: p.where((F.least("na", "nb") * threshold.denominator >= F.greatest("na", "nb") * threshold.numerator))
-
-    size = only.select(F.col("id").alias("first"), F.col("n").alias("na"))
-    pairs = held.where("id <> first").groupBy("first", "id").agg(F.max("n").alias("nb")).join(size, "first")
-    pairs = stored(near(pairs).select(F.col("first").alias("a"), F.col("id").alias("b")))
     if pairs.isEmpty():
-        return _result(member, None)
-    wanted = held.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(whole_sets(texts.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]))
+        return member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+    family = components(pairs).withColumnRenamed("label", "fam")
+    sets = stored(whole_sets(texts.join(family.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]))
     release(spark)
-    tried, edges = pairs, stored(linked(pairs, sets, threshold))
+    edges = stored(linked(pairs, sets, threshold))
     release(spark)
-
-    step = 0
-    while True:
-        labels = stored(labelled(held.select("id").distinct(), edges))
-        left = held.drop("first").join(labels, "id")
-        mixed_keys = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        left = stored(left.join(mixed_keys, "key"))  # rows of blocks that hold more than one component
-        if left.isEmpty():
-            break
-        if step < star_rounds:
-            # the first row of the block's lowest component, and of its highest, meet the rows of other components
-            heads = left.groupBy("key").agg(F.min(F.struct("label", "id", "n")).alias("p"), F.max(F.struct("label", "id", "n")).alias("q"))
-            ends = heads.select("key", F.explode(F.array("p", "q")).alias("h")).select("key", F.col("h.label").alias("la"), F.col("h.id").alias("a0"), F.col("h.n").alias("na"))
-            cross = left.join(ends, "key").where("label <> la")
-            cross = cross.select("a0", "na", F.col("id").alias("b0"), F.col("n").alias("nb"))
-        else:
-            other = left.select("key", F.col("id").alias("b0"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            cross = left.join(other, "key").where("label < lb").select(F.col("id").alias("a0"), F.col("n").alias("na"), "b0", "nb")
-        fresh = near(cross).select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = stored(fresh)
-        release(spark)
-        if fresh.isEmpty() and step >= star_rounds:
-            break
-        if not fresh.isEmpty():
-            found = stored(linked(fresh, sets, threshold))
-            edges, tried = edges.unionByName(found), tried.unionByName(fresh)
-            release(spark)
-        if step >= star_rounds:
-            break  # every remaining pair was multiplied out
-        step += 1
-    return _result(member, edges)
-
-
-def _result(member: DataFrame, edges: DataFrame | None) -> DataFrame:
-    if edges is None:
-        return member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
-    comp = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("rep"), "label")
-    out = member.join(comp, "rep", "left")
+    rows = only.select("id", "n").join(family, "id").join(components(edges), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    edges = edges.unionByName(stored(tile_links(rows, sets, threshold)))
+    release(spark)
+    out = member.join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
 
 

@@ -410,11 +410,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
     by_block = lambda df: df.groupBy("block")
-
-    asked = by_block(dealt).applyInArrow(_ask(buckets), HASHES)
-    repeats = stored(asked.groupBy("bucket").applyInArrow(_repeated, ANSWER))
+    repeats = stored(by_block(dealt).applyInArrow(_ask(buckets), HASHES).groupBy("bucket").applyInArrow(_repeated, ANSWER))
     release(spark)
-    sent = by_block(dealt).cogroup(by_block(repeats)).applyInArrow(_contexts(buckets), CONTEXTS)
-    settled = stored(sent.groupBy("bucket").applyInArrow(_settle, ANSWER))
+    settled = stored(by_block(dealt).cogroup(by_block(repeats)).applyInArrow(_contexts(buckets), CONTEXTS).groupBy("bucket").applyInArrow(_settle, ANSWER))
     release(spark)
     return by_block(dealt).cogroup(by_block(repeats.unionByName(settled))).applyInArrow(_apply, RESULT)

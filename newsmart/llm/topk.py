@@ -120,26 +120,23 @@ def topk(vectors: DataFrame, queries, k: int = 5, block_rows: int = 4096, query_
     q_groups = -(-stats["q"] // query_rows)
     asking = stored(blocks(asked, F.pmod(F.xxhash64("vec_id"), F.lit(q_groups)), dim).withColumnsRenamed({"block": "qb", "ids": "q_ids", "norms": "q_norms", "vecs": "q"}).drop("top"))
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda c, r=r: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
-                q_ids, ids = get("q_ids"), get("ids")
-                bars = get("bars") if "bars" in batch.schema.names else np.full(len(q_ids), -np.inf)
-                out = search_block(q_ids, get("q_norms"), get("q").reshape(len(q_ids), dim), bars, ids, get("norms"), get("vecs").reshape(len(ids), dim), k, lead)
-                if out:
-                    a = np.array(out, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2])], ["query_id", "vec_id", "score"])
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda c: table.column(c)[0].values.to_numpy(zero_copy_only=False)
+        q_ids, ids = get("q_ids"), get("ids")
+        bars = get("bars") if "bars" in table.schema.names else np.full(len(q_ids), -np.inf)
+        out = search_block(q_ids, get("q_norms"), get("q").reshape(len(q_ids), dim), bars, ids, get("norms"), get("vecs").reshape(len(ids), dim), k, lead)
+        a = np.array(out, np.int64).reshape(-1, 3)
+        return pa.table([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2])], ["query_id", "vec_id", "score"])
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         """Query blocks against candidate blocks: the stated query set against all rows, in blocks."""
         return left.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_groups - 1).cast("long")))).join(right, "qb")
 
     first = packed.orderBy(F.desc("top"), "block").limit(1)
-    start = _ranked(pairs(first, asking).mapInArrow(run, FOUND), k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar"))
+    start = _ranked(pairs(first, asking).groupBy("block", "qb").applyInArrow(run, FOUND), k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar"))
     barred = asking.select("qb", F.posexplode("q_ids").alias("pos", "query_id")).join(start, "query_id", "left").groupBy("qb").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col("bar").cast("double"), F.lit(float("-inf"))).alias("bar")))), lambda x: x["bar"]).alias("bars"))
     reach = F.array_max("q_norms").alias("reach")
     open_pairs = pairs(packed.select("block", "top"), asking.join(barred, "qb").select("qb", reach, F.array_min("bars").alias("least"))).where((F.col("least") < 0) | (F.col("top") * F.col("reach") * (1 + 1e-9) >= F.col("least")))
-    found = open_pairs.select("block", "qb").join(packed, "block").join(asking.join(barred, "qb"), "qb").mapInArrow(run, FOUND)
+    found = open_pairs.select("block", "qb").join(packed, "block").join(asking.join(barred, "qb"), "qb").groupBy("block", "qb").applyInArrow(run, FOUND)
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
