@@ -97,7 +97,9 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
 def prefix_hash(data: np.ndarray, power: np.ndarray) -> np.ndarray:
     """H[i] = sum of code(data[j]) * BASE^j over j < i; two equal strings agree after aligning by a power."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * power[: len(data)], out=out[1:])
+    value = BYTE_CODE[data]
+    value *= power[: len(data)]
+    np.cumsum(value, out=out[1:])
     return out
 
 

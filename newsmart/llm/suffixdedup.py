@@ -37,8 +37,8 @@ from newsmart.llm.base import BASE, INVERSE, chunks, mixed, powers, prefix_hash,
 LENGTH = 50
 GRAM = 16
 WINDOW = LENGTH - GRAM + 1  # anchor places in a window
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 6 << 20
 PIECE = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 LEAST_ID = np.iinfo(np.int64).min
