@@ -101,15 +101,16 @@ class Mix:
         start = F.greatest(F.col("off"), F.col("block") * n)
         return cut.withColumn("first_word", start - F.col("off")).withColumn("n_words", F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * n) - start)
 
+    # slots come from a few shard numbers, so their size is not known to the planner: joins with them are by sorting
     def manifest(self) -> DataFrame:
         """The mixed corpus: which words of which document fill each slot of each shard."""
-        return self.slots.join(self.spans(), ["s", "block"]).select("shard", "slot", "source", "doc_id", "first_word", "n_words")
+        return self.slots.hint("merge").join(self.spans(), ["s", "block"]).select("shard", "slot", "source", "doc_id", "first_word", "n_words")
 
     def taken(self) -> DataFrame:
         """Words taken of every document, repeats counted."""
         times = self.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
         words = F.coalesce(F.sum(F.col("n_words") * F.col("times")), F.lit(0)).alias("taken")
-        return self.spans().join(times, ["s", "block"], "left").groupBy("s", "off", "doc_id", "source", "size", "source_size", "target").agg(words)
+        return self.spans().join(times.hint("merge"), ["s", "block"], "left").groupBy("s", "off", "doc_id", "source", "size", "source_size", "target").agg(words)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0, block_words: int = 64, shard_slots: int = 4096, seed: int = 7, part_rows: int = 20_000) -> Mix:
