@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmart.llm.base import BASE, BYTE_CODE, INVERSE, IS_SPACE, LOWER, chunks, mixed, powers, release, stored, text_bytes
@@ -116,13 +116,16 @@ def layout(threshold: Fraction) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def block_keys(own: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of every column block that a document enters. Keys tell class, block and content."""
-    docs, keys = [], []
+def block_keys(own: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, class, spare) of every column block that a document enters. Keys tell class, block and content.
+
+    spare: so many of the document's keys of this class may be left out, whichever, as linked rows agree on more.
+    """
+    out = []
     first = np.cumsum(sizes) - sizes
-    for lo, most, blocks, spare, k in classes:
+    for lo, most, blocks, empty_allowed, k in classes:
         at = np.flatnonzero((sizes >= max(lo, 2)) & (sizes <= most))
-        if not len(at) or lo > sizes.max():
+        if not len(at):
             continue
         index = np.repeat(np.arange(len(at)), sizes[at])
         take = np.arange(len(index)) - np.repeat(np.cumsum(sizes[at]) - sizes[at], sizes[at]) + np.repeat(first[at], sizes[at])
@@ -132,13 +135,14 @@ def block_keys(own: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes) -
         np.add.at(total, cell, mixed(g))
         filled = np.bincount(cell, minlength=len(total))
         empty = (filled.reshape(-1, blocks) == 0).sum(1)
-        use = (filled > 0) | np.repeat(empty > spare, blocks)  # a document with too many empty blocks shows them too
+        use = (filled > 0) | np.repeat(empty > empty_allowed, blocks)  # a document with too many empty blocks shows them too
         cells = np.flatnonzero(use)
-        keys.append(mixed(mixed(total[cells] + filled[cells].astype(np.uint64)) + np.uint64(k << 40) + (cells % blocks).astype(np.uint64)))
-        docs.append(at[cells // blocks])
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs), np.concatenate(keys)
+        key = mixed(mixed(total[cells] + filled[cells].astype(np.uint64)) + np.uint64(k << 40) + (cells % blocks).astype(np.uint64))
+        row = cells // blocks
+        out.append((at[row], key, np.full(len(key), k), np.maximum(empty_allowed - empty, 0)[row]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _pieces(batch, n: int):
@@ -158,7 +162,7 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n_shingles, set_hash (of the whole set), keys (of its column blocks)."""
+    """doc_id, n_shingles, h1 and h2 (of the whole set), and keys, classes and spare of its column blocks."""
     classes = layout(threshold)
 
     def work(batches):
@@ -168,14 +172,16 @@ def sketches(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                 sums = np.zeros((2, j - i), np.uint64)
                 np.add.at(sums[0], own, mixed(grams))
                 np.add.at(sums[1], own, mixed(grams ^ np.uint64(0xA5A5A5A5A5A5)))
-                doc, keys = block_keys(own, grams, sizes, classes)
+                doc, keys, size_class, spare = block_keys(own, grams, sizes, classes)
                 order = np.argsort(doc, kind="stable")
+                doc = doc[order]
+                parts = [_lists(x[order], doc, j - i) for x in (keys, size_class, spare)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(keys[order], doc[order], j - i)],
-                    ["doc_id", "n_shingles", "h1", "h2", "keys"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *parts],
+                    ["doc_id", "n_shingles", "h1", "h2", "keys", "classes", "spare"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, classes array<long>, spare array<long>")
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -326,16 +332,26 @@ def _sketched(texts: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame,
     same = ["n_shingles", "h1", "h2"]
     reps = all_rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"))
     member = stored(all_rows.select("doc_id", *same).join(reps, same, "left").select("doc_id", "n_shingles", "rep"))
-    only = all_rows.join(reps, same).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys")
+    only = all_rows.join(reps, same).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys", "classes", "spare")
     return member, stored(only.dropDuplicates(["id"]))
 
 
 def _shared(only: DataFrame) -> DataFrame:
-    """Pairs (a, b): each row with the first row of every column block that it shares."""
+    """Pairs (a, b): each row with the first row of every column block that it shares.
+
+    A row leaves out its most frequent blocks, as many as it can spare: two linked rows agree on more blocks than either
+    leaves out, so the rarest block that both hold is kept by both. Passages that many documents share drop out here.
+    """
+    spark = only.sparkSession
     keyed = only.select("id", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"))
-    release(only.sparkSession)
-    return stored(keyed.join(shared, "key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
+    release(spark)
+    keyed = only.select("id", F.explode(F.arrays_zip("keys", "classes", "spare")).alias("k")).select("id", F.col("k.keys").alias("key"), F.col("k.classes").alias("class"), F.col("k.spare").alias("spare"))
+    place = F.row_number().over(Window.partitionBy("id", "class").orderBy(F.desc("often"), F.desc("key")))
+    held = stored(keyed.join(shared, "key").withColumn("place", place).where("place > spare").select("id", "key"))
+    release(spark)
+    first = held.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
+    return stored(held.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
 
 
 def join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
