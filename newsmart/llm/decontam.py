@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsmart.llm.base import stored
+
 BROADCAST_SEEDS = 1_000_000
 #: 1: the position counts.
 MASKS = ["1101011", "1110010111"]
@@ -65,6 +67,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: list[str] = MASKS, simil
     tried = _windows(texts, ["doc_id"], offsets, sorted(short))
     hits = tried.join(small(known), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     per = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits")).withColumnRenamed("doc_id", "_id")
+    per = stored(per)  # so the planner knows how few documents have hits
 
     # compare along each diagonal
     found = texts.join(per, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "t", F.explode("hits").alias("hit")).select("doc_id", "t", "hit.item_id", "hit.shift")
@@ -77,5 +80,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: list[str] = MASKS, simil
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    bad = stored(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct())
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti").select(docs.columns)

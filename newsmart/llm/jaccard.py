@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsmart.llm.base import BASE, BYTE_CODE, INVERSE, IS_SPACE, LOWER, chunks, mixed, powers, release, stored, text_bytes
+from newsmart.llm.base import BASE, BYTE_CODE, INVERSE, IS_SPACE, LOWER, chunks, discard, mixed, powers, release, stored, text_bytes
 from newsmart.operators.graph import connected_components
 
 CLASS_RATIO = 1.4  # sizes of one class differ by at most this factor
@@ -333,7 +333,9 @@ def _sketched(texts: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame,
     reps = all_rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"))
     member = stored(all_rows.select("doc_id", *same).join(reps, same, "left").select("doc_id", "n_shingles", "rep"))
     only = all_rows.join(reps, same).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys", "classes", "spare")
-    return member, stored(only.dropDuplicates(["id"]))
+    only = stored(only.dropDuplicates(["id"]))
+    discard(all_rows)
+    return member, only
 
 
 def _shared(only: DataFrame) -> DataFrame:
@@ -351,7 +353,9 @@ def _shared(only: DataFrame) -> DataFrame:
     held = stored(keyed.join(shared, "key").withColumn("place", place).where("place > spare").select("id", "key"))
     release(spark)
     first = held.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
-    return stored(held.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    pairs = stored(held.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    discard(shared, held)
+    return pairs
 
 
 def join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -360,7 +364,8 @@ def join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     member, only = _sketched(texts, n, threshold)
     release(spark)
-    pairs = _shared(only)
+    pairs, sizes = _shared(only), stored(only.select("id", "n"))
+    discard(only)
     release(spark)
     if pairs.isEmpty():
         return member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
@@ -369,8 +374,9 @@ def join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) ->
     release(spark)
     edges = stored(linked(pairs, sets, threshold))
     release(spark)
-    rows = only.select("id", "n").join(family, "id").join(components(edges), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = sizes.join(family, "id").join(components(edges), "id", "left").withColumn("label", F.coalesce("label", "id"))
     edges = edges.unionByName(stored(tile_links(rows, sets, threshold)))
+    discard(sets)
     release(spark)
     out = member.join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
@@ -382,7 +388,7 @@ def one_each(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5))
     Of rows that repeat that id one stays; rows with a null id stay.
     """
     found = stored(join(docs, n, threshold))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept

@@ -30,7 +30,7 @@ ORDER = 3
 @dataclass
 class Model:
     langs: list[str]
-    code: np.ndarray  # byte -> symbol; 0: never seen in training
+    code: np.ndarray  # byte -> symbol; 0 is the start of a text, the last symbol stands for bytes never seen in training
     n: int  # symbols
     row: np.ndarray  # code of three symbols of context -> row of cost
     cost: np.ndarray  # (row, symbol, language) -> bits
@@ -48,9 +48,9 @@ def train(texts: dict[str, list[bytes]], least: int = 2) -> Model:
     """texts by language -> model. Contexts of two and three bytes seen fewer than ``least`` times are pruned."""
     langs = sorted(texts)
     seen = np.unique(np.frombuffer(b"".join(b for t in texts.values() for b in t), np.uint8))
-    code = np.zeros(256, np.int64)
+    n = len(seen) + 2
+    code = np.full(256, n - 1)
     code[seen] = np.arange(1, len(seen) + 1)
-    n = len(seen) + 1
     streams = {}
     for lang in langs:
         x = [np.concatenate([np.zeros(ORDER, np.int64), code[np.frombuffer(b, np.uint8)]]) for b in texts[lang]]

@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsmart.llm.base import stored
 from newsmart.llm.spans import KEY, keyed, matches, per_document, uncovered
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -100,6 +101,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by ``mask``; n_chars, where present, follows the text."""
     _, spans = secrets(docs)
     per = spans.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts")).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    per = stored(per)  # so the planner knows how few documents have secrets
     text = F.coalesce(F.col("text"), F.lit(""))
     # a cut keeps what stands before it, so overlapping cuts leave one mask
     done = F.aggregate(
