@@ -44,7 +44,7 @@ def curated(t):
         F.lit("COUNTRY").alias("entity_type"), F.col("code").alias("country_code"), F.array("name", F.concat(F.lit("Republic of "), "name")).alias("aliases"),
     )
     r = t.raw("region").select(
-        F.concat(F.upper(F.substring("r_name", 1, 1)), F.lower(F.substring("r_name", 2, 99))).alias("canonical_name"), F.lit("REGION").alias("entity_type"), F.lit(None).cast("string").alias("country_code"), F.array("r_name").alias("aliases")
+        F.concat(F.upper(F.substring("r_name", 1, 1)), F.lower(F.expr("substring(r_name, 2)"))).alias("canonical_name"), F.lit("REGION").alias("entity_type"), F.lit(None).cast("string").alias("country_code"), F.array("r_name").alias("aliases")
     )
     g = t.raw("part").select("p_brand").distinct().select(F.col("p_brand").alias("canonical_name"), F.lit("COMPANY").alias("entity_type"), F.lit(None).cast("string").alias("country_code"), F.array(F.concat("p_brand", F.lit(" Inc."))).alias("aliases"))
     return n.unionByName(r).unionByName(g)

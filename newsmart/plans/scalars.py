@@ -291,7 +291,7 @@ def source_labels(t):
         F.coalesce(F.element_at(text.str_map(lx.FAMILY_LABELS), F.col("source_family")), F.col("source_family")).alias("family_label"),
         F.coalesce(
             F.element_at(text.str_map({k: v[0] for k, v in lx.TIER_LABELS.items()}), tier),
-            F.concat(F.upper(F.substring(tier, 1, 1)), F.lower(F.substring(tier, 2, 99))),
+            F.concat(F.upper(F.substring(tier, 1, 1)), F.lower(F.substring(tier, F.lit(2), F.length(tier)))),
         ).alias("tier_label"),
         F.coalesce(F.element_at(text.str_map({k: v[1] for k, v in lx.TIER_LABELS.items()}), tier), F.lit(1)).alias("tier_weight"),
         F.when(F.col("category").isNull(), F.lit("Strategic intelligence briefings and sector updates."))

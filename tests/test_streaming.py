@@ -53,3 +53,15 @@ def test_job_timeouts(spark, tmp_path):
     spark.createDataFrame([(9, "success", m(700), 10)], cols).coalesce(1).write.mode("append").parquet(src)
     got = {r["article_id"]: r["state"] for r in jobstate.run_available(read(), str(tmp_path / "out"), "0 seconds").collect()}
     assert got[1] == "STALE" and got[2] == "RETRYABLE"
+
+
+def test_late_items_are_kept(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    first = spark.createDataFrame([(1, "a", "One", "http://x/1", None, None, T0 + 3 * day)], ITEM)
+    late = spark.createDataFrame([(2, "a", "Two", "http://x/2", None, None, T0), (3, "a", "Three", "http://x/3", None, None, T0 + 3 * day)], ITEM)
+    src = str(tmp_path / "in")
+    first.write.parquet(src)
+    stream.run_available(spark.readStream.schema(first.schema).parquet(src), str(tmp_path / "out"))
+    late.write.mode("append").parquet(src)
+    got = stream.run_available(spark.readStream.schema(first.schema).parquet(src), str(tmp_path / "out"))
+    assert sorted(r["item_id"] for r in got.collect()) == [1, 2, 3]
