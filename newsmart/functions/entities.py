@@ -56,6 +56,26 @@ def normalize_type(raw: Column) -> Column:
     )
 
 
+def _capitalised(c: Column) -> Column:
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
+
+
+def family_label(c: Column) -> Column:
+    """Label of a source family in any case; news when missing, the capitalised word when unknown."""
+    family = F.coalesce(F.when(c != "", c), F.lit("news"))
+    return F.coalesce(F.element_at(str_map(lx.FAMILY_LABELS), F.lower(family)), _capitalised(family))
+
+
+def tier_label(c: Column) -> Column:
+    """Label of a trust tier in any case; primary when missing, the capitalised word when unknown."""
+    tier = F.coalesce(F.when(c != "", c), F.lit("primary"))
+    return F.coalesce(F.element_at(str_map({k: v[0] for k, v in lx.TIER_LABELS.items()}), F.lower(tier)), _capitalised(tier))
+
+
+def tier_weight(c: Column) -> Column:
+    return F.coalesce(F.element_at(str_map({k: v[1] for k, v in lx.TIER_LABELS.items()}), F.lower(c)), F.lit(1))
+
+
 def country_alias(c: Column) -> Column:
     return F.element_at(str_map(lx.COUNTRY_ALIASES), F.lower(strip(c)))
 

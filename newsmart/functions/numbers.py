@@ -16,6 +16,11 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
 
+def hash_sum(c: Column) -> Column:
+    """Aggregate: sum of 60 bits of each value's SHA-256. The order does not matter and nothing is gathered."""
+    return F.sum(F.conv(F.substring(F.sha2(c.cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)"))
+
+
 def fixed(c: Column, digits: int) -> Column:
     """Text with exactly that many decimals."""
     return F.format_string(f"%.{digits}f", c)

@@ -293,15 +293,33 @@ COUNTRY_NAME_ALIASES = {
     "russia": "RU", "russian federation": "RU", "south korea": "KR", "republic of korea": "KR",
     "korea": "KR",
 }
-# ISO 3166-1 numeric codes of the named countries; pass the full list as a DataFrame for more.
+# The whole table of ISO 3166-1 numeric codes.
 ISO_NUMERIC = {
-    "840": "US", "826": "GB", "156": "CN", "076": "BR", "250": "FR", "710": "ZA", "756": "CH",
-    "528": "NL", "356": "IN", "392": "JP", "276": "DE", "643": "RU", "818": "EG", "231": "ET",
-    "364": "IR", "784": "AE", "682": "SA", "124": "CA", "380": "IT", "036": "AU", "410": "KR",
-    "702": "SG", "360": "ID", "032": "AR", "484": "MX", "792": "TR", "634": "QA", "246": "FI",
-    "208": "DK", "352": "IS", "578": "NO", "752": "SE", "233": "EE", "428": "LV", "440": "LT",
-    "096": "BN", "116": "KH", "418": "LA", "458": "MY", "104": "MM", "608": "PH", "764": "TH",
-    "626": "TL", "704": "VN",
+    "004": "AF", "008": "AL", "012": "DZ", "016": "AS", "020": "AD", "024": "AO", "028": "AG", "032": "AR",
+    "051": "AM", "036": "AU", "040": "AT", "031": "AZ", "044": "BS", "048": "BH", "050": "BD", "052": "BB",
+    "112": "BY", "056": "BE", "084": "BZ", "204": "BJ", "060": "BM", "064": "BT", "068": "BO", "070": "BA",
+    "072": "BW", "076": "BR", "096": "BN", "100": "BG", "854": "BF", "108": "BI", "116": "KH", "120": "CM",
+    "124": "CA", "132": "CV", "140": "CF", "148": "TD", "152": "CL", "156": "CN", "170": "CO", "174": "KM",
+    "178": "CG", "180": "CD", "188": "CR", "384": "CI", "191": "HR", "192": "CU", "196": "CY", "203": "CZ",
+    "208": "DK", "262": "DJ", "212": "DM", "214": "DO", "218": "EC", "818": "EG", "222": "SV", "226": "GQ",
+    "232": "ER", "233": "EE", "231": "ET", "242": "FJ", "246": "FI", "250": "FR", "266": "GA", "270": "GM",
+    "268": "GE", "276": "DE", "288": "GH", "300": "GR", "308": "GD", "320": "GT", "324": "GN", "624": "GW",
+    "328": "GY", "332": "HT", "340": "HN", "348": "HU", "352": "IS", "356": "IN", "360": "ID", "364": "IR",
+    "368": "IQ", "372": "IE", "376": "IL", "380": "IT", "388": "JM", "392": "JP", "400": "JO", "398": "KZ",
+    "404": "KE", "296": "KI", "408": "KP", "410": "KR", "414": "KW", "417": "KG", "418": "LA", "428": "LV",
+    "422": "LB", "426": "LS", "430": "LR", "434": "LY", "438": "LI", "440": "LT", "442": "LU", "807": "MK",
+    "450": "MG", "454": "MW", "458": "MY", "462": "MV", "466": "ML", "470": "MT", "584": "MH", "478": "MR",
+    "480": "MU", "484": "MX", "583": "FM", "498": "MD", "492": "MC", "496": "MN", "499": "ME", "504": "MA",
+    "508": "MZ", "104": "MM", "516": "NA", "520": "NR", "524": "NP", "528": "NL", "554": "NZ", "558": "NI",
+    "562": "NE", "566": "NG", "578": "NO", "512": "OM", "586": "PK", "585": "PW", "591": "PA", "598": "PG",
+    "600": "PY", "604": "PE", "608": "PH", "616": "PL", "620": "PT", "634": "QA", "642": "RO", "643": "RU",
+    "646": "RW", "659": "KN", "662": "LC", "670": "VC", "882": "WS", "674": "SM", "678": "ST", "682": "SA",
+    "686": "SN", "688": "RS", "690": "SC", "694": "SL", "702": "SG", "703": "SK", "705": "SI", "090": "SB",
+    "706": "SO", "710": "ZA", "728": "SS", "724": "ES", "144": "LK", "729": "SD", "740": "SR", "748": "SZ",
+    "752": "SE", "756": "CH", "760": "SY", "158": "TW", "762": "TJ", "834": "TZ", "764": "TH", "626": "TL",
+    "768": "TG", "776": "TO", "780": "TT", "788": "TN", "792": "TR", "795": "TM", "798": "TV", "800": "UG",
+    "804": "UA", "784": "AE", "826": "GB", "840": "US", "858": "UY", "860": "UZ", "548": "VU", "862": "VE",
+    "704": "VN", "887": "YE", "894": "ZM", "716": "ZW",
 }
 LENSES = {
     "brics": ("BRICS", ["BR", "RU", "IN", "CN", "ZA", "EG", "ET", "IR", "AE", "SA"]),

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from newsmart import lexicon as lx
 from newsmart.functions import dates, scoring
-from newsmart.functions.numbers import round_half_up
+from newsmart.functions.numbers import hash_sum, round_half_up
 from newsmart.operators import pairs
 from newsmart.operators.annotations import pick_annotation
 from newsmart.operators.joins import with_source
 from newsmart.session import cut_lineage
 
-LIST_LIMIT = 10_000  # members up to which a fingerprint reads the id list itself
-
 
 def assign(feats: DataFrame, threshold: float = 0.70) -> DataFrame:
     """(id, label) for every feature row; label is the smallest member id."""
@@ -31,18 +29,10 @@ def assign_articles(articles: DataFrame, sources: DataFrame, annotations: DataFr
 
 
 def fingerprint(members: DataFrame, by: list[str]) -> DataFrame:
-    """Cluster id from the member ids.
-
-    Up to LIST_LIMIT members the digest reads the sorted id list. A larger cluster is digested from
-    its count, smallest id and an order-free hash sum, so its ids are never gathered in one row.
-    """
-    g = members.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mix")
-    )
-    small = members.join(g.where(F.col("n") <= LIST_LIMIT).select(*by), by, "left_semi")
-    listed = small.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string")), "-").alias("ids"))
-    text = F.coalesce("ids", F.concat_ws("-", F.col("n").cast("string"), F.col("first_id").cast("string"), F.col("mix").cast("string")))
-    return g.join(listed, by, "left").select(
+    """Cluster id from count, smallest id and an order-free hash sum of the member ids: one rule at every size."""
+    g = members.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), hash_sum(F.col("id")).alias("mix"))
+    text = F.concat_ws("-", F.col("n").cast("string"), F.col("first_id").cast("string"), F.col("mix").cast("string"))
+    return g.select(
         *by, F.concat(F.lit("evt_"), F.col("first_id").cast("string"), F.lit("_"), F.substring(F.sha2(text, 256), 1, 16)).alias("cluster_id")
     )
 

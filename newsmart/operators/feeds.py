@@ -16,6 +16,7 @@ from newsmart.functions import dates
 from newsmart.functions.scoring import feed_sections
 from newsmart.operators.annotations import out_of_scope, pick_annotation
 from newsmart.operators.joins import with_source
+from newsmart.operators.windows import global_rank
 
 EFFECTIVE = F.coalesce
 
@@ -119,11 +120,13 @@ def section_feed(
 
 
 def paginate(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page with totals. The count runs first so that a page past the end is clamped."""
-    total = rows.count()
+    """One page with totals. Rows are ranked over range partitions, so the last page of a long history is as cheap as the
+    first; a page past the end is clamped."""
+    ranked = global_rank(rows, order)
+    total = ranked.count()
     pages = max(1, math.ceil(total / size))
     page = min(max(1, page), pages)
-    out = rows.orderBy(*order).offset((page - 1) * size).limit(size)
+    out = ranked.where(F.col("rank").between((page - 1) * size + 1, page * size)).drop("rank")
     return out.select(
         "*", F.lit(page).alias("page"), F.lit(total).cast("bigint").alias("total"), F.lit(pages).alias("total_pages"),
         F.lit(page > 1).alias("has_prev"), F.lit(page < pages).alias("has_next"),

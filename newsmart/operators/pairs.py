@@ -50,17 +50,12 @@ def features(articles: DataFrame, sources: DataFrame, annotations: DataFrame | N
 
 def by_part(feats: DataFrame, parts: DataFrame, part: str) -> DataFrame:
     """Repeat features for every part an article belongs to (an edition, say). Parts never link to
-    each other; the working id packs the day number of the part above the article id."""
-    day = F.datediff(F.col(part), F.lit("1970-01-01").cast("date")).cast("bigint")
+    each other; the working id is the struct (part, id)."""
     return parts.select("id", part).join(feats.drop("part"), "id").select(
-        F.shiftleft(day, 44).bitwiseOR(F.col("id")).alias("id"), "source_id", "at_us", "pub_us", "f", F.col(part).cast("string").alias("part")
+        F.struct(F.col(part).alias("part"), "id").alias("id"), "source_id", "at_us", "pub_us", "f", F.col(part).cast("string").alias("part")
     )
 
 
-def article_of(packed: Column) -> Column:
-    return packed.bitwiseAND(F.lit((1 << 44) - 1))
-
-
 def title_similarity(a: Column, b: Column) -> Column:
     """Mean of Jaccard and overlap coefficient on two token sets."""
     both, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))

@@ -95,8 +95,7 @@ def edition_clusters(articles: DataFrame, sources: DataFrame, annotations: DataF
     placed = cut_lineage(edition_windows(ok).select("id", "edition_date"))
     feats = pairs.by_part(pairs.features(ok, sources, annotations), placed, "edition_date")
     labels = clusters.assign(feats, threshold)
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.shiftright("id", 44).cast("int"))
-    members = cut_lineage(labels.select(day.alias("edition_date"), pairs.article_of(F.col("id")).alias("id"), pairs.article_of(F.col("label")).alias("label")))
+    members = cut_lineage(labels.select(F.col("id.part").alias("edition_date"), F.col("id.id").alias("id"), F.col("label.id").alias("label")))
     keys = ["edition_date", "label"]
     scored = clusters.scored_members(articles, members, sources, annotations, as_of, keys)
     c = clusters.summarise(scored, keys).join(clusters.fingerprint(members, keys), keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsmart.session import cut_lineage
 
 
-def global_rank(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: list, partitions: int | None = None) -> DataFrame:
     """Row number over the full order (which must end in a unique column).
 
     The rows are range-partitioned and written once, so partition membership is fixed; each

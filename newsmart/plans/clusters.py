@@ -126,13 +126,13 @@ def article_components(t):
 
 
 @query("G2", """
-WITH RECURSIVE e AS (SELECT l_partkey AS a, p_partkey AS b FROM lineitem JOIN part ON p_partkey = l_partkey + l_suppkey WHERE l_quantity = 50 AND l_linenumber <= 2),
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, p_partkey AS b FROM lineitem JOIN part ON p_partkey = l_partkey + l_suppkey),
  sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), v AS (SELECT DISTINCT a AS id FROM sym),
  walk AS (SELECT id, id AS root FROM v UNION SELECT sym.b, walk.root FROM walk JOIN sym ON sym.a = walk.id WHERE walk.root < sym.b)
 SELECT id, min(root) AS label FROM walk GROUP BY 1""")
 def supply_components(t):
     """The component step on an unrelated graph with long chains."""
-    li = t.raw("lineitem").where((F.col("l_quantity") == 50) & (F.col("l_linenumber") <= 2)).select("l_partkey", "l_suppkey")
+    li = t.raw("lineitem").select("l_partkey", "l_suppkey").distinct()
     p = t.raw("part").select(F.col("p_partkey").alias("v"))
     e = li.select(F.col("l_partkey").alias("u"), (F.col("l_partkey") + F.col("l_suppkey")).alias("v")).join(p, "v").select("u", "v")
     loops = e.select("u").union(e.select("v")).distinct().select(F.col("u").alias("id"))
@@ -149,7 +149,7 @@ CLUSTERS_SQL = f"""{_edges},
  pr AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY label ORDER BY editorial DESC, coalesce(source_type IN {s.inlist(lx.OFFICIAL_SOURCE_TYPES)}, false) DESC, coalesce(epoch_us(published_at), 0) DESC, id) = 1),
  cl AS (SELECT pr.label, 'evt_' || pr.label || '_' || substr(sha256(g.ids), 1, 16) AS cluster_id, pr.title AS canonical_title, pr.id AS primary_id, pr.category, CAST(pr.k AS INT) AS distinct_source_count, g.n AS article_count,
    {s.rnd('least(100.0e0, pr.editorial + least(15.0e0, (pr.k - 1) * 5.0e0))', 1)} AS cluster_score, pr.editorial AS primary_score, g.earliest_at, g.latest_at, pr.source_id AS primary_source_id, pr.source_type AS primary_source_type, pr.importance_score AS primary_importance
-  FROM pr JOIN (SELECT label, count(*) AS n, min(eff_at) AS earliest_at, max(eff_at) AS latest_at, string_agg(CAST(id AS VARCHAR), '-' ORDER BY id) AS ids FROM mem GROUP BY 1) g ON g.label = pr.label)"""
+  FROM pr JOIN (SELECT label, count(*) AS n, min(eff_at) AS earliest_at, max(eff_at) AS latest_at, count(*) || '-' || min(id) || '-' || {s.hash_sum('id')} AS ids FROM mem GROUP BY 1) g ON g.label = pr.label)"""
 
 
 def built(t):

@@ -45,7 +45,7 @@ EDITION_SQL = f"""edge AS (SELECT a, b FROM {compare_sql(_pairs)} WHERE band = '
  pr AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY edition_date, label ORDER BY editorial DESC, coalesce(source_type IN {s.inlist(lx.OFFICIAL_SOURCE_TYPES)}, false) DESC, coalesce(epoch_us(published_at), 0) DESC, id) = 1),
  cl AS (SELECT pr.edition_date, pr.label, 'evt_' || pr.label || '_' || substr(sha256(g.ids), 1, 16) AS cluster_id, pr.title AS canonical_title, pr.id AS primary_id, {s.case_map('lower(pr.category)', lx.EVENT_SECTIONS, "'WORLD'")} AS section,
    CAST(pr.k AS INT) AS distinct_source_count, g.n AS article_count, {s.rnd('least(100.0e0, pr.editorial + least(15.0e0, (pr.k - 1) * 5.0e0))', 1)} AS cluster_score, g.latest_at, pr.source_id AS source, pr.source_type, pr.importance_score AS imp
-  FROM pr JOIN (SELECT edition_date, label, count(*) AS n, max(eff_at) AS latest_at, string_agg(CAST(id AS VARCHAR), '-' ORDER BY id) AS ids FROM mem GROUP BY 1, 2) g ON g.label = pr.label AND g.edition_date = pr.edition_date),
+  FROM pr JOIN (SELECT edition_date, label, count(*) AS n, max(eff_at) AS latest_at, count(*) || '-' || min(id) || '-' || {s.hash_sum('id')} AS ids FROM mem GROUP BY 1, 2) g ON g.label = pr.label AND g.edition_date = pr.edition_date),
  near AS (SELECT a, b FROM {compare_sql("SELECT x, y FROM plain_feat x JOIN plain_feat y ON x.id < y.id WHERE (x.id, y.id) IN (SELECT DISTINCT least(c.primary_id, d.primary_id), greatest(c.primary_id, d.primary_id) FROM cl c JOIN cl d ON c.edition_date = d.edition_date AND c.primary_id <> d.primary_id)")} WHERE score >= 0.55e0),
  dup AS (SELECT a AS id, list(b) AS ids FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY 1),
  cand AS (SELECT cl.*, coalesce(dup.ids, CAST([] AS BIGINT[])) AS dups, row_number() OVER (PARTITION BY edition_date ORDER BY cluster_score DESC, coalesce(nullif(imp, 0), 50) DESC, latest_at DESC, primary_id) AS pos FROM cl LEFT JOIN dup ON dup.id = primary_id),

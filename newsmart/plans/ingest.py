@@ -185,10 +185,10 @@ def registry_upsert(t):
 
 @query("A9", f"""
 WITH o AS ({_old}), n AS ({_new}), g AS (SELECT * FROM o WHERE name NOT IN (SELECT name FROM n) AND feed_url NOT IN (SELECT feed_url FROM n))
-SELECT *, CASE WHEN children = 0 THEN 'DELETE' ELSE 'DEACTIVATE' END AS action FROM (SELECT id, name, (SELECT count(*) FROM lineitem WHERE l_suppkey = id AND l_quantity > 49) AS children FROM g)""")
+SELECT *, CASE WHEN children = 0 THEN 'DELETE' ELSE 'DEACTIVATE' END AS action FROM (SELECT id, name, (SELECT count(*) FROM lineitem WHERE l_suppkey = id) AS children FROM g)""")
 def registry_retire(t):
     o, n = registries(t)
-    kids = t.raw("lineitem").where(F.col("l_quantity") > 49).select(F.col("l_suppkey").alias("id"))
+    kids = t.raw("lineitem").select(F.col("l_suppkey").alias("id"))
     return writers.retire_missing(o, n, ["name", "feed_url"], kids).select("id", "name", "children", "action")
 
 

@@ -21,9 +21,9 @@ from newsmart.sources.bind import NATION_CODES
 s.cte("mention", """
 WITH b AS (SELECT * FROM first_relevant), e AS (SELECT article_id, unnest(list_transform(entities, lambda x, i: {'name': trim(x.name), 'raw_type': CASE WHEN article_id % 6 = 0 THEN 'UNKNOWN' ELSE x.type END, 'context': CASE WHEN article_id % 6 = 0 THEN NULL ELSE x.context END, 'ord': i - 1})) AS m, entities, countries FROM b),
  c AS (SELECT article_id, entities, unnest(countries) AS name FROM b),
- c2 AS (SELECT article_id, name FROM c WHERE NOT list_contains(list_transform(entities, lambda x: lower(x.name)), lower(name)))
+ c2 AS (SELECT article_id, name, len(entities) AS n FROM c WHERE NOT list_contains(list_transform(entities, lambda x: lower(x.name)), lower(name)))
 SELECT article_id, m.name AS name, m.raw_type AS raw_type, m.context AS context, 'entities' AS field, CAST(m.ord AS BIGINT) AS ord FROM e WHERE length(m.name) > 1
-UNION ALL SELECT article_id, name, 'Country', NULL, 'countries', 100000 + row_number() OVER (PARTITION BY article_id) FROM c2""")
+UNION ALL SELECT article_id, name, 'Country', NULL, 'countries', n + row_number() OVER (PARTITION BY article_id) - 1 FROM c2""")
 
 
 def mentions(t):
@@ -179,7 +179,7 @@ SIGNAL_SQL = f"""{LINK_SQL}, obs AS ({_obs}), win AS (SELECT obs.as_of, cl.* FRO
   UNION ALL SELECT DISTINCT as_of, 'GEOGRAPHIC_CONCENTRATION', slug, 'geo:' || slug, canonical_name, win.cluster_id, primary_source_id FROM win JOIN ok ON ok.cluster_id = win.cluster_id WHERE entity_type IN ('COUNTRY', 'REGION')
   UNION ALL SELECT DISTINCT as_of, 'POLICY_ACTIVITY', 'policy-domain', 'domain:policy', NULL, win.cluster_id, primary_source_id FROM win WHERE category IN {s.inlist(lx.POLICY_CATEGORIES)} OR cluster_id IN (SELECT cluster_id FROM ok WHERE role IN ('ISSUER', 'LOCATION'))
   UNION ALL SELECT DISTINCT as_of, 'TECHNOLOGY_ACTIVITY', 'ai-technology', 'category:ai-technology', NULL, win.cluster_id, primary_source_id FROM win WHERE category = 'AI & Technology'),
- sg0 AS (SELECT as_of, signal_type, subject_key, fk, min(name) AS name, count(*) AS event_count, greatest(1, count(DISTINCT primary_source_id)) AS source_count, string_agg(cluster_id, ',' ORDER BY cluster_id) AS ids FROM sm GROUP BY ALL),
+ sg0 AS (SELECT as_of, signal_type, subject_key, fk, min(name) AS name, count(*) AS event_count, greatest(1, count(DISTINCT primary_source_id)) AS source_count, count(*) || ',' || {s.hash_sum('cluster_id')} AS ids FROM sm GROUP BY ALL),
  ecn AS (SELECT sm.as_of, signal_type, subject_key, count(DISTINCT ok.slug) AS k FROM sm JOIN ok ON ok.cluster_id = sm.cluster_id WHERE signal_type IN ('POLICY_ACTIVITY', 'TECHNOLOGY_ACTIVITY') GROUP BY ALL),
  sg AS (SELECT g.*, CASE WHEN signal_type IN ('ENTITY_CONCENTRATION', 'GEOGRAPHIC_CONCENTRATION') THEN 1 ELSE coalesce(k, 0) END AS entity_count, sha256(signal_type || ':' || fk || ':' || strftime(as_of - INTERVAL 7 DAY, '%Y-%m-%dT00:00:00Z') || ':' || strftime(as_of, '%Y-%m-%dT23:59:59Z') || ':' || ids) AS fingerprint,
    CASE signal_type WHEN 'ENTITY_CONCENTRATION' THEN 'Concentrated Event Activity: ' || name WHEN 'GEOGRAPHIC_CONCENTRATION' THEN 'Geographic Event Concentration: ' || name WHEN 'POLICY_ACTIVITY' THEN 'Concentrated Economic & Regulatory Policy Events' ELSE 'High Density AI & Technology Event Activity' END AS title
@@ -271,7 +271,7 @@ def attached_articles(t):
 _rest = f"""{_att}, rest AS (SELECT a.* FROM article a WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM att)),
  sym2 AS (SELECT a, b FROM edge WHERE a IN (SELECT id FROM rest) AND b IN (SELECT id FROM rest) UNION ALL SELECT b, a FROM edge WHERE a IN (SELECT id FROM rest) AND b IN (SELECT id FROM rest)),
  walk2 AS (SELECT id, id AS root FROM rest UNION SELECT sym2.b, walk2.root FROM walk2 JOIN sym2 ON sym2.a = walk2.id WHERE walk2.root < sym2.b),
- label2 AS (SELECT id, min(root) AS label FROM walk2 GROUP BY 1), name2 AS (SELECT label, 'evt_' || label || '_' || substr(sha256(string_agg(CAST(id AS VARCHAR), '-' ORDER BY id)), 1, 16) AS cluster_id FROM label2 GROUP BY 1)"""
+ label2 AS (SELECT id, min(root) AS label FROM walk2 GROUP BY 1), name2 AS (SELECT label, 'evt_' || label || '_' || substr(sha256(count(*) || '-' || min(id) || '-' || {s.hash_sum('id')}), 1, 16) AS cluster_id FROM label2 GROUP BY 1)"""
 
 
 @query("G6 A18", f"WITH RECURSIVE {_rest} SELECT id, cluster_id, 'ATTACHED' AS how FROM att UNION ALL SELECT id, cluster_id, 'NEW' FROM label2 JOIN name2 USING (label)")
@@ -281,9 +281,9 @@ def coverage_backfill(t):
 
 
 @query("E27", f"""
-WITH p AS (SELECT * FROM (VALUES ('7d', 7), ('14d', 14), ('30d', 30), ('all', 100000)) AS v(period, days))
+WITH p AS (SELECT * FROM (VALUES ('7d', 7), ('14d', 14), ('30d', 30), ('all', NULL)) AS v(period, days))
 SELECT period, count(*) AS eligible, count(*) FILTER (WHERE c) AS covered, {s.rnd('count(*) FILTER (WHERE c) / count(*) * 100.0e0', 2)} AS pct, {s.rnd('count(*) FILTER (WHERE c) / count(*) * 100.0e0', 2)} >= 95 AS passes
-FROM (SELECT a.*, a.id IN (SELECT article_id FROM annotation WHERE is_relevant) AS c FROM article a) a, p WHERE a.eff_at <= TIMESTAMP '{AS_OF}' AND a.eff_at >= TIMESTAMP '{AS_OF}' - to_days(CAST(days AS INT)) GROUP BY 1""")
+FROM (SELECT a.*, a.id IN (SELECT article_id FROM annotation WHERE is_relevant) AS c FROM article a) a, p WHERE a.eff_at <= TIMESTAMP '{AS_OF}' AND (days IS NULL OR a.eff_at >= TIMESTAMP '{AS_OF}' - to_days(CAST(days AS INT))) GROUP BY 1""")
 def coverage_by_period(t):
     done = t.annotations().where(F.col("is_relevant")).select(F.col("article_id").alias("id"))
     return backfill.coverage(t.articles(), done, dates.ts(AS_OF))

@@ -277,23 +277,34 @@ def country_numeric_codes(t):
     return c.select("nation_key", "code", n.alias("numeric_code"), entities.iso_code(n).alias("from_numeric"))
 
 
+@query("B23", f"""
+SELECT code, CASE WHEN code % 2 = 0 THEN CAST(code AS VARCHAR) ELSE lpad(CAST(code AS VARCHAR), 3, '0') END AS raw, {s.case_map("lpad(CAST(code AS VARCHAR), 3, '0')", lx.ISO_NUMERIC)} AS iso, n
+FROM (SELECT CAST(p_partkey % 1000 AS INT) AS code, count(*) AS n FROM part GROUP BY 1)""")
+def numbers_as_countries(t):
+    """Numbers below 1000, padded or not, as numeric country codes; most of them are none."""
+    code = F.col("code")
+    c = t.raw("part").groupBy((F.col("p_partkey") % 1000).cast("int").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    raw = F.when(code % 2 == 0, code.cast("string")).otherwise(F.lpad(code.cast("string"), 3, "0"))
+    return c.select("code", raw.alias("raw"), entities.iso_code(raw).alias("iso"), "n")
+
+
+# labels are read in mixed case, missing and unknown
+_spelled = lambda c: f"CASE id % 5 WHEN 1 THEN upper({c}) WHEN 2 THEN NULL WHEN 3 THEN 'odd Kind' ELSE {c} END"
+
+
 @query("B24", f"""
-SELECT name, coalesce({s.case_map('source_family', lx.FAMILY_LABELS)}, source_family) AS family_label,
-  coalesce({s.case_map('trust_tier', {k: v[0] for k, v in lx.TIER_LABELS.items()})}, upper(substr(trust_tier,1,1)) || lower(substr(trust_tier,2))) AS tier_label,
-  CAST(coalesce({s.case_map('trust_tier', {k: v[1] for k, v in lx.TIER_LABELS.items()})}, 1) AS INT) AS tier_weight,
+SELECT name, coalesce({s.case_map('lower(fam)', lx.FAMILY_LABELS)}, upper(substr(fam, 1, 1)) || lower(substr(fam, 2))) AS family_label,
+  coalesce({s.case_map('lower(tier)', {k: v[0] for k, v in lx.TIER_LABELS.items()})}, upper(substr(tier, 1, 1)) || lower(substr(tier, 2))) AS tier_label,
+  CAST(coalesce({s.case_map('lower(tier)', {k: v[1] for k, v in lx.TIER_LABELS.items()})}, 1) AS INT) AS tier_weight,
   CASE WHEN category IS NULL THEN 'Strategic intelligence briefings and sector updates.'
     ELSE coalesce({s.case_map('category', lx.SECTOR_DESCRIPTIONS)}, 'Coverage and strategic intelligence analysis for ' || category || '.') END AS sector
-FROM source_dim""")
+FROM (SELECT *, coalesce({_spelled('source_family')}, 'news') AS fam, coalesce({_spelled('trust_tier')}, 'primary') AS tier FROM source_dim)""")
 def source_labels(t):
-    tier = F.col("trust_tier")
+    way = F.col("id") % 5
+    spelled = lambda c: F.when(way == 1, F.upper(c)).when(way == 2, None).when(way == 3, F.lit("odd Kind")).otherwise(F.col(c))
     return t.sources().select(
-        "name",
-        F.coalesce(F.element_at(text.str_map(lx.FAMILY_LABELS), F.col("source_family")), F.col("source_family")).alias("family_label"),
-        F.coalesce(
-            F.element_at(text.str_map({k: v[0] for k, v in lx.TIER_LABELS.items()}), tier),
-            F.concat(F.upper(F.substring(tier, 1, 1)), F.lower(F.substring(tier, F.lit(2), F.length(tier)))),
-        ).alias("tier_label"),
-        F.coalesce(F.element_at(text.str_map({k: v[1] for k, v in lx.TIER_LABELS.items()}), tier), F.lit(1)).alias("tier_weight"),
+        "name", entities.family_label(spelled("source_family")).alias("family_label"), entities.tier_label(spelled("trust_tier")).alias("tier_label"),
+        entities.tier_weight(spelled("trust_tier")).alias("tier_weight"),
         F.when(F.col("category").isNull(), F.lit("Strategic intelligence briefings and sector updates."))
         .otherwise(
             F.coalesce(

@@ -60,6 +60,10 @@ def rnd(x: str, d: int) -> str:
     return f"(floor(({x}) * {float(10**d)!r} + 0.5) / {float(10**d)!r})"
 
 
+def hash_sum(x: str) -> str:
+    return f"CAST(sum(CAST('0x' || substr(sha256(CAST({x} AS VARCHAR)), 1, 15) AS HUGEINT)) AS VARCHAR)"
+
+
 def fmt_ts(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
 

@@ -13,20 +13,18 @@ def window_counts(rows: DataFrame, time: str, kind: str, size: str = "2 hours",
     ).select(F.col("w.start").alias("window_start"), kind, "n", "newest")
 
 
-def run_available(rows: DataFrame, time: str, kind: str, folder: str, delay: str = "30 days") -> DataFrame:
-    """Drain a stream of arrivals into window counts and return them."""
+def run_available(rows: DataFrame, time: str, kind: str, folder: str) -> DataFrame:
+    """Drain a stream of arrivals into window counts and return them.
+
+    Each micro-batch stores its own partial counts, a replayed one over its former ones; windows are their sums. There is no
+    time bound, so an arrival that lands late is counted like any other.
+    """
     spark = rows.sparkSession
-    out = window_counts(rows.withWatermark(time, delay), time, kind)
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/windows/epoch={epoch}")
+        window_counts(batch, time, kind).write.mode("overwrite").parquet(f"{folder}/windows/epoch={epoch}")
 
-    q = (
-        out.writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    )
+    q = rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows_ = spark.read.parquet(f"{folder}/windows")
-    # update mode: the last epoch of a window holds its final count
-    last = F.max_by(F.struct("n", "newest"), "epoch")
-    return rows_.groupBy("window_start", kind).agg(last.alias("x")).select("window_start", kind, "x.n", "x.newest")
+    parts = spark.read.parquet(f"{folder}/windows")
+    return parts.groupBy("window_start", kind).agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
