@@ -117,3 +117,19 @@ def test_fences(spark):
 def test_theme_and_language(spark):
     assert one(spark, "Top Tech News", text.is_generic_theme) and not one(spark, "Chip exports", text.is_generic_theme)
     assert one(spark, "Rates set to fall", text.has_predictive_language) and not one(spark, "Goodwill", text.has_predictive_language)
+
+
+@pytest.mark.parametrize("raw, want", [("004", "AF"), ("616", "PL"), ("840", "US"), ("8", "AL"), ("999", None), ("Russia", "RU"), (None, None)])
+def test_country_codes(spark, raw, want):
+    assert one(spark, raw, entities.iso_code) == want
+
+
+@pytest.mark.parametrize(
+    "raw, family, tier, weight",
+    [
+        (None, "News & Media", "Primary", 1), ("", "News & Media", "Primary", 1), ("Institutional", "Institutional", "Institutional", 2),
+        ("CENTRAL_BANK", "Central Bank", "Central_bank", 1), ("odd Kind", "Odd kind", "Odd kind", 1),
+    ],
+)
+def test_source_labels(spark, raw, family, tier, weight):
+    assert [one(spark, raw, f) for f in (entities.family_label, entities.tier_label, entities.tier_weight)] == [family, tier, weight]

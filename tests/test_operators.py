@@ -276,3 +276,12 @@ def test_contract(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     got = {r["column"]: (r["present"], r["type_ok"], r["nulls"]) for r in writers.contract_gaps(df, "t", {"a": "int", "b": "int", "c": "int"}).collect()}
     assert got == {"a": (True, True, 0), "b": (True, False, 1), "c": (False, False, None)}
+
+
+def test_large_ids_stay_apart_in_parts(spark):
+    from newsmart.operators import pairs
+
+    f = spark.createDataFrame([(i, 1, 0, 0, "x", "") for i in (-5, 7, (1 << 44) + 7, (1 << 62) + 7)], "id long, source_id int, at_us long, pub_us long, f string, part string")
+    parts = spark.createDataFrame([(r["id"], d) for r in f.collect() for d in (dt.date(2024, 1, 1), dt.date(2024, 1, 2))], "id long, day date")
+    got = pairs.by_part(f, parts, "day").select("id.part", "id.id").collect()
+    assert sorted((r["part"], r["id"]) for r in got) == sorted((r["day"], r["id"]) for r in parts.collect())

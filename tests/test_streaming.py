@@ -65,3 +65,14 @@ def test_late_items_are_kept(spark, tmp_path):
     late.write.mode("append").parquet(src)
     got = stream.run_available(spark.readStream.schema(first.schema).parquet(src), str(tmp_path / "out"))
     assert sorted(r["item_id"] for r in got.collect()) == [1, 2, 3]
+
+
+def test_late_arrivals_are_counted(spark, tmp_path):
+    days = lambda *n: spark.createDataFrame([(T0 + dt.timedelta(days=k), "a") for k in n], "ts timestamp, kind string")
+    src = str(tmp_path / "in")
+    run = lambda: freshness.run_available(spark.readStream.schema("ts timestamp, kind string").parquet(src), "ts", "kind", str(tmp_path / "out"))
+    days(90).write.parquet(src)
+    run()
+    days(0, 90).write.mode("append").parquet(src)
+    want = freshness.window_counts(days(90, 0, 90), "ts", "kind")
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, want.collect()))
