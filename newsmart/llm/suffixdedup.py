@@ -39,7 +39,7 @@ GRAM = 16
 WINDOW = LENGTH - GRAM + 1  # anchor places in a window
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 6 << 20
-PIECE = 1 << 20
+PIECE = 1 << 17
 PLACE = np.uint64((1 << 24) - 1)
 LEAST_ID = np.iinfo(np.int64).min
 
@@ -94,15 +94,19 @@ class Suffixes:
         p, q = self.start[a], self.start[b]
         left, right = np.minimum(p, q), np.maximum(p, q)
         lift = self.power[right - left]
-        low, high = np.zeros(len(a), np.int64), np.minimum(self.length[a], self.length[b])
+        most = np.minimum(self.length[a], self.length[b])
+        open_ = np.flatnonzero((self.total[left + most] - self.total[left]) * lift != self.total[right + most] - self.total[right])
+        left, right, lift = left[open_], right[open_], lift[open_]
         base_l, base_r = self.total[left], self.total[right]
-        whole = (self.total[left + high] - base_l) * lift == self.total[right + high] - base_r
-        low[whole] = high[whole]
-        for _ in range(int(high.max(initial=0)).bit_length()):
-            mid = (low + high + 1) >> 1
+        low, high = np.zeros(len(open_), np.int64), most[open_] - 1
+        step = 1 << int(high.max(initial=0)).bit_length()
+        while step > 1:  # low is a common length, and the common extension is less than low + 2 * step
+            step >>= 1
+            mid = np.minimum(low + step, high)
             same = (self.total[left + mid] - base_l) * lift == self.total[right + mid] - base_r
-            low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
-        return low
+            np.copyto(low, mid, where=same)
+        most[open_] = low
+        return most
 
     def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         n = self.extension(a, b)
