@@ -235,6 +235,18 @@ def annotation_issues(is_relevant: Column, category: Column, importance: Column,
     )
 
 
+def canonical_category(is_relevant: Column, category: Column) -> Column:
+    """The listed spelling of a relevant annotation's category; null out of scope or when unknown."""
+    known = str_map({c.lower(): c for c in lx.CATEGORIES})
+    return F.when(is_relevant, F.try_element_at(known, F.lower(strip(as_text(category)))))
+
+
+def rejection_text(is_relevant: Column, reason: Column) -> Column:
+    """The given reason of an annotation out of scope, else the standard one; null when relevant."""
+    given = strip(as_text(reason))
+    return F.when(~is_relevant, F.when(given != "", given).otherwise(F.lit(lx.OUT_OF_SCOPE)))
+
+
 def job_state(status: Column, processed: Column, as_of: Column, cooldown_s: int = 300, stale_s: int = 900) -> Column:
     """What one annotation row means for a retry decision at ``as_of``."""
     old = lambda s: processed < as_of - F.expr(f"INTERVAL {s} SECONDS")

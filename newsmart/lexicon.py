@@ -76,6 +76,9 @@ CATEGORIES = [
     "Supply Chain & Trade", "Energy", "Sustainability", "Research",
 ]
 
+# fixed text: the reason given when an annotation out of scope has none
+OUT_OF_SCOPE = "Article content is outside Daily Intelligence editorial scope"
+
 TITLE_CATEGORY_TERMS = [
     ("Energy", ["oil", "gas", "crude", "brent", "wti", "refinery", "opec", "solar", "nuclear",
                 "electricity", "power", "grid", "fuel"]),

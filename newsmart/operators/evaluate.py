@@ -32,7 +32,8 @@ def gold_by_passage(questions: DataFrame, documents: DataFrame, inner: int = 4)
 def question_metrics(questions: DataFrame, gold: DataFrame, records: DataFrame, packs: DataFrame, today: Column) -> DataFrame:
     """Hit rate, coverage, diversity, date scope, citation validity and refusal per question.
 
-    questions: query_id, category, scope. gold: query_id, id, core. All joins are on question and article.
+    questions: query_id, category, scope. gold: query_id, id, core. All joins are on question and article. Citations are
+    valid when every cited article was retrieved for its question; a result page bounds both lists.
     """
     r4 = lambda c: round_half_up(c, 4)
     hit = gold.join(records.select("query_id", "id", F.lit(1).alias("got")), ["query_id", "id"], "left")
@@ -47,7 +48,7 @@ def question_metrics(questions: DataFrame, gold: DataFrame, records: DataFrame,
         .when(F.col("scope") == "this_week", (local >= F.date_sub(today, 6)) & (local <= today)).otherwise(F.lit(True))
     )
     e = records.join(topic, "query_id").groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("evidence"), F.count_distinct("id").alias("ids"), F.count_distinct("source").alias("sources"),
+        F.count(F.lit(1)).alias("evidence"), F.count_distinct("id").alias("ids"), F.count_distinct("source").alias("sources"), F.collect_set("id").alias("retrieved"),
         F.bool_or(F.lower("category").contains(F.col("topic"))).alias("on_topic"), F.bool_and(in_scope).alias("scoped"),
     )
     m = questions.join(g, "query_id", "left").join(e, "query_id", "left").join(packs.select("query_id", "insufficient_evidence", "citations"), "query_id", "left")
@@ -55,6 +56,7 @@ def question_metrics(questions: DataFrame, gold: DataFrame, records: DataFrame,
     answerable = n("n_core") > 0
     ratio = lambda a, b: r4(F.col(a) / F.col(b))
     ok = F.col("evidence") > 0
+    strangers = F.array_except(F.transform("citations", lambda c: c["id"]), F.coalesce("retrieved", F.expr("cast(array() as array<bigint>)")))
     return m.select(
         "query_id", "category", "scope", answerable.alias("answerable"), n("evidence").alias("evidence_count"),
         F.when(n("n_core") > 0, ratio("core_hits", "n_core")).otherwise(F.lit(1.0)).alias("core_hit_rate"),
@@ -63,7 +65,7 @@ def question_metrics(questions: DataFrame, gold: DataFrame, records: DataFrame,
         F.when(ok, r4(F.lit(1.0) - F.col("ids") / F.col("evidence"))).otherwise(F.lit(0.0)).alias("duplicate_rate"),
         F.when(ok, ratio("sources", "evidence")).otherwise(F.lit(0.0)).alias("source_diversity"),
         F.coalesce("scoped", F.lit(True)).alias("temporal_pass"),
-        (F.coalesce(F.size("citations"), F.lit(0)) <= n("evidence")).alias("citation_valid"),
+        (strangers.isNull() | (F.size(strangers) == 0)).alias("citation_valid"),
         (answerable | F.coalesce("insufficient_evidence", F.lit(True)) | (n("evidence") == 0)).alias("refusal_pass"),
     )
 

@@ -711,32 +711,36 @@ def lead_significances(t):
     )
 
 
-_bad = "lower(coalesce(cat, '')) NOT IN " + s.inlist([c.lower() for c in lx.CATEGORIES])
+_bad = "lower(trim(coalesce(cat, ''))) NOT IN " + s.inlist([c.lower() for c in lx.CATEGORIES])
 
 
 @query("B48", f"""
 SELECT annotation_id, array_to_string(issues, '; ') AS issues,
   CASE WHEN len(issues) > 0 THEN 'invalid_json' WHEN is_relevant THEN 'success' ELSE 'out_of_scope' END AS status,
-  CASE WHEN NOT is_relevant THEN 'Outside editorial scope' END AS rejection_reason
+  CASE WHEN is_relevant THEN {s.case_map('lower(trim(cat))', {c.lower(): c for c in lx.CATEGORIES})} END AS category,
+  CASE WHEN NOT is_relevant THEN coalesce(nullif(trim(reason), ''), '{lx.OUT_OF_SCOPE}') END AS rejection_reason
 FROM (SELECT *, list_filter([CASE WHEN is_relevant IS NULL THEN 'is_relevant missing' END,
    CASE WHEN imp < 0 OR imp > 100 THEN 'importance_score out of range' END, CASE WHEN rel < 0 OR rel > 100 THEN 'relevance_score out of range' END,
    CASE WHEN is_relevant AND coalesce(cat, '') = '' THEN 'primary_category required' END,
    CASE WHEN is_relevant AND coalesce(cat, '') <> '' AND {_bad} THEN 'primary_category unknown' END], lambda x: x IS NOT NULL) AS issues
  FROM (SELECT annotation_id, is_relevant, importance_score + CASE WHEN article_id % 7 = 0 THEN 60 ELSE 0 END AS imp, relevance_score AS rel,
-   CASE WHEN article_id % 11 = 0 THEN NULL WHEN article_id % 13 = 0 THEN 'Gossip' ELSE primary_category END AS cat FROM annotation))""")
+   CASE WHEN article_id % 11 = 0 THEN NULL WHEN article_id % 13 = 0 THEN 'Gossip' WHEN article_id % 5 = 0 THEN ' ' || upper(primary_category) || ' ' ELSE primary_category END AS cat,
+   CASE article_id % 3 WHEN 0 THEN ' Sports only ' WHEN 1 THEN '  ' END AS reason FROM annotation))""")
 def annotation_validation(t):
     i = F.col("article_id")
     a = t.annotations().select(
         "annotation_id", "is_relevant", (F.col("importance_score") + F.when(i % 7 == 0, 60).otherwise(0)).alias("imp"),
         F.col("relevance_score").alias("rel"),
-        F.when(i % 11 == 0, None).when(i % 13 == 0, F.lit("Gossip")).otherwise(F.col("primary_category")).alias("cat"),
+        F.when(i % 11 == 0, None).when(i % 13 == 0, F.lit("Gossip")).when(i % 5 == 0, F.concat(F.lit(" "), F.upper("primary_category"), F.lit(" "))).otherwise(F.col("primary_category")).alias("cat"),
+        F.when(i % 3 == 0, F.lit(" Sports only ")).when(i % 3 == 1, F.lit("  ")).alias("reason"),
     )
     issues = scoring.annotation_issues(F.col("is_relevant"), F.col("cat"), F.col("imp"), F.col("rel"))
     return a.withColumn("issues", issues).select(
         "annotation_id", F.array_join("issues", "; ").alias("issues"),
         F.when(F.size("issues") > 0, F.lit("invalid_json")).when(F.col("is_relevant"), F.lit("success"))
         .otherwise(F.lit("out_of_scope")).alias("status"),
-        F.when(~F.col("is_relevant"), F.lit("Outside editorial scope")).alias("rejection_reason"),
+        scoring.canonical_category(F.col("is_relevant"), F.col("cat")).alias("category"),
+        scoring.rejection_text(F.col("is_relevant"), F.col("reason")).alias("rejection_reason"),
     )
 
 

@@ -72,7 +72,7 @@ class Tables:
         line = F.substring_index("text", "\n", 1)
         base = F.lit(EPOCH) + (i * 7919) % MONTH_SECONDS
         body = strip(F.substring(F.col("text"), F.length(line) + 2, F.length("text")))
-        number = F.substring(F.col("source"), 4, 9).cast("int")
+        number = F.expr("substring(source, 4)").cast("int")
         return d.select(
             i.alias("id"),
             F.when(i % 41 != 5, number + 1).alias("source_id"),
@@ -91,7 +91,7 @@ class Tables:
 
     def sources(self) -> DataFrame:
         """One row per feed. Grouped from the archive: map-side, then a handful of rows."""
-        n = F.substring(F.col("name"), 4, 9).cast("int")
+        n = F.expr("substring(name, 4)").cast("int")
         return (
             self.raw("documents").select(F.col("source").alias("name")).distinct()
             .select(

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from newsmart.functions import dates
-from newsmart.operators import annotations, archive, clusters, daily, evidence, feeds, graph, neighbours, pairs, saved, selection, signals, windows
+from newsmart.operators import annotations, archive, clusters, daily, evaluate, evidence, feeds, graph, neighbours, pairs, saved, selection, signals, windows
 from newsmart.sources import readers, writers
 
 T0 = dt.datetime(2024, 1, 10, 12)
@@ -285,3 +285,12 @@ def test_large_ids_stay_apart_in_parts(spark):
     parts = spark.createDataFrame([(r["id"], d) for r in f.collect() for d in (dt.date(2024, 1, 1), dt.date(2024, 1, 2))], "id long, day date")
     got = pairs.by_part(f, parts, "day").select("id.part", "id.id").collect()
     assert sorted((r["part"], r["id"]) for r in got) == sorted((r["day"], r["id"]) for r in parts.collect())
+
+
+def test_citations_of_articles_that_were_not_retrieved_are_invalid(spark):
+    questions = spark.createDataFrame([(q, "Energy", None) for q in (1, 2, 3)], "query_id long, category string, scope string")
+    gold = spark.createDataFrame([(1, 10, True)], "query_id long, id long, core boolean")
+    records = spark.createDataFrame([(1, 10, "s", ts(0), "Energy"), (2, 20, "s", ts(0), "Energy")], "query_id long, id long, source string, at timestamp, category string")
+    packs = spark.createDataFrame([(1, False, [(10,)]), (2, False, [(99,)]), (3, True, None)], "query_id long, insufficient_evidence boolean, citations array<struct<id:long>>")
+    found = evaluate.question_metrics(questions, gold, records, packs, F.lit(T0).cast("date"))
+    assert {r.query_id: r.citation_valid for r in found.collect()} == {1: True, 2: False, 3: True}
