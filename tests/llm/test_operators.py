@@ -1,6 +1,8 @@
 """Operators of the training-data pipeline against brute-force twins, and on nulls, empty texts, ties and repeats."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from fractions import Fraction
@@ -193,6 +195,41 @@ def test_leaks(spark, empty):
     assert sorted(str(r["doc_id"]) for r in decontam.clean(docs, bench).collect()) == ["3", "5", "6", "8"]
     assert decontam.leaks(empty, bench).count() == 0
 
+def test_leaks_of_parts_shifted_copies_and_short_items(spark):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    sizes = [500, 59, 20, 14, *range(7, 14), 15]
+    w = {k: [word() for _ in range(n)] for k, n in enumerate(sizes)}
+    around = lambda x: " ".join([word() for _ in range(9)] + x + [word() for _ in range(9)])
+    texts, want = [], set()
+
+    def add(x, k):
+        if k is not None:
+            want.add((len(texts), k))
+        texts.append((len(texts), around(x)))
+
+    add(w[0][120:420], 0)
+    add(w[1][10:50], 1)
+    for k in (1, 2, 3):
+        half = len(w[k]) // 2
+        add(w[k][:half] + [word()] + w[k][half:], k)
+        add(w[k][:half] + w[k][half + 1 :], k)
+    add(w[3][:5] + [word()] + w[3][5:], 3)  # one side is shorter than every seed
+    add([x if i % 7 else word() for i, x in enumerate(w[0][200:240])], 0)
+    for k in range(4, 12):
+        n = len(w[k])
+        for places in itertools.combinations(range(n), n - math.ceil(0.8 * n)):
+            add([word() if i in places else x for i, x in enumerate(w[k])], k)
+    add(w[0][50:62], None)  # twelve tokens
+    add(w[10][:9], None)
+    add(w[0][50:60] + [word() for _ in range(40)] + w[0][70:80], None)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in w.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(docs, bench).collect()}
+    assert set(got) == want
+    assert got[0, 0]["matched"] == 300 and got[0, 0]["start"] == 9 and got[1, 1]["matched"] == 40
+    assert decontam.clean(docs, bench).count() == 3
+
 
 def test_topk(spark):
     rng = np.random.default_rng(4)
