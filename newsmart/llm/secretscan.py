@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 A candidate is a run of token characters of at least ``window`` characters. Its character class (hex, upper and digits,
-mixed) sets the entropy that a window must reach. The window slides one character at a time: counts per character and the
+mixed) sets the entropy that a window must reach, or the window's own class where that asks for less and the window has
+both letters and digits. The window slides one character at a time: counts per character and the
 sum of c * log2(c) are updated for the character that enters and the one that leaves, so each step costs the same. The
-span found runs from the first to the last window that reaches the bar. Allow-listed candidates are suppressed, and so
-are those that a fixed pattern covers already.
+span found runs from the first to the last window that reaches the bar. Allow-listed candidates are suppressed. Of
+a span that fixed patterns cover in part, each piece that is left is a span, unless it is allow-listed.
 
 Defined results: null and empty texts have no spans; equal rows have equal results; null ids are kept. DataFrame
 functions only.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmart.llm.base import stored
-from newsmart.llm.spans import KEY, keyed, matches, per_document, uncovered
+from newsmart.llm.spans import KEY, keyed, matches, per_document, remainders
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -51,13 +52,19 @@ def char_class(value: Column) -> Column:
     return F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(value.rlike("^[A-Z0-9]+$"), "upper").otherwise("mixed")
 
 
-def entropy_range(value: Column, bar: Column, window: int) -> Column:
-    """struct(first, last): starts of the first and last window whose entropy reaches ``bar``; nulls if none does."""
+def traits(c: Column) -> list[Column]:
+    """Whether a character is outside of lower-case hex, of upper-case hex, of upper case and digits, of digits."""
+    digit, lower, upper = c.between(48, 57), c.between(97, 102), c.between(65, 70)
+    return [~(digit | lower), ~(digit | upper), ~(digit | c.between(65, 90)), ~digit]
+
+
+def entropy_range(value: Column, bar: Column, window: int, bars: dict[str, float]) -> Column:
+    """struct(first, last): starts of the first and last window whose entropy reaches its bar; nulls if none does."""
     clog = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
     chars = F.transform(F.split(value, ""), lambda c: F.ascii(c))
     beside = F.arrays_zip(chars, F.concat(F.array_repeat(F.lit(-1), window), chars))  # each character and the one that leaves for it
     step = F.filter(F.transform(beside, lambda z, i: F.struct(z["0"].alias("new"), z["1"].alias("old"), i.alias("i"))), lambda x: x["new"].isNotNull())
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), *[F.lit(0).alias(f"o{k}") for k in range(4)], F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
     def slide(state, x):
         count = state["counts"]
@@ -65,10 +72,13 @@ def entropy_range(value: Column, bar: Column, window: int) -> Column:
         leaves = F.when(out >= 0, F.get(clog, F.get(count, out) - 1) - F.get(clog, F.get(count, out))).otherwise(0.0)
         now = F.get(count, x["new"]) - F.when(out == x["new"], 1).otherwise(0)
         s = state["s"] + leaves + F.get(clog, now + 1) - F.get(clog, now)
-        high = (x["i"] >= window - 1) & (F.lit(math.log2(window)) - s / window >= bar - 1e-9)
+        outside = [state[f"o{k}"] + a.cast("int") - F.when(out >= 0, b.cast("int")).otherwise(0) for k, (a, b) in enumerate(zip(traits(x["new"]), traits(out)))]
+        both = outside[3].between(1, window - 1)
+        own = F.when(both & ((outside[0] == 0) | (outside[1] == 0)), bars["hex"]).when(both & (outside[2] == 0), bars["upper"])
+        high = (x["i"] >= window - 1) & (F.lit(math.log2(window)) - s / window >= F.least(bar, own) - 1e-9)
         counts = F.transform(count, lambda c, k: c + F.when(k == x["new"], 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
         at = x["i"] - (window - 1)
-        return F.struct(counts.alias("counts"), s.alias("s"), F.coalesce(state["first"], F.when(high, at)).alias("first"), F.when(high, at).otherwise(state["last"]).alias("last"))
+        return F.struct(counts.alias("counts"), *[c.alias(f"o{k}") for k, c in enumerate(outside)], s.alias("s"), F.coalesce(state["first"], F.when(high, at)).alias("first"), F.when(high, at).otherwise(state["last"]).alias("last"))
 
     return F.aggregate(step, zero, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
@@ -78,7 +88,7 @@ def entropy_matches(docs: DataFrame, window: int = 20, bars: dict[str, float] =
     value = F.col("value")
     kept = found.where(~value.rlike("^(" + "|".join(allowed) + ")$"))
     bar = F.element_at(F.create_map(*[F.lit(v) for k, b in bars.items() for v in (k, b)]), char_class(value))
-    scored = kept.withColumn("w", entropy_range(value, bar, window)).where("w.first is not null")
+    scored = kept.withColumn("w", entropy_range(value, bar, window, bars)).where("w.first is not null")
     begin = F.col("start")
     return scored.select(*KEY, "kind", F.substring(value, F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + window).alias("value"), (begin + F.col("w.first")).alias("start"), (begin + F.col("w.last") + window).alias("end"))
 
@@ -87,7 +97,8 @@ def secrets(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> keyed texts, and spans: doc_id, h, kind, value, start, end, base."""
     texts = keyed(docs)
     base = base_matches(texts)
-    extra = uncovered(entropy_matches(texts, window), base)
+    extra = remainders(entropy_matches(texts, window), base, r"[/_=+-]")
+    extra = extra.where(~F.col("value").rlike("^(" + "|".join(ALLOWED) + ")$"))
     return texts, base.withColumn("base", F.lit(True)).unionByName(extra.withColumn("base", F.lit(False)))
 
 

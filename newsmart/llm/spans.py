@@ -70,3 +70,21 @@ def uncovered(extra: DataFrame, base: DataFrame) -> DataFrame:
     b = base.select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "start", "end")])
     hit = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end"))
     return extra.join(b, hit, "left_anti")
+
+
+def remainders(extra: DataFrame, base: DataFrame, trim: str) -> DataFrame:
+    """Rows of ``extra`` without what spans of ``base`` of the same document cover: whole, or a row per piece left.
+
+    Pieces lose characters of the class ``trim`` at their ends.
+    """
+    b = base.select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "start", "end")])
+    hit = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end"))
+    cut = extra.join(b, hit).groupBy(*KEY, "kind", "value", "start", "end").agg(F.array_sort(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))).alias("_cuts"))
+    begins = F.transform("_cuts", lambda c, i: F.greatest(F.col("start"), F.array_max(F.transform(F.slice("_cuts", 1, i), lambda x: x["end"]))))
+    last = F.array_max(F.transform("_cuts", lambda c: c["end"]))
+    pieces = F.concat(F.transform(F.arrays_zip(begins.alias("from"), F.col("_cuts")), lambda z: F.struct(z["from"].alias("from"), z["_cuts"]["start"].alias("to"))), F.array(F.struct(last.alias("from"), F.col("end").alias("to"))))
+    rows = cut.select(*KEY, "kind", "value", "start", F.explode(pieces).alias("p")).where("p.to > p.from")
+    rows = rows.select(*KEY, "kind", F.substring(F.col("value"), (F.col("p.from") - F.col("start") + 1).cast("int"), (F.col("p.to") - F.col("p.from")).cast("int")).alias("value"), F.col("p.from").alias("start"))
+    rows = rows.withColumn("start", F.col("start") + F.length(F.regexp_extract("value", f"^{trim}+", 0))).withColumn("value", F.regexp_replace("value", f"^{trim}+|{trim}+$", "")).where("value <> ''")
+    rows = rows.withColumn("end", F.col("start") + F.length("value"))
+    return extra.join(b, hit, "left_anti").unionByName(rows.select(extra.columns))
