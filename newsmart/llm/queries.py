@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmart.llm import decontam, jaccard, langid, mixing, pii, secretscan, suffixdedup, topk, toxicity, urlrules
+from newsmart.llm import decontam, jaccard, langid, linededup, merkle, mixing, pii, secretscan, spelling, suffixdedup, topk, toxicity, urlrules
 from newsmart.llm.base import in_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,20 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixdedup.dedup(table(spark, folder, "documents"))
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query()
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(table(spark, folder, "documents"), in_bucket("doc_id", 5, 0))
+
+
+@query()
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    clean = linededup.clean(docs, linededup.index(docs))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
