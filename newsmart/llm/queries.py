@@ -98,17 +98,84 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixdedup.dedup(table(spark, folder, "documents"))
 
 
-@query()
+#: crc32 in SQL: its table of 256 words from the polynomial, and the sum over the bytes of a string, where column ``t`` holds the table.
+CRC_TABLE = "SELECT list_transform(range(256), lambda c: list_reduce(list_concat([c], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t"
+
+
+def crc_sql(text: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+r AS (SELECT id, translate(run, {CAPITALS}) AS run FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents)),
+g AS (SELECT id || ':' || run AS s, run, count(*) AS m FROM r GROUP BY 1, 2),
+h AS (SELECT run, m, {crc_sql("s")} AS h FROM g, crc),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM h),
+v AS (SELECT word, sum(m)::BIGINT AS n FROM c WHERE length(word) >= 7 GROUP BY 1 HAVING sum(m) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+y AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM x),
+p AS (SELECT a.word, b.word AS other, b.n FROM y a JOIN y b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT y.word, v.word, v.n FROM y JOIN v ON y.cut = v.word UNION SELECT v.word, y.word, y.n FROM y JOIN v ON y.cut = v.word),
+b AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k FROM p),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 10 * v.n THEN b.other END AS form, CASE WHEN b.n >= 10 * v.n THEN b.n END AS form_n FROM v LEFT JOIN b ON b.word = v.word AND b.k = 1),
+w AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM f JOIN w ON w.word = f.word JOIN f e ON e.word = w.at AND e.form IS NULL
+""")
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
-@query()
+def _leaf_sql(text: str) -> str:
+    part = lambda c: f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')"
+    return f"sha256({' || '.join(map(part, ['doc_id::VARCHAR', 'source', 'lang', 'n_chars::VARCHAR', text]))})"
+
+
+def _siblings_sql(tree: str) -> str:
+    side = lambda rows: f"coalesce(string_agg(d, '') OVER (PARTITION BY lev, g, i // 16 ORDER BY i ROWS BETWEEN {rows}), '')"
+    return f"SELECT lev, g, i, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {tree} WHERE n > 1"
+
+
+def _tree_sql(tree: str) -> str:
+    return f"SELECT lev + 1, g, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM {tree} WHERE n > 1 GROUP BY lev, g, n, i // 16"
+
+
+def _walk_sql(walk: str, siblings: str) -> str:
+    step = "w.lev + 1, w.g, w.i // 16, w.proof || s.l || s.r, sha256(s.l || w.cur || s.r)"
+    return f"SELECT w.g0, w.i0, {step} FROM {walk} w JOIN {siblings} s ON s.lev = w.lev AND s.g = w.g AND s.i = w.i"
+
+
+@query(f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS g, coalesce({crc_sql("doc_id::VARCHAR")} % 5 = 0, false) AS hit, {_leaf_sql("text")} AS leaf, {_leaf_sql(f"translate(text, {CAPITALS})")} AS low FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT 0 AS lev, g, i, n, leaf AS d FROM l UNION ALL {_tree_sql("t")}),
+sub AS (SELECT g AS g0, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lev, '' AS g, i, n, subroot AS d FROM sub UNION ALL {_tree_sql("u")}),
+ts AS ({_siblings_sql("t")}), us AS ({_siblings_sql("u")}),
+tw AS (SELECT g AS g0, i AS i0, 0 AS lev, g, i, '' AS proof, CASE WHEN hit THEN low ELSE leaf END AS cur FROM l UNION ALL {_walk_sql("tw", "ts")}),
+te AS (SELECT g0, i0, arg_max(proof, lev) AS proof, arg_max(cur, lev) AS cur FROM tw GROUP BY g0, i0),
+uw AS (SELECT te.g0, i0, 0 AS lev, '' AS g, sub.i, proof, cur FROM te JOIN sub USING (g0) UNION ALL {_walk_sql("uw", "us")}),
+ue AS (SELECT g0, i0, arg_max(proof, lev) AS proof, arg_max(cur, lev) AS cur FROM uw GROUP BY g0, i0)
+SELECT doc_id, leaf, subroot, u.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = u.d AS verified
+FROM l JOIN ue ON ue.g0 = l.g AND ue.i0 = l.i JOIN sub ON sub.g0 = l.g JOIN u ON u.n = 1
+""")
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.audit(table(spark, folder, "documents"), in_bucket("doc_id", 5, 0))
 
 
-@query()
+@query(rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT r, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {CAPITALS}) AS key FROM l),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+o AS (SELECT r, count(*) AS n, count(f.key) AS gone, string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL) AS kept FROM k LEFT JOIN f USING (key) GROUP BY r)
+SELECT doc_id, n AS n_lines, gone AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN o USING (r)
+""")
 def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     clean = linededup.clean(docs, linededup.index(docs))
