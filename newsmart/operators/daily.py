@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmart.functions import dates, scoring
-from newsmart.functions.similarity import matcher, similar
+from newsmart.operators import suppress
 from newsmart.operators.annotations import pick_annotation
 from newsmart.operators.joins import with_source
-from newsmart.operators.selection import capped_fold, count_same
+from newsmart.operators.selection import Cap, capped_selection
+from newsmart.operators.suppress import TILE
 from newsmart.session import cut_lineage
 
 SIZE, MIN_SIZE = 25, 12
@@ -63,60 +63,19 @@ def score_order(score: Column) -> Column:
     return F.struct((-score).alias("s"), F.col("id").alias("i"))
 
 
-def suppress_duplicates(rows: DataFrame, threshold: float = 0.70, chunk: int = 64) -> DataFrame:
-    """Greedy near-duplicate suppression in score order within each edition.
-
-    A row goes when a kept, better row has its URL or a similar headline. Rounds: the best ``chunk``
-    undecided rows of every edition are settled among themselves in one small group; then every
-    remaining row, wherever it lives, is tested against the few just kept. All earlier rows are
-    decided when a row is looked at, so this equals the sequential pass, yet no edition is gathered.
-    """
-    base = rows.select("edition_date", score_order(F.col("s.score")).alias("ord"), "id", F.lower("title").alias("t"), "canonical_url")
-    # an exact copy of both title and URL always goes once the first of them is decided
-    same = ["edition_date", "t", "canonical_url"]
-    first = base.groupBy(*same).agg(F.min(F.struct("ord", "id")).alias("f")).select(*same, "f.ord", "f.id")
-    todo, kept = cut_lineage(first.select("edition_date", "ord", "id", "t", "canonical_url")), None
-
-    def settle_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        take, urls, titles = [], set(), []
-        for row in pdf.itertuples():
-            ok = row.canonical_url not in urls and not any(similar(row.t, k, threshold) for k in titles)
-            take.append(ok)
-            if ok:
-                urls.add(row.canonical_url)
-                titles.append(row.t)
-        return pdf[take][["edition_date", "id", "t", "canonical_url"]]
-
-    any_similar = matcher(threshold)
-    while not todo.isEmpty():
-        rn = F.row_number().over(Window.partitionBy("edition_date").orderBy("ord"))
-        head = cut_lineage(todo.withColumn("rn", rn).where(F.col("rn") <= chunk))
-        new = cut_lineage(
-            head.groupBy("edition_date").applyInPandas(settle_group, "edition_date DATE, id BIGINT, t STRING, canonical_url STRING")
-        )
-        kept = new if kept is None else kept.unionByName(new)
-        lists = new.groupBy("edition_date").agg(F.collect_list("t").alias("ts"), F.collect_list("canonical_url").alias("us"))
-        rest = todo.join(head.select("edition_date", "id"), ["edition_date", "id"], "left_anti").join(lists, "edition_date")
-        rest = rest.where(~F.array_contains("us", F.col("canonical_url"))).where(~any_similar(F.col("t"), F.col("ts")))
-        todo = cut_lineage(rest.select("edition_date", "ord", "id", "t", "canonical_url"))
-    ids = kept.select("edition_date", "id") if kept is not None else first.select("edition_date", "id")
-    return rows.join(ids, ["edition_date", "id"], "left_semi")
+def suppress_duplicates(rows: DataFrame, threshold: float = 0.70, tile: int = TILE) -> DataFrame:
+    """Greedy near-duplicate suppression in score order within each edition: a row goes when a kept, better row has its URL
+    or a similar headline. The lexicographically first independent set over the tables of equal URLs and similar titles
+    (operators/suppress.py) is what the sequential pass keeps."""
+    named = rows.select("edition_date", score_order(F.col("s.score")).alias("ord"), "id", F.lower("title").alias("t"), F.coalesce("canonical_url", F.lit("")).alias("url"))
+    return rows.join(suppress.kept(named, threshold, tile), ["edition_date", "id"], "left_semi")
 
 
 def select_articles(rows: DataFrame) -> DataFrame:
     """Capped selection with the relaxed refill: (edition_date, id, outcome, pick order)."""
-    item = F.struct("id", F.coalesce("source_id", F.lit(0)).alias("source"), "category", F.coalesce("country", F.lit("GLOBAL")).alias("country"))
-    cat_cap, geo_cap = math.ceil(SIZE * 0.30), math.ceil(SIZE * 0.25)
-
-    def checks(x, taken):
-        return [
-            ("source_cap", count_same(taken, "source", x["source"]) >= 2),
-            ("category_cap", count_same(taken, "category", x["category"]) >= cat_cap),
-            ("country_cap", (x["country"] != "GLOBAL") & (count_same(taken, "country", x["country"]) >= geo_cap)),
-        ]
-
-    d = capped_fold(rows, "edition_date", score_order(F.col("s.score")), item, SIZE, checks).select(
+    item = F.struct("id", F.coalesce("source_id", F.lit(0)).alias("source"), "category", F.expr("nullif(country, 'GLOBAL')").alias("country"))
+    caps = [Cap("source_cap", "source", 2), Cap("category_cap", "category", math.ceil(SIZE * 0.30)), Cap("country_cap", "country", math.ceil(SIZE * 0.25))]
+    d = capped_selection(rows, "edition_date", score_order(F.col("s.score")), item, SIZE, caps).select(
         "edition_date", "ord", "outcome", F.col("item.id").alias("id")
     )
     n = d.groupBy("edition_date").agg(F.count_if(F.col("outcome") == "SELECTED").alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,59 +36,87 @@ def edition_windows(articles: DataFrame, part: str = "edition_date") -> DataFram
     return rows.where((at >= lo) & (at <= hi))
 
 
-def capped_fold(
-    rows: DataFrame, group: str, order: Column, item: Column, limit: int, checks: Callable[[Column, Column], list[tuple[str, Column]]],
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """Greedy pass in ``order`` within every group: a row is taken unless a check names a reason.
+@dataclass(frozen=True)
+class Cap:
+    """At most ``most`` rows with one value of ``field`` are taken per group. A null value is never capped."""
+
+    reason: str
+    field: str
+    most: int
+
 
-    ``checks(x, taken)`` gives (reason, condition) pairs for item ``x`` and the array taken so far.
-    All groups advance together. Each round folds at most ``chunk`` rows per group (cut on the map
-    side by the rank filter) and hands its state to the next, until the limit or the last row is
-    reached, so no group is ever held whole. Returns (group, ord, outcome, item).
+def capped_selection(
+    rows: DataFrame, group: str, order: Column, item: Column, limit: int, caps: list[Cap], unfit: list[tuple[str, Callable[[Column], Column]]] = (),
+    alike: tuple[str, Callable[[Column, Column], Column]] | None = None, chunk: int = CHUNK,
+) -> DataFrame:
+    """Greedy pass in ``order`` within every group until ``limit`` rows are taken: (group, ord, outcome, item).
+
+    A row is refused if it is ``unfit``, if a value of it has reached its cap, or if it is ``alike`` a taken row; the first
+    that holds at its turn is its outcome. What refuses a row never goes away, so rows are refused ahead of their turn:
+    each round folds the first ``chunk`` open rows of every group, then closes, in one pass over all rows wherever they are,
+    those of values that became full and those like a row just taken. The first open row is always taken, so there
+    are at most ``limit`` rounds, however many rows a group has. The outcome of a refused row follows in one last pass from
+    the places at which values became full. No group is gathered; state is at most ``limit`` rows of each group.
     """
     base = cut_lineage(rows.select(group, order.alias("ord"), item.alias("item")))
-    typ = base.schema["item"].dataType.simpleString()
-    key = base.schema["ord"].dataType.simpleString()
-    empty = F.array().cast(f"array<{typ}>")
-    logged = F.array().cast(f"array<struct<ord:{key},outcome:string,item:{typ}>>")
-    state, out = None, None
+    x = F.col("item")
+    bad = [(reason, F.coalesce(test(x), F.lit(False))) for reason, test in unfit]
+    open_ = base.where(~functools.reduce(lambda a, b: a | b, [c for _, c in bad], F.lit(False)))
+    state, picked = None, None
     while True:
-        todo = base
-        if state is not None:
-            todo = base.join(state, group).where(F.col("ord") > F.col("last"))
-        ranked = todo.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("ord"))).where(F.col("rn") <= chunk)
-        g = ranked.groupBy(group).agg(
-            F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("rows"),
-            (F.any_value("taken") if state is not None else empty).alias("start"),
-        )
-
-        def step(acc, r):
-            reason = F.lit(None).cast("string")
-            for name, failed in reversed(checks(r["item"], acc["taken"])):
-                reason = F.when(failed, F.lit(name)).otherwise(reason)
-            full = F.size(acc["taken"]) >= limit
-            ok = ~full & reason.isNull()
-            note = F.struct(r["ord"].alias("ord"), F.coalesce(reason, F.lit("SELECTED")).alias("outcome"), r["item"].alias("item"))
-            return F.struct(
-                F.when(ok, F.concat(acc["taken"], F.array(r["item"]))).otherwise(acc["taken"]).alias("taken"),
-                F.when(full, acc["log"]).otherwise(F.concat(acc["log"], F.array(note))).alias("log"),
-            )
-
-        folded = g.select(
-            group, F.size("rows").alias("n"), F.element_at("rows", -1)["ord"].alias("last"),
-            F.aggregate("rows", F.struct(F.col("start").alias("taken"), logged.alias("log")), step).alias("acc"),
-        )
-        done = cut_lineage(folded.select(group, "n", "last", "acc.taken", "acc.log"))
-        part = done.select(group, F.explode("log").alias("l")).select(group, "l.*")
-        out = part if out is None else out.unionByName(part)
-        state = done.where((F.col("n") == chunk) & (F.size("taken") < limit)).select(group, "last", "taken")
+        done = cut_lineage(_fold(open_, state, group, limit, caps, alike[1] if alike else None, chunk))
+        new = done.select(group, F.explode("fresh").alias("r")).select(group, "r.*")
+        picked = new if picked is None else picked.unionByName(new)
+        state = done.where((F.col("n") == chunk) & (F.size("taken") < limit)).drop("n")
         if state.isEmpty():
-            return out
+            break
+        full = [count_same(F.col("taken"), c.field, x[c.field]) >= c.most for c in caps]
+        like = [F.exists("fresh", lambda t: alike[1](x, t["item"]))] if alike else []
+        refused = functools.reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in full + like], F.lit(False))
+        open_ = cut_lineage(open_.join(state, group).where((F.col("ord") > F.col("last")) & ~refused).select(group, "ord", "item"))
+        if open_.isEmpty():
+            break
+    return _outcomes(base, cut_lineage(picked), group, limit, caps, bad, alike[0] if alike else None)
+
+
+def _fold(open_: DataFrame, state: DataFrame | None, group: str, limit: int, caps: list[Cap], alike, chunk: int) -> DataFrame:
+    """group, n, last, taken (items so far), fresh (ord and item of what this round took) of the first open rows."""
+    kind, key = open_.schema["item"].dataType.simpleString(), open_.schema["ord"].dataType.simpleString()
+    head = open_.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("ord"))).where(F.col("rn") <= chunk)
+    g = head.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("rows"))
+    g = g.withColumn("taken", F.array().cast(f"array<{kind}>")) if state is None else g.join(state.select(group, "taken"), group)
+
+    def step(acc, r):
+        no = functools.reduce(lambda a, b: a | b, [count_same(acc["taken"], c.field, r["item"][c.field]) >= c.most for c in caps], F.size(acc["taken"]) >= limit)
+        if alike:
+            no = no | F.exists(acc["fresh"], lambda t: alike(r["item"], t["item"]))
+        no = F.coalesce(no, F.lit(False))
+        return F.when(no, acc).otherwise(F.struct(F.concat(acc["taken"], F.array(r["item"])).alias("taken"), F.concat(acc["fresh"], F.array(r)).alias("fresh")))
+
+    start = F.struct(F.col("taken"), F.array().cast(f"array<struct<ord:{key},item:{kind}>>").alias("fresh"))
+    folded = g.select(group, F.size("rows").alias("n"), F.element_at("rows", -1)["ord"].alias("last"), F.aggregate("rows", start, step).alias("acc"))
+    return folded.select(group, "n", "last", "acc.taken", "acc.fresh")
+
+
+def _outcomes(base: DataFrame, picked: DataFrame, group: str, limit: int, caps: list[Cap], bad: list[tuple[str, Column]], like: str | None) -> DataFrame:
+    """Every row up to the one that fills its group, with SELECTED or what refused it."""
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(group, *keys).orderBy("ord"))
+    end = picked.withColumn("_k", nth()).where(F.col("_k") == limit).select(group, F.col("ord").alias("_end"))
+    out = base.join(end, group, "left").where(F.col("_end").isNull() | (F.col("ord") <= F.col("_end")))
+    out = out.join(picked.select(group, "ord", F.lit(True).alias("_taken")), [group, "ord"], "left")
+    why = F.when(F.col("_taken"), F.lit("SELECTED"))
+    for reason, test in bad:
+        why = why.when(test, F.lit(reason))
+    for i, c in enumerate(caps):
+        value, at = f"_value{i}", f"_full{i}"
+        full = picked.withColumn(value, F.col("item")[c.field]).withColumn("_k", nth(value)).where(F.col("_k") == c.most)
+        out = out.withColumn(value, F.col("item")[c.field]).join(full.where(F.col(value).isNotNull()).select(group, value, F.col("ord").alias(at)), [group, value], "left")
+        why = why.when(F.col(at) < F.col("ord"), F.lit(c.reason))
+    return out.select(group, "ord", (why.otherwise(F.lit(like)) if like else why).alias("outcome"), "item")
 
 
 def count_same(taken: Column, field: str, value: Column) -> Column:
-    return F.size(F.filter(taken, lambda t: t[field].eqNullSafe(value)))
+    return F.size(F.filter(taken, lambda t: t[field] == value))
 
 
 def edition_clusters(articles: DataFrame, sources: DataFrame, annotations: DataFrame, as_of: Column, threshold: float = 0.68) -> tuple[DataFrame, DataFrame]:
@@ -122,15 +152,12 @@ def select_events(
     def alike(x, t):
         return pairs.final_score(pairs.static_score(x["f"], t["f"]), pairs.proximity(x["pub_us"], t["pub_us"])) >= duplicate
 
-    def checks(x, taken):
-        return [
-            ("QUALITY_THRESHOLD", x["score"] < min_quality),
-            ("SOURCE_CAP", x["source"].isNotNull() & (count_same(taken, "source", x["source"]) >= per_source)),
-            ("SECTION_CAP", count_same(taken, "section", x["section"]) >= section_cap),
-            ("DUPLICATE_SAFETY", (x["n"] == 1) & F.exists(taken, lambda t: alike(x, t))),
-        ]
-
-    return capped_fold(cl.join(f, "primary_id"), "edition_date", order, item, size, checks)
+    return capped_selection(
+        cl.join(f, "primary_id"), "edition_date", order, item, size,
+        caps=[Cap("SOURCE_CAP", "source", per_source), Cap("SECTION_CAP", "section", section_cap)],
+        unfit=[("QUALITY_THRESHOLD", lambda x: x["score"] < min_quality)],
+        alike=("DUPLICATE_SAFETY", lambda x, t: (x["n"] == 1) & alike(x, t)),
+    )
 
 
 def with_roles(decisions: DataFrame, lead_quality: float = 70.0) -> DataFrame:

@@ -1,10 +1,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsmart.functions import dates
-from newsmart.operators import annotations, archive, clusters, daily, evaluate, evidence, feeds, graph, neighbours, pairs, saved, selection, signals, windows
+from newsmart.operators import annotations, archive, clusters, daily, evaluate, evidence, feeds, graph, neighbours, pairs, saved, selection, signals, suppress, windows
+from newsmart.session import cut_lineage
 from newsmart.sources import readers, writers
 
 T0 = dt.datetime(2024, 1, 10, 12)
@@ -123,60 +125,117 @@ def test_action_conflict_is_not_linked(spark):
     assert r["s"]["action"] and r["band"] != "HIGH_CONFIDENCE"
 
 
-def _greedy(rows, limit, per_source, per_section):
+def _greedy(rows, limit, per_source, per_section, alike):
     taken, out = [], []
     for r in rows:
         if len(taken) >= limit:
             break
-        if sum(t[1] == r[1] for t in taken) >= per_source:
+        if r[3] < 0.1:
+            out.append((r[0], "UNFIT"))
+        elif r[1] is not None and sum(t[1] == r[1] for t in taken) >= per_source:
             out.append((r[0], "SOURCE"))
         elif sum(t[2] == r[2] for t in taken) >= per_section:
             out.append((r[0], "SECTION"))
+        elif any(alike(r, t) for t in taken):
+            out.append((r[0], "ALIKE"))
         else:
             taken.append(r)
             out.append((r[0], "SELECTED"))
     return out
 
 
-def test_capped_fold_equals_sequential_pass(spark):
-    rnd = random.Random(3)
+def _select(df, limit, chunk):
+    return selection.capped_selection(
+        df, "g", F.struct("pos"), F.struct("pos", "src", "sec", "x"), limit, [selection.Cap("SOURCE", "src", 2), selection.Cap("SECTION", "sec", 4)],
+        [("UNFIT", lambda x: x["x"] < 0.1)], ("ALIKE", lambda x, t: F.abs(x["x"] - t["x"]) < 0.02), chunk,
+    )
+
+
+SELECT_SCHEMA = "g int, pos int, src int, sec string, x double"
+
+
+@pytest.mark.parametrize("limit,sources", [(9, 6), (12, 2), (30, 40)])  # fills early, never fills, sections fill before
+def test_capped_selection_equals_sequential_pass(spark, limit, sources):
+    rnd = random.Random(limit)
     want, rows = {}, []
     for g in range(4):
-        items = [(i, rnd.randint(1, 6), rnd.choice("ABC")) for i in range(60)]
-        want[g] = _greedy(items, 9, 2, 4)
+        items = [(i, rnd.choice([None, *range(sources)]) if g else rnd.randrange(sources), rnd.choice("ABCD"), round(rnd.random(), 3)) for i in range(150)]
+        want[g] = _greedy(items, limit, 2, 4, lambda r, t: abs(r[3] - t[3]) < 0.02)
         rows += [(g, *x) for x in items]
-    df = spark.createDataFrame(rows, "g int, pos int, src int, sec string").repartition(7)
-    item = F.struct("pos", "src", "sec")
-
-    def checks(x, taken):
-        return [("SOURCE", selection.count_same(taken, "src", x["src"]) >= 2), ("SECTION", selection.count_same(taken, "sec", x["sec"]) >= 4)]
-
-    for chunk in (5, 512):
-        got = selection.capped_fold(df, "g", F.struct("pos"), item, 9, checks, chunk)
+    df = spark.createDataFrame(rows, SELECT_SCHEMA).repartition(7)
+    for chunk in (3, 512):
         d = {g: [] for g in range(4)}
-        for r in got.orderBy("g", "ord").collect():
+        for r in _select(df, limit, chunk).orderBy("g", "ord").collect():
             d[r["g"]].append((r["item"]["pos"], r["outcome"]))
         assert d == want
 
 
-def test_duplicate_suppression_equals_sequential_pass(spark):
+def test_rounds_of_an_edition_that_never_fills(spark, monkeypatch):
+    rounds = []
+    fold = selection._fold
+    monkeypatch.setattr(selection, "_fold", lambda *a: rounds.append(1) or fold(*a))
+    n = 100_000
+    sec = F.when(F.col("id") % 7 < 6, F.lit("A")).otherwise(F.lit("B"))
+    df = spark.range(n).select(F.lit(1).alias("g"), F.col("id").cast("int").alias("pos"), (F.col("id") % 3).cast("int").alias("src"), sec.alias("sec"), (F.col("id") / n + 0.2).alias("x"))
+    got = {r["outcome"]: r["n"] for r in _select(df, 20, 64).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(got.values()) == n and got["SELECTED"] == 6 and len(rounds) <= 7
+
+
+def _sequential(rows, threshold):
     from newsmart.functions.similarity import similar
 
-    rnd = random.Random(8)
-    words = "oil gas fed rate cut port ship grain deal talks".split()
-    rows = []
-    for i in range(90):
-        rows.append((i, " ".join(rnd.choice(words) for _ in range(4)), f"u{rnd.randint(0, 70)}", rnd.randint(0, 40) / 1.0))
     kept = []
     for i, t, u, s in sorted(rows, key=lambda r: (-r[3], r[0])):
-        if not any(u == ku or similar(t, kt, 0.7) for _, kt, ku in kept):
+        if not any(u == ku or similar(t, kt, threshold) for _, kt, ku in kept):
             kept.append((i, t, u))
-    df = spark.createDataFrame(rows, "id long, title string, canonical_url string, x double").select(
+    return {k[0] for k in kept}
+
+
+def _scored(spark, rows):
+    return spark.createDataFrame(rows, "id long, title string, canonical_url string, x double").select(
         "id", "title", "canonical_url", F.lit("2024-01-10").cast("date").alias("edition_date"), F.struct(F.col("x").alias("score")).alias("s")
     )
-    for chunk in (4, 64):
-        got = {r["id"] for r in daily.suppress_duplicates(df, 0.7, chunk).collect()}
-        assert got == {k[0] for k in kept}
+
+
+def test_duplicate_suppression_equals_sequential_pass(spark):
+    rnd = random.Random(8)
+    words = "oil gas fed rate cut port ship grain deal talks".split()
+    rows = []
+    for i in range(160):
+        t = " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 5)))
+        t = rnd.choice([t, t, t + "s", t.replace("a", "ä", 1), " ".join(reversed(t.split())), "", "  ", "\u00a0"]) if i % 4 == 0 else t
+        rows.append((i, t, f"u{rnd.randint(0, 120)}", rnd.randint(0, 40) / 1.0))
+    want = _sequential(rows, 0.7)
+    assert 20 < len(want) < 140
+    for tile in (9, 1024):  # many tiles, one tile
+        assert {r["id"] for r in daily.suppress_duplicates(_scored(spark, rows), 0.7, tile).collect()} == want
+    assert daily.suppress_duplicates(_scored(spark, rows[:0])).count() == 0
+
+
+def test_alignment_bounds_lose_no_pair():
+    from newsmart.functions.similarity import similar
+
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("abcdefgh  ") for _ in range(rnd.randint(1, 40))) + "x" for _ in range(25)]
+    titles = base + ["".join(c if rnd.random() < 0.8 else rnd.choice("abcd") for c in t) for t in base] + [t[: len(t) // 2] + "zz" + t[len(t) // 2 :] for t in base] + [("long words repeat " * 15) + t for t in base[:6]]
+    for threshold in (0.7, 0.9):
+        got, aligned = suppress.similar_pairs(titles, titles, threshold)
+        want = {(i, j) for i, a in enumerate(titles) for j, b in enumerate(titles) if similar(a, b, threshold)}
+        assert {tuple(x) for x in got} == want
+        assert aligned < len(titles) ** 2 / 4
+    assert suppress.common_subsequence(suppress._masks("abcbdab"), 7, "bdcaba") == 4
+
+
+def test_rounds_of_suppression_do_not_grow_with_rows(spark, monkeypatch):
+    counts = []
+    for n in (60, 240):
+        rnd = random.Random(n)
+        rows = [(i, f"ship{rnd.randint(0, n // 6)} enters port{rnd.randint(0, n // 6)} today", f"u{i}", float(rnd.randint(0, 1000))) for i in range(n)]
+        rounds = []
+        monkeypatch.setattr(suppress, "cut_lineage", lambda df: rounds.append(1) or cut_lineage(df))
+        assert {r["id"] for r in daily.suppress_duplicates(_scored(spark, rows), 0.7).collect()} == _sequential(rows, 0.7)
+        counts.append(len(rounds))
+    assert counts[1] <= counts[0] + 6
 
 
 def test_global_rank_and_nearest_rank(spark):
