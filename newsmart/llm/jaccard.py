@@ -15,7 +15,7 @@ shuffle, and joins are left to adaptive execution, which splits large keys.
 
 Defined results: null or word-free texts have the empty set and no links; texts of fewer than n words have their whole
 sequence as one n-gram; ties and repeated rows are rows with equal sets; rows with a null id are given as their own
-component with a null id; an empty table gives no rows.
+component with a null id; an empty table gives no rows. Rows that repeat an id are one document, linked by any of its texts.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from newsmart.operators.graph import connected_components
 
 CLASS_RATIO = 1.4  # sizes of one class differ by at most this factor
 PIECE = 1 << 19
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 @lru_cache(4)
@@ -116,12 +117,15 @@ def layout(threshold: Fraction) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def block_keys(own: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, key, class, spare) of every column block that a document enters. Keys tell class, block and content.
+CLASS_BITS = 7  # the first bits of a key are its class; there are fewer than 128 up to sets of 2^31
+
+
+def block_keys(own: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, key) of every column block that a document enters, and (document, class, spare). Keys tell class, block and content.
 
     spare: so many of the document's keys of this class may be left out, whichever, as linked rows agree on more.
     """
-    out = []
+    out, spares = [], []
     first = np.cumsum(sizes) - sizes
     for lo, most, blocks, empty_allowed, k in classes:
         at = np.flatnonzero((sizes >= max(lo, 2)) & (sizes <= most))
@@ -138,11 +142,11 @@ def block_keys(own: np.ndarray, grams: np.ndarray, sizes: np.ndarray, classes) -
         use = (filled > 0) | np.repeat(empty > empty_allowed, blocks)  # a document with too many empty blocks shows them too
         cells = np.flatnonzero(use)
         key = mixed(mixed(total[cells] + filled[cells].astype(np.uint64)) + np.uint64(k << 40) + (cells % blocks).astype(np.uint64))
-        row = cells // blocks
-        out.append((at[row], key, np.full(len(key), k), np.maximum(empty_allowed - empty, 0)[row]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*out))
+        out.append((at[cells // blocks], key >> np.uint64(CLASS_BITS) | np.uint64(k << 64 - CLASS_BITS)))
+        spares.append((at, np.full(len(at), k), np.maximum(empty_allowed - empty, 0)))
+    none = np.zeros(0, np.int64)
+    join = lambda rows, empty: tuple(np.concatenate(c) for c in zip(*rows)) if rows else empty
+    return join(out, (none, none.view(np.uint64))), join(spares, (none, none, none))
 
 
 def _pieces(batch, n: int):
@@ -162,7 +166,7 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (of the whole set), and keys, classes and spare of its column blocks."""
+    """doc_id, t, n_shingles, h1 and h2 (of the whole set), keys of its column blocks, and its classes with their spares."""
     classes = layout(threshold)
 
     def work(batches):
@@ -172,32 +176,32 @@ def sketches(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                 sums = np.zeros((2, j - i), np.uint64)
                 np.add.at(sums[0], own, mixed(grams))
                 np.add.at(sums[1], own, mixed(grams ^ np.uint64(0xA5A5A5A5A5A5)))
-                doc, keys, size_class, spare = block_keys(own, grams, sizes, classes)
-                order = np.argsort(doc, kind="stable")
-                doc = doc[order]
-                parts = [_lists(x[order], doc, j - i) for x in (keys, size_class, spare)]
+                (doc, keys), (of, size_class, spare) = block_keys(own, grams, sizes, classes)
+                order, by = np.argsort(doc, kind="stable"), np.argsort(of, kind="stable")
+                parts = [_lists(keys[order], doc[order], j - i), _lists(size_class[by], of[by], j - i), _lists(spare[by], of[by], j - i)]
+                same = [batch.column(c).slice(i, j - i) for c in ("doc_id", "t")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *parts],
-                    ["doc_id", "n_shingles", "h1", "h2", "keys", "classes", "spare"],
+                    [*same, pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *parts],
+                    ["doc_id", "t", "n_shingles", "h1", "h2", "keys", "classes", "spare"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, classes array<long>, spare array<long>")
+    return docs.select("doc_id", "t", "text").mapInArrow(work, "doc_id long, t long, n_shingles long, h1 long, h2 long, keys array<long>, classes array<long>, spare array<long>")
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, grams (sorted distinct hashes)."""
+    """docs (id, text) -> id, grams (sorted distinct hashes)."""
 
     def work(batches):
         for batch in batches:
             for i, j, own, grams in _pieces(batch, n):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), _lists(grams, own, j - i)], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _lists(grams, own, j - i)], ["id", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, grams array<long>")
+    return docs.select("id", "text").mapInArrow(work, "id long, grams array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    one, other = (sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"_{c}")) for c in "ab")
+    one, other = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"_{c}")) for c in "ab")
     both = pairs.join(other, "b").join(one, "a")
     common = F.size(F.array_intersect("_a", "_b")).cast("long")
     union = F.size("_a") + F.size("_b") - common
@@ -319,7 +323,7 @@ def tile_links(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
     open_rows = stored(rows.join(big, "fam").withColumn("rest", (F.col("label") != F.col("big")).cast("long")).drop("big"))
     sized = open_rows.groupBy("fam", "rest").agg(F.ceil(F.sum("n") / TILE_GRAMS).alias("tiles"))
     dealt = open_rows.join(sized, ["fam", "rest"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")) * 2 + F.col("rest"))
-    packed = dealt.join(sets.withColumnRenamed("doc_id", "id"), "id").select("fam", "tile", "id", "label", "grams").groupBy("fam", "tile").applyInArrow(_pack, TILE)
+    packed = dealt.join(sets, "id").select("fam", "tile", "id", "label", "grams").groupBy("fam", "tile").applyInArrow(_pack, TILE)
     packed = stored(packed)
     ends = packed.select("fam", F.col("tile").alias("t1")).join(packed.select("fam", F.col("tile").alias("t2")), "fam").where("t1 <= t2 and (t1 % 2 = 1 or t2 % 2 = 1)")
     sides = ends.withColumn("tile", F.explode(F.array_distinct(F.array("t1", "t2"))))
@@ -327,30 +331,33 @@ def tile_links(rows: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
 
 
 def _sketched(texts: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) of every row, and (id, n, keys) of the smallest id of each distinct set."""
+    """member: doc_id, t, n_shingles and the node of every row (null without a set or an id). nodes: a row per distinct set.
+
+    Nodes are numbered, so rows that repeat an id with other texts are nodes of their own.
+    """
     all_rows = stored(sketches(texts, n, threshold))
     same = ["n_shingles", "h1", "h2"]
-    reps = all_rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    member = stored(all_rows.select("doc_id", *same).join(reps, same, "left").select("doc_id", "n_shingles", "rep"))
-    only = all_rows.join(reps, same).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys", "classes", "spare")
-    only = stored(only.dropDuplicates(["id"]))
+    nodes = all_rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).dropDuplicates(same)
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()))
+    member = stored(all_rows.select("doc_id", "t", *same).join(nodes.select(*same, "id"), same, "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.col("id"))).drop("h1", "h2"))
     discard(all_rows)
-    return member, only
+    return member, nodes
 
 
-def _shared(only: DataFrame) -> DataFrame:
-    """Pairs (a, b): each row with the first row of every column block that it shares.
+def _shared(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the first node of every column block that it shares.
 
-    A row leaves out its most frequent blocks, as many as it can spare: two linked rows agree on more blocks than either
+    A node leaves out its most frequent blocks, as many as it can spare: two linked nodes agree on more blocks than either
     leaves out, so the rarest block that both hold is kept by both. Passages that many documents share drop out here.
     """
-    spark = only.sparkSession
-    keyed = only.select("id", F.explode("keys").alias("key"))
+    spark = nodes.sparkSession
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     release(spark)
-    keyed = only.select("id", F.explode(F.arrays_zip("keys", "classes", "spare")).alias("k")).select("id", F.col("k.keys").alias("key"), F.col("k.classes").alias("class"), F.col("k.spare").alias("spare"))
+    spare = nodes.select("id", F.explode(F.arrays_zip("classes", "spare")).alias("c")).select("id", F.col("c.classes").alias("class"), "c.spare")
+    hit = keyed.join(shared, "key").withColumn("class", F.shiftrightunsigned("key", 64 - CLASS_BITS)).join(spare, ["id", "class"])
     place = F.row_number().over(Window.partitionBy("id", "class").orderBy(F.desc("often"), F.desc("key")))
-    held = stored(keyed.join(shared, "key").withColumn("place", place).where("place > spare").select("id", "key"))
+    held = stored(hit.withColumn("place", place).where("place > spare").select("id", "key"))
     release(spark)
     first = held.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
     pairs = stored(held.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
@@ -358,38 +365,71 @@ def _shared(only: DataFrame) -> DataFrame:
     return pairs
 
 
-def join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
+def _linked_nodes(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """member (doc_id, t, n_shingles, id: the row's node) and every link (a, b) between nodes that components need."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    member, only = _sketched(texts, n, threshold)
+    member, nodes = _sketched(docs, n, threshold)
     release(spark)
-    pairs, sizes = _shared(only), stored(only.select("id", "n"))
-    discard(only)
+    pairs = _shared(nodes)
+    sizes = stored(nodes.select("id", F.col("n_shingles").alias("n"), "doc_id", "t"))
+    discard(nodes)
     release(spark)
     if pairs.isEmpty():
-        return member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+        return member, pairs
     family = components(pairs).withColumnRenamed("label", "fam")
-    sets = stored(whole_sets(texts.join(family.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]))
+    wanted = sizes.join(family, "id").select("id", "doc_id", "t")
+    sets = stored(whole_sets(docs.join(wanted, ["doc_id", "t"]), n).dropDuplicates(["id"]))  # rows that repeat are one text
     release(spark)
     edges = stored(linked(pairs, sets, threshold))
     release(spark)
-    rows = sizes.join(family, "id").join(components(edges), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = sizes.select("id", "n").join(family, "id").join(components(edges), "id", "left").withColumn("label", F.coalesce("label", "id"))
     edges = edges.unionByName(stored(tile_links(rows, sets, threshold)))
     discard(sets)
     release(spark)
-    out = member.join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
+    return member, edges
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and t: rows of one id are told apart by the hash of their text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+
+
+def _repeated_ids(member: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that hold one doc_id."""
+    of = member.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")
+    return member.join(of, "doc_id").where("id > a").select("a", F.col("id").alias("b")).distinct()
+
+
+def join(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id. Rows of one id are one document, whatever their texts."""
+    member, edges = _linked_nodes(_texts(docs), n, threshold)
+    edges = stored(edges.unionByName(_repeated_ids(member)))
+    least = member.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
+    labelled = least if edges.isEmpty() else least.join(components(edges), "id", "left")
+    label = F.col("id") if edges.isEmpty() else F.coalesce("label", "id")
+    labelled = stored(labelled.select("id", label.alias("label"), "least"))
+    named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("id", "component_id")
+    return member.join(named, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_each(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The documents without near copies: the smallest id of every component stays, with all columns.
+    """The documents without near copies, with all columns: of each group of linked texts the smallest id stays.
 
-    Of rows that repeat that id one stays; rows with a null id stay.
+    Rows of one id with texts that are not linked are in different groups. Of rows equal in id and text one stays; rows
+    without an id or without words all stay.
     """
-    found = stored(join(docs, n, threshold))
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    member, edges = _linked_nodes(_texts(docs), n, threshold)
+    first = F.min(F.struct("doc_id", "t")).alias("first")
+    of = member.where("id is not null")
+    if not edges.isEmpty():
+        of = of.join(components(edges), "id", "left").withColumn("id", F.coalesce("label", "id"))
+    of = of.select("doc_id", "t", "id")
+    gone = of.join(of.groupBy("id").agg(first), "id").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("t") != F.col("first.t")))
+    gone = stored(gone.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).distinct())
+    whole = docs.select(F.struct("*").alias("row"))  # so that no name of theirs can clash
+    doc, t = F.col("row.doc_id").cast("long"), F.xxhash64(F.coalesce("row.text", F.lit("")))
+    kept = whole.join(gone, (doc == F.col("_doc")) & (t == F.col("_t")), "left_anti")
+    if not of.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
+        keyed = kept.withColumn("_doc", doc).withColumn("_t", t).withColumn("_own", F.when(F.col("_doc").isNull() | ~F.coalesce(F.col("row.text").rlike(WORDED), F.lit(False)), F.monotonically_increasing_id()))
+        kept = keyed.dropDuplicates(["_doc", "_t", "_own"])
+    return kept.select("row.*")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from newsmart.llm.base import WORD, mixed
 
 WEIGHTS = (5.0, 2.0, 1.0)
+URN = 900_000_000  # the generator draws from fewer slots than 10^9
 
 
 def targets_of(sizes: list[int], weights: list[float], share: float = 1.0, most: float = 3.0) -> list[float]:
@@ -44,14 +45,13 @@ def targets_of(sizes: list[int], weights: list[float], share: float = 1.0, most:
 
 def _split(quota: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """How many of each source's slots fall into the first ``take`` slots of all."""
-    total = int(quota.sum())
-    if total < 500_000_000:  # the generator's range; beyond it the draw's spread is below 0.01 %
-        return rng.multivariate_hypergeometric(quota, take, method="marginals")
-    exact = [int(q) * take for q in quota]
-    base = np.array([e // total for e in exact], np.int64)
-    order = sorted(range(len(exact)), key=lambda i: -(exact[i] % total))
-    base[order[: take - int(base.sum())]] += 1
-    return base
+    out, left, urns = np.zeros_like(quota), quota.copy(), int(quota.sum()) // URN + 1
+    for more in range(urns, 0, -1):  # a draw from a large urn is the sum of draws from its parts
+        part = left // more
+        n = take * int(part.sum()) // max(int(left.sum()), 1)
+        out += rng.multivariate_hypergeometric(part, n, method="marginals")
+        left, take = left - part, take - n
+    return out
 
 
 def shard_draw(quota: np.ndarray, shard: int, shards: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 @dataclass
 class Mix:
-    layout: DataFrame  # a row per document: s, off (first word in its source), size, doc_id, source, source_size, target
+    layout: DataFrame  # a row per document: s, part, row, copy (together its number), off (first word in its source), size, doc_id, source, source_size, target
     slots: DataFrame  # shard, slot, s, block: the drawn mix
     block_words: int
 
@@ -110,7 +110,7 @@ class Mix:
         """Words taken of every document, repeats counted."""
         times = self.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
         words = F.coalesce(F.sum(F.col("n_words") * F.col("times")), F.lit(0)).alias("taken")
-        return self.spans().join(times.hint("merge"), ["s", "block"], "left").groupBy("s", "off", "doc_id", "source", "size", "source_size", "target").agg(words)
+        return self.spans().join(times.hint("merge"), ["s", "block"], "left").groupBy("s", "part", "row", "copy", "off", "doc_id", "source", "size", "source_size", "target").agg(words)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0, block_words: int = 64, shard_slots: int = 4096, seed: int = 7, part_rows: int = 20_000) -> Mix:
@@ -127,13 +127,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0,
     sources = spark.createDataFrame([(i, s, n, t) for i, (s, n, t) in enumerate(zip(names, sizes, wanted))], "s int, _source string, source_size long, target double")
     named = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # one row per source
 
-    # running word count per source: within a bounded part by a window, over parts by their sums
+    # running word count per source: within a bounded part by a window, over parts by their sums; equal rows are one until then
     parts = max(1, math.ceil(sum(n for n, _ in per.values()) / part_rows))
+    alike = ["s", "doc_id", "size"]
+    named = named.groupBy(*alike, "source", "source_size", "target").agg(F.count(F.lit(1)).alias("copies"))
     named = named.withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.lit(parts)))
     ahead = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = named.groupBy("s", "part").agg(F.sum("size").alias("_n")).select("s", "part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_shift"))
-    before = Window.partitionBy("s", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    layout = named.join(shift, ["s", "part"]).withColumn("off", F.col("_shift") + F.coalesce(F.sum("size").over(before), F.lit(0))).drop("_shift", "part")
+    words = F.col("size") * F.col("copies")
+    shift = named.groupBy("s", "part").agg(F.sum(words).alias("_n")).select("s", "part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_shift"))
+    own = Window.partitionBy("s", "part").orderBy("doc_id", "size")
+    before = F.coalesce(F.sum(words).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = named.join(shift, ["s", "part"]).withColumn("row", F.row_number().over(own)).withColumn("off", F.col("_shift") + before).drop("_shift")
+    layout = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("off", F.col("off") + F.col("copy") * F.col("size")).drop("copies")
 
     total = int(quota.sum())
     shards = math.ceil(total / shard_slots)

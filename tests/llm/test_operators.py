@@ -65,6 +65,31 @@ def test_mix_targets_and_permutation():
     assert (sum(d[1] for d in draws) == quota).all() and [int(d[1].sum()) for d in draws] == [16] * 6 + [4]
 
 
+def test_mix_keeps_every_row(spark):
+    rows = [(None, "", "a")] * 4 + [(5, None, "a")] * 3 + [(5, "x y z", "a")] * 5 + [(6, "p q", "b"), (None, "r s", None), (None, "r s", None)]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, source string")
+    plan = mixing.mix(docs, block_words=2, shard_slots=8)
+    got = plan.taken().collect()
+    count = lambda xs: sorted(((str(i), s) for i, s in xs))
+    assert count((r["doc_id"], r["size"]) for r in got) == count((i, len((t or "").split())) for i, t, _ in rows * 3)
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
+    offs = sorted((r["s"], r["off"], r["size"]) for r in plan.layout.collect() if r["size"])
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(offs, offs[1:]))  # words of a source are laid out without gap or overlap
+
+
+def test_draws_from_large_urns_stay_random(monkeypatch):
+    monkeypatch.setattr(mixing, "URN", 1000)
+    quota = np.array([4000, 2500, 3, 0, 3497])
+    draws = np.array([mixing._split(quota, 5000, np.random.default_rng(i)) for i in range(300)])
+    assert (draws.sum(1) == 5000).all() and (draws <= quota).all() and (draws >= 0).all()
+    mean, spread = quota * 0.5, np.sqrt(quota * (1 - quota / 10_000) * 0.25)
+    assert (np.abs(draws.mean(0) - mean) <= 4 * spread / np.sqrt(300) + 1).all()
+    assert 0.7 < draws[:, 0].std() / spread[0] < 1.3  # as wide as a draw from the whole urn
+    monkeypatch.setattr(mixing, "URN", 900_000_000)
+    big = mixing._split(np.array([3 * 10**12, 10**12]), 2 * 10**12, np.random.default_rng(1))
+    assert big.sum() == 2 * 10**12 and big[0] != 15 * 10**11 and abs(big[0] - 15 * 10**11) < 10**7
+
+
 def test_suffix_dedup(docs, rows, empty, monkeypatch):
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     seen = {}
@@ -129,6 +154,20 @@ def test_jaccard(docs, rows, empty, n, t):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    base, other, far = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    close = base.rsplit(" ", 1)[0]
+    rows = [(5, other), (5, close), (5, far), (9, base), (7, far), (7, far), (3, ""), (3, ""), (3, other + " end"), (None, base)]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, _gone string")
+    got = jaccard.join(docs, 3, Fraction(9, 10)).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 3), (9, 3), (7, 3), (3, 3), (None, None)}
+    kept = jaccard.one_each(docs, 3, Fraction(9, 10))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, close), (3, ""), (3, ""), (3, other + " end"), (5, far), (None, base)], key=str)
+
+
 def test_jaccard_tiles():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40))) for _ in range(60)]
