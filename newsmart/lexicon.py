@@ -77,7 +77,7 @@ CATEGORIES = [
 ]
 
 # fixed text: the reason given when an annotation out of scope has none
-OUT_OF_SCOPE = "Article content is outside Daily Intelligence editorial scope"
+OUT_OF_SCOPE = "Article content is outside the editorial scope"
 
 TITLE_CATEGORY_TERMS = [
     ("Energy", ["oil", "gas", "crude", "brent", "wti", "refinery", "opec", "solar", "nuclear",

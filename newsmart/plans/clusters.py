@@ -11,7 +11,9 @@ from newsmart.operators import clusters, graph, pairs
 from newsmart.plans import sqltext as s
 from newsmart.plans.registry import query, shared
 from newsmart.plans.scalars import AS_OF, CATEGORY_SQL, editorial_sql, stamp
-from newsmart.session import cut_lineage
+from newsmart.session import cut_lineage, run_folder
+from newsmart.sources import writers
+from newsmart.sources.versions import VersionedTable, replace_keys_in
 
 
 def _word(terms):
@@ -180,6 +182,32 @@ def cluster_members(t):
     return built(t)[1]
 
 
+_before = "SELECT l_suppkey AS cluster_id, l_orderkey * 10 + l_linenumber AS article_id FROM lineitem"
+
+
+@query("A12", f"""
+WITH b AS ({_before}),
+f AS (SELECT cluster_id, article_id FROM b WHERE cluster_id % 10 = 2 AND article_id % 10 <> 1 UNION ALL SELECT cluster_id + 1000000, article_id FROM b WHERE cluster_id % 10 = 4),
+a AS (SELECT * FROM b WHERE cluster_id NOT IN (SELECT cluster_id FROM f) UNION ALL SELECT * FROM f),
+u AS (SELECT 'before' AS stage, * FROM b UNION ALL SELECT 'crash', * FROM b UNION ALL SELECT 'after', * FROM a)
+SELECT stage, cluster_id, count(*) AS members, min(article_id) AS first_member, CAST(sum(article_id) AS BIGINT) AS member_sum FROM u GROUP BY 1, 2""")
+def versioned_cluster_members(t):
+    """Members of re-clustered events replace the stored ones in one step: what a reader sees before the replacement, after
+    a writer died between writing and publishing, and after the replacement."""
+    before = t.raw("lineitem").select(F.col("l_suppkey").alias("cluster_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("article_id"))
+    kept = before.where((F.col("cluster_id") % 10 == 2) & (F.col("article_id") % 10 != 1))
+    fresh = kept.unionByName(before.where(F.col("cluster_id") % 10 == 4).withColumn("cluster_id", F.col("cluster_id") + 1000000))
+    store = VersionedTable(t.spark, run_folder(t.spark, "members"))
+    store.replace(lambda _: before)
+    first = store.read(before.schema)
+    store.stage(writers.replace_keys(first, fresh, "cluster_id"))  # never published
+    crash = store.read(before.schema)
+    replace_keys_in(store, fresh, "cluster_id")
+    rows = [df.select(F.lit(stage).alias("stage"), "*") for stage, df in (("before", first), ("crash", crash), ("after", store.read(before.schema)))]
+    n = [F.count(F.lit(1)).alias("members"), F.min("article_id").alias("first_member"), F.sum("article_id").alias("member_sum")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("stage", "cluster_id").agg(*n)
+
+
 @query("E32", f"""
 WITH RECURSIVE {_edges} SELECT CAST(sum(n) AS BIGINT) AS articles, count(*) AS clusters, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n > 1) AS multis, max(n) AS largest,
  {s.rnd('(1.0e0 - count(*) / sum(n)) * 100.0e0', 2)} AS compression_pct FROM (SELECT label, count(*) AS n FROM label GROUP BY 1)""")

@@ -312,11 +312,11 @@ def annotation_policies(t):
 
 @query("D18", f"""
 SELECT CAST(d AS VARCHAR) AS day, CAST(lag(d) OVER (ORDER BY d) AS VARCHAR) AS previous, CAST(lead(d) OVER (ORDER BY d) AS VARCHAR) AS next
-FROM (SELECT DISTINCT {s.local_date('eff_at')} AS d FROM article WHERE source_id % 2 = 0 AND id % 3 = 0)""")
+FROM (SELECT DISTINCT {s.local_date('eff_at')} AS d FROM article)""")
 def edition_neighbours(t):
     from newsmart.operators.editions import neighbours
 
-    d = t.articles().where((F.col("source_id") % 2 == 0) & (F.col("id") % 3 == 0)).select(dates.local_date(feeds.effective()).alias("edition_date"))
+    d = t.articles().select(dates.local_date(feeds.effective()).alias("edition_date"))
     return neighbours(d.distinct()).select(
         F.col("edition_date").cast("string").alias("day"), F.col("previous").cast("string").alias("previous"), F.col("next").cast("string").alias("next")
     )

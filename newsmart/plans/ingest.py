@@ -296,6 +296,19 @@ def streamed_archive(t):
     return stream.run_available(items, run_folder(t.spark, "ingest")).select("item_id", "source_name", "canonical_url", "title_fingerprint")
 
 
+@query("S1 E17", """
+WITH f AS (SELECT source_name, count(*) AS fetched FROM feed_item GROUP BY 1),
+n AS (SELECT source_name, count(*) AS new FROM (SELECT source_name FROM normal_item QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY source_name, item_id) = 1) GROUP BY 1)
+SELECT f.source_name, fetched, coalesce(new, 0) AS new, fetched - coalesce(new, 0) AS duplicates FROM f LEFT JOIN n ON n.source_name IS NOT DISTINCT FROM f.source_name""")
+def streamed_counters(t):
+    """Per-source counts of the streamed ingest, read back from what its micro-batches stored."""
+    from newsmart.streaming import ingest as stream
+
+    folder = run_folder(t.spark, "ingest")
+    stream.run_available(t.feed_items(t.stream("documents")).drop("summary"), folder)
+    return stream.counters(t.spark, folder)
+
+
 _win = "(epoch_us(ts) // 1800000000 - k) * 1800"
 
 
@@ -321,7 +334,15 @@ def windowed_freshness(t):
     return r.select(stamp(F.col("window_start")).alias("window_start"), "event_type", "n", stamp(F.col("newest")).alias("newest"))
 
 
-@query("S2")
+_status = "CASE event_type WHEN 'click' THEN 'processing' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'invalid_json' ELSE 'timeout' END"
+
+
+@query("S2", f"""
+WITH e AS (SELECT user_id, {_status} AS status, CAST(ts AS TIMESTAMP) AS seen, event_id FROM events),
+l AS (SELECT *, seen + CASE WHEN status = 'processing' THEN INTERVAL 15 MINUTE WHEN status IN ('failed', 'timeout') THEN INTERVAL 5 MINUTE END AS due FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, event_id DESC) = 1),
+c AS (SELECT max(seen) AS clock FROM e)
+SELECT user_id AS article_id, CASE WHEN status = 'success' THEN 'COMPLETED' WHEN status = 'invalid_json' THEN 'NON_RETRYABLE' WHEN status = 'processing' THEN CASE WHEN due <= clock THEN 'STALE' ELSE 'PROCESSING' END
+  WHEN due <= clock THEN 'RETRYABLE' ELSE 'COOLDOWN' END AS state, {s.fmt_ts('CASE WHEN due <= clock THEN due ELSE seen END')} AS "at" FROM l, c""")
 def streamed_job_states(t):
     """Job events from the event stream: one annotation job per user, statuses by event type."""
     from newsmart.streaming import jobstate
@@ -334,4 +355,4 @@ def streamed_job_states(t):
     e = t.stream("events").select(
         F.col("user_id").alias("article_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("processed_at"), F.col("event_id").alias("seq")
     )
-    return jobstate.run_available(e, run_folder(t.spark, "jobs"))
+    return jobstate.run_available(e, run_folder(t.spark, "jobs")).select("article_id", "state", stamp(F.col("at")).alias("at"))

@@ -1,85 +1,63 @@
-"""Annotation job states with timeouts, as a stateful stream."""
+"""Annotation job states with timeouts, as a stream of status events.
 
-from __future__ import annotations
+The newest status of every article is an aggregate that Spark keeps in its state store, without a watermark: an event that
+arrives late is folded like any other and only counts if it is the newest. Each micro-batch writes the articles it changed.
+Timeouts need no timers: a status holds until its deadline, and the clock is the newest event seen, so the states
+at any clock follow from the last status of each article.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
 from newsmart import lexicon as lx
+from newsmart.sources.versions import exists
 
-OUT = "article_id BIGINT, state STRING, at TIMESTAMP"
-STATE = "status STRING, at_ms BIGINT"
-
-
-class JobTimeouts(StatefulProcessor):
-    """Keeps the newest status of an article; a timer turns processing stale and failure retryable."""
+LAST = "article_id long, status string, at timestamp, epoch long"
+STALE_S, COOLDOWN_S = 900, 300
 
-    def __init__(self, cooldown_s: int = 300, stale_s: int = 900):
-        self.wait = {"processing": stale_s * 1000, **{s: cooldown_s * 1000 for s in lx.RETRYABLE_STATUSES}}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", STATE)
+def newest(events: DataFrame) -> DataFrame:
+    """events (article_id, status, processed_at, seq) -> article_id, status, at of the newest; on a stream or a table."""
+    last = F.max(F.struct(F.col("processed_at").alias("at"), "seq", "status")).alias("last")
+    return events.groupBy("article_id").agg(last).select("article_id", "last.status", "last.at")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, at = self.last.get() if self.last.exists() else (None, -1)
-        for pdf in rows:
-            best = pdf.sort_values(["at_ms", "seq"]).iloc[-1]
-            if int(best["at_ms"]) >= at:
-                status, at = str(best["status"]), int(best["at_ms"])
-        self.last.update((status, at))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if status in self.wait:
-            self.handle.registerTimer(at + self.wait[status])
-        yield self._row(key, status, at)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, _ = self.last.get()
-        late = "STALE" if status == "processing" else "RETRYABLE"
-        yield pd.DataFrame({"article_id": [key[0]], "state": [late], "at": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")]})
-
-    def _row(self, key, status, at) -> pd.DataFrame:
-        name = (
-            "COMPLETED" if status in lx.FINAL_STATUSES else "NON_RETRYABLE" if status == "invalid_json"
-            else "PROCESSING" if status == "processing" else "COOLDOWN"
-        )
-        return pd.DataFrame({"article_id": [key[0]], "state": [name], "at": [pd.Timestamp(at, unit="ms")]})
-
-    def close(self) -> None:
-        pass
-
-
-def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """events: article_id, status, processed_at, seq -> state changes."""
-    return (
-        events.withColumn("at_ms", F.unix_millis("processed_at")).withWatermark("processed_at", delay).groupBy("article_id")
-        .transformWithStateInPandas(JobTimeouts(), OUT, outputMode="update", timeMode="eventTime")
+def states_at(last: DataFrame, clock: Column, stale_s: int = STALE_S, cooldown_s: int = COOLDOWN_S) -> DataFrame:
+    """(article_id, state, at): a processing job past its deadline is stale, a failed one past its cooldown retryable."""
+    status = F.col("status")
+    failed = status.isin(lx.RETRYABLE_STATUSES)
+    wait = F.when(status == "processing", F.lit(stale_s)).when(failed, F.lit(cooldown_s))
+    due = F.col("at") + F.make_dt_interval(secs=wait)
+    over = due <= clock
+    state = (
+        F.when(status == "processing", F.when(over, F.lit("STALE")).otherwise(F.lit("PROCESSING")))
+        .when(failed & over, F.lit("RETRYABLE")).when(status.isin(lx.FINAL_STATUSES), F.lit("COMPLETED"))
+        .when(status == "invalid_json", F.lit("NON_RETRYABLE")).otherwise(F.lit("COOLDOWN"))
     )
+    return last.select("article_id", state.alias("state"), F.when(over, due).otherwise(F.col("at")).alias("at"))
 
 
-def run_available(events: DataFrame, folder: str, delay: str = "1 hour") -> DataFrame:
-    """Drain the events and return each article's latest state."""
-    spark = events.sparkSession
+def run_available(events: DataFrame, folder: str) -> DataFrame:
+    """Drain the events and return each article's state at the newest event."""
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/states/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{folder}/changed/epoch={epoch}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        q = (
-            job_states(events, delay).writeStream.outputMode("update").foreachBatch(keep)
-            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        )
-        q.awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
-    rows = spark.read.parquet(f"{folder}/states")
-    return rows.groupBy("article_id").agg(F.max_by("state", F.struct("at", "epoch")).alias("state"), F.max("at").alias("at"))
+    q = (
+        newest(events).writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return states(events.sparkSession, folder)
+
+
+def states(spark: SparkSession, folder: str, clock: Column | None = None) -> DataFrame:
+    """Each article's state at ``clock``, by default the newest event."""
+    path = f"{folder}/changed"
+    changed = spark.read.schema(LAST).parquet(path) if exists(spark, path) else spark.createDataFrame([], LAST)
+    last = changed.groupBy("article_id").agg(F.max_by(F.struct("status", "at"), "epoch").alias("l")).select("article_id", "l.*")
+    if clock is None:
+        last, clock = last.crossJoin(F.broadcast(changed.agg(F.max("at").alias("clock")))), F.col("clock")  # one row
+    return states_at(last, clock)
