@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "feeds", "ingest", "clusters", "editions", "search", "knowledge", "markets"]
+MODULES = ["scalars", "feeds", "ingest", "clusters", "editions", "search", "knowledge", "markets", "audits"]
 
 
 def load_all():

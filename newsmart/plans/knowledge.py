@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsmart import lexicon as lx
 from newsmart.functions import dates
 from newsmart.operators import annotations as ann
-from newsmart.operators import backfill, clusters, entities, links, pairs, selection, signals
+from newsmart.operators import audits, backfill, clusters, entities, links, pairs, selection, signals
 from newsmart.plans import editions as ed
 from newsmart.plans import sqltext as s
 from newsmart.plans.clusters import CLUSTERS_SQL, built as archive_clusters, compare_sql
@@ -17,6 +17,8 @@ from newsmart.session import cut_lineage
 from newsmart.sources import readers
 from newsmart.sources.bind import NATION_CODES
 
+_now = f"TIMESTAMP '{AS_OF}'"
+
 # --- mentions ---------------------------------------------------------------------
 s.cte("mention", """
 WITH b AS (SELECT * FROM first_relevant), e AS (SELECT article_id, unnest(list_transform(entities, lambda x, i: {'name': trim(x.name), 'raw_type': CASE WHEN article_id % 6 = 0 THEN 'UNKNOWN' ELSE x.type END, 'context': CASE WHEN article_id % 6 = 0 THEN NULL ELSE x.context END, 'ord': i - 1})) AS m, entities, countries FROM b),
@@ -237,8 +239,8 @@ def odd_clusters(t):
 
     def make():
         half = t.articles(heavy=True).where(F.col("id") % 2 == 1)
-        c, _ = clusters.build(half, t.sources(), t.annotations(), dates.ts(AS_OF))
-        return cut_lineage(c), half.select("id")
+        c, m = clusters.build(half, t.sources(), t.annotations(), dates.ts(AS_OF))
+        return cut_lineage(c), half.select("id"), cut_lineage(m)
 
     return shared(t, "half", make)
 
@@ -250,7 +252,7 @@ _half = CLUSTERS_SQL.replace("SELECT a, b FROM edge UNION ALL SELECT b, a FROM e
 @query("D9", f"""
 WITH RECURSIVE {_half} SELECT a.id, count(cl.cluster_id) AS clusters FROM article a LEFT JOIN cl ON cl.earliest_at <= a.eff_at + INTERVAL 48 HOUR AND cl.latest_at >= a.eff_at - INTERVAL 48 HOUR WHERE a.id % 2 = 0 GROUP BY 1""")
 def overlapping_clusters(t):
-    c, _ = odd_clusters(t)
+    c, _, _ = odd_clusters(t)
     return backfill.open_clusters(t.articles().where(F.col("id") % 2 == 0), c)
 
 
@@ -260,7 +262,11 @@ _att = f"""{_half}, near AS (SELECT a AS pid, b AS id FROM {compare_sql("SELECT
 
 @query("D10 G6", f"WITH RECURSIVE {_att} SELECT id, cluster_id FROM att")
 def attached_articles(t):
-    c, half = odd_clusters(t)
+    return attached(t)
+
+
+def attached(t):
+    c, _, _ = odd_clusters(t)
     a = t.articles(heavy=True)
     todo = a.where(F.col("id") % 2 == 0)
     base = pairs.features(a, t.sources(), t.annotations()).select(F.col("id").alias("primary_id"), "pub_us", "f")
@@ -276,10 +282,33 @@ _rest = f"""{_att}, rest AS (SELECT a.* FROM article a WHERE id % 2 = 0 AND id N
 
 @query("G6 A18", f"WITH RECURSIVE {_rest} SELECT id, cluster_id, 'ATTACHED' AS how FROM att UNION ALL SELECT id, cluster_id, 'NEW' FROM label2 JOIN name2 USING (label)")
 def coverage_backfill(t):
-    c, half = odd_clusters(t)
+    c, half, _ = odd_clusters(t)
     return backfill.backfill(t.articles(heavy=True), t.sources(), t.annotations(), half, c)
 
 
+@query("E27", f"""
+WITH RECURSIVE {LINK_SQL.replace(CLUSTERS_SQL, _att)}, held AS (SELECT mem.id, cl.cluster_id FROM mem JOIN cl USING (label) UNION SELECT id, cluster_id FROM att),
+ x AS (SELECT a.id, a.eff_at, coalesce(n.relevant, 0) AS relevant, coalesce(n.good, false) AND a.title IS NOT NULL AND a.canonical_url IS NOT NULL AS ok, a.id IN (SELECT id FROM held) AS c, a.id IN (SELECT article_id FROM kept_mention) AS m
+  FROM article a LEFT JOIN (SELECT article_id, count(*) FILTER (WHERE is_relevant) AS relevant, bool_or(coalesce(status = 'success' AND is_relevant, false)) AS good FROM annotation GROUP BY 1) n ON n.article_id = a.id),
+ p AS (SELECT period, count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE ok AND c) AS k FROM x, (VALUES ('7D', 7), ('14D', 14), ('30D', 30), ('All-Time', 100000)) AS v(period, days) WHERE eff_at >= {_now} - to_days(CAST(days AS INT)) GROUP BY 1),
+ r AS (SELECT period, n, k, {s.rnd('k / greatest(n, 1) * 100.0e0', 2)} AS pct FROM p), o AS (SELECT count(*) FILTER (WHERE ok AND c) / greatest(count(*) FILTER (WHERE ok), 1) * 100 AS pct FROM x)
+SELECT 'recency' AS part, period AS name, n, k AS covered, pct FROM r
+UNION ALL SELECT 'rating', CASE WHEN o.pct >= 90 AND coalesce((SELECT pct FROM r WHERE period = '7D'), 0) >= 90 AND coalesce((SELECT pct FROM r WHERE period = '14D'), 0) >= 90 THEN 'PASS' ELSE 'NEEDS REVISION' END, 1, NULL, NULL FROM o
+UNION ALL SELECT 'funnel', 'relevant_annotations', CAST(sum(relevant) AS BIGINT), NULL, NULL FROM x
+UNION ALL SELECT 'funnel', 'clustering_eligible', count(*) FILTER (WHERE ok), NULL, NULL FROM x
+UNION ALL SELECT 'funnel', 'represented_articles', count(*) FILTER (WHERE ok AND c), NULL, NULL FROM x
+UNION ALL SELECT 'funnel', 'events', count(DISTINCT cluster_id), NULL, NULL FROM held
+UNION ALL SELECT 'funnel', 'event_articles_with_mentions', count(*) FILTER (WHERE c AND m), NULL, NULL FROM x
+UNION ALL SELECT 'funnel', 'events_with_entities', count(DISTINCT cluster_id), NULL, NULL FROM lk WHERE NOT rejected""")
+def coverage_funnel(t):
+    """The stages from annotation to linked event, where events are the clusters of half the archive and what attaches to them."""
+    c, _, m = odd_clusters(t)
+    kept = entities.first_mentions(resolved(t)[0])
+    found = links.link(links.evidence(kept, m, c, t.articles()), resolved(t)[1])
+    held = m.select(F.col("article_id").alias("id"), "cluster_id").unionByName(attached(t).select("id", "cluster_id"))
+    return audits.coverage_funnel(t.articles(heavy=True), t.annotations(), cut_lineage(held), kept.select("article_id"), found.where(~F.col("rejected")), dates.ts(AS_OF))
+
+
 @query("E27", f"""
 WITH p AS (SELECT * FROM (VALUES ('7d', 7), ('14d', 14), ('30d', 30), ('all', NULL)) AS v(period, days))
 SELECT period, count(*) AS eligible, count(*) FILTER (WHERE c) AS covered, {s.rnd('count(*) FILTER (WHERE c) / count(*) * 100.0e0', 2)} AS pct, {s.rnd('count(*) FILTER (WHERE c) / count(*) * 100.0e0', 2)} >= 95 AS passes

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmart.functions import dates
-from newsmart.operators import annotations, archive, clusters, daily, evaluate, evidence, feeds, graph, neighbours, pairs, saved, selection, signals, suppress, windows
+from newsmart.operators import annotations, archive, audits, clusters, daily, evaluate, evidence, feeds, graph, neighbours, pairs, saved, selection, signals, suppress, windows
 from newsmart.session import cut_lineage
 from newsmart.sources import readers, writers
 
@@ -353,3 +353,42 @@ def test_citations_of_articles_that_were_not_retrieved_are_invalid(spark):
     packs = spark.createDataFrame([(1, False, [(10,)]), (2, False, [(99,)]), (3, True, None)], "query_id long, insufficient_evidence boolean, citations array<struct<id:long>>")
     found = evaluate.question_metrics(questions, gold, records, packs, F.lit(T0).cast("date"))
     assert {r.query_id: r.citation_valid for r in found.collect()} == {1: True, 2: False, 3: True}
+
+
+def test_pair_explanation_states_every_part(spark):
+    a = articles(spark, [(1, 1, "Kushner in Moscow for Kiev talks", 0, "Energy"), (2, 2, "Kushner arrives in Moscow on Kiev", 12, "Energy")])
+    scored = pairs.score_pairs(spark.createDataFrame([("x", 1, 2)], "kind string, a long, b long"), pairs.features(a, sources(spark)))
+    r = audits.explained(scored).first()
+    assert r["category_match"] == 1.0 and r["temporal_proximity"] == 0.75 and not r["numeric_conflict"] and not r["numeric_match"]
+    want = f"Pair [1-2] Similarity: {r['final_score']:.2f} ({r['confidence_band']}) | Title Sim: {r['title_sim']:.2f} | Entity Sim: {r['entity_sim']:.2f} ({r['specific_entity_matches']} matches) | Category Match: 1.0 | Proximity: 0.75 | Numeric Conflict: False"
+    assert r["explanation"] == want and r["specific_entity_matches"] >= 2
+
+
+def test_gold_provenance_and_classes(spark):
+    a = spark.createDataFrame([(1, "oil rises", None, "en"), (2, "gaz monte", None, "fr"), (3, "gas falls", None, "en"), (4, "tin", "oil stocks", "en"), (5, "oil again", None, "en"), (6, "oil x", None, "en")], "id long, title string, raw_summary string, language string")
+    n = spark.createDataFrame([(1, 1, None, True), (2, 3, "s", False), (3, 4, None, None)], "annotation_id long, article_id long, summary string, is_relevant boolean")
+    q = spark.createDataFrame([(1, ["oil"]), (2, [])], "query_id long, tokens array<string>")
+    gold = spark.createDataFrame([(1, i) for i in (1, 2, 3, 4, 5, 6, 99)] + [(2, 1)], "query_id long, id long")
+    ranked = spark.createDataFrame([(1, 1, 5, 2), (1, 5, 1, 11), (1, 6, 2, 4)], "query_id long, id long, ord int, rank int")
+    shown = spark.createDataFrame([(1, 1)], "query_id long, id long")
+    got = {(r["query_id"], r["id"]): r for r in audits.gold_provenance(gold, q, a, n, ranked, shown).collect()}
+    want = {(1, 1): "SUCCESS_RETRIEVED", (1, 2): "LANGUAGE_LEXICAL_GAP", (1, 3): "FTS_LEXICAL_MISS", (1, 4): "CANDIDATE_LIMIT_MISS", (1, 5): "FINAL_TOP_K_TRUNCATION", (1, 6): "SOURCE_DIVERSITY_EFFECT", (1, 99): "GOLD_LABEL_ISSUE", (2, 1): "CANDIDATE_LIMIT_MISS"}
+    assert {k: r["cause"] for k, r in got.items()} == want
+    assert not got[1, 1]["manual_review"] and got[1, 2]["manual_review"] and got[1, 3]["manual_review"] and not got[1, 4]["manual_review"]
+    counts = {r["cause"]: (r["n"], r["total"], r["reconciled"]) for r in audits.reconciled(audits.gold_provenance(gold, q, a, n, ranked, shown), "cause").collect()}
+    assert counts["CANDIDATE_LIMIT_MISS"] == (2, 8, True) and sum(c[0] for c in counts.values()) == 8
+    kinds = {r["id"]: r["class"] for r in audits.gold_classes(gold.where("query_id = 1").withColumn("core", F.col("id") != 5), a, n).collect()}
+    assert kinds == {1: "VALID_GOLD", 2: "UNANALYZED", 3: "OUT_OF_SCOPE", 4: "OUT_OF_SCOPE", 5: "UNANALYZED", 6: "UNANALYZED", 99: "STALE_ID_OR_DATA_DRIFT"}
+
+
+def test_coverage_funnel(spark):
+    a = articles(spark, [(i, 1, f"t{i}", -24 * i, "World") for i in range(1, 41)])
+    n = spark.createDataFrame([(i, "success" if i != 3 else "failed", i != 4) for i in range(1, 31)], "article_id long, status string, is_relevant boolean")
+    members = spark.createDataFrame([(i, f"c{i % 5}") for i in range(1, 29) if i not in (5, 20)], "id long, cluster_id string")
+    named, linked = spark.createDataFrame([(1,), (2,), (5,)], "article_id long"), spark.createDataFrame([("c1",), ("c1",), ("c2",)], "cluster_id string")
+    got = {r["name"]: (r["n"], r["covered"], r["pct"]) for r in audits.coverage_funnel(a, n, members, named, linked, dates.ts(str(T0))).collect()}
+    assert got["relevant_annotations"][0] == 29 and got["clustering_eligible"][0] == 28 and got["represented_articles"][0] == 24
+    assert got["events"][0] == 5 and got["event_articles_with_mentions"][0] == 2 and got["events_with_entities"][0] == 2
+    assert got["7D"] == (5, 4, 80.0) and got["14D"] == (12, 11, 91.67) and got["All-Time"] == (28, 24, 85.71) and got["NEEDS REVISION"][0] == 1
+    full = spark.createDataFrame([(i, "c") for i in range(1, 41)], "id long, cluster_id string")
+    assert "PASS" in {r["name"] for r in audits.coverage_funnel(a, n, full, named, linked, dates.ts(str(T0))).collect()}
