@@ -138,24 +138,47 @@ def sample(docs: DataFrame, learn, sample_docs: int, sample_bytes: int) -> dict[
     return {lang: texts for lang, texts in out.items() if texts}
 
 
+HELD = 5  # of the sampled texts one in so many is held out to measure code lengths; fewer held-out texts set no bound
+SLACK = 16  # bytes that a short text may be longer
+
+
+def most_bits(texts: dict[str, list[bytes]]) -> np.ndarray:
+    """Bits a byte beyond which a text is not in a language: twice the 99 % quantile of texts that were held out."""
+    held = {lang: t[:: HELD] for lang, t in texts.items()}
+    rest = {lang: [x for i, x in enumerate(t) if i % HELD] for lang, t in texts.items()}
+    bounds = np.full(len(texts), np.inf)
+    if not texts or not all(rest.values()):
+        return bounds
+    model = train(rest)
+    for lang, t in held.items():
+        t = [x for x in t if x]
+        if len(t) >= HELD:
+            offsets = np.cumsum([0, *map(len, t)])
+            bits = code_lengths(model, np.frombuffer(b"".join(t), np.uint8), offsets)[:, model.langs.index(lang)]
+            bounds[model.langs.index(lang)] = 2 * np.quantile(bits / np.diff(offsets), 0.99)
+    return bounds
+
+
 def _scorer(docs: DataFrame, learn, sample_docs: int, sample_bytes: int):
-    """Function of an Arrow batch with text and letters to (language, score) of its rows."""
+    """Function of an Arrow batch with text and letters to (language, score, whether the language explains it) of its rows."""
     texts = sample(docs, learn, sample_docs, sample_bytes)
     model = docs.sparkSession.sparkContext.broadcast(vars(train(texts)) if texts else None)  # bounded by the sample
+    most = most_bits(texts)
 
     def of(batch):
         m = Model(**model.value) if model.value else None
         data, offsets = text_bytes(batch.column("text"))
         letters = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
-        lang, sure = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+        lang, sure, plain = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
         for i, j in chunks(offsets) if m else []:
             off = offsets[i : j + 1] - offsets[i]
             bits = code_lengths(m, data[offsets[i] : offsets[j]], off)
             excess = (bits - bits.min(1, keepdims=True)) / np.sqrt(np.diff(off) + 1.0)[:, None]
             lang[i:j] = np.array(m.langs, object)[bits.argmin(1)]
             sure[i:j] = 1 / np.exp2(-excess).sum(1)
+            plain[i:j] = bits.min(1) <= most[bits.argmin(1)] * (np.diff(off) + SLACK)
         lang[~letters], sure[~letters] = "und", 0.0
-        return lang, sure
+        return lang, sure, plain
 
     return of
 
@@ -170,7 +193,7 @@ def identify(docs: DataFrame, learn, sample_docs: int = 150, sample_bytes: int =
 
     def work(batches):
         for batch in batches:
-            lang, sure = scored(batch)
+            lang, sure, _ = scored(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -178,12 +201,13 @@ def identify(docs: DataFrame, learn, sample_docs: int = 150, sample_bytes: int =
 
 
 def in_known_language(docs: DataFrame, learn, least: float = 0.5, sample_docs: int = 150, sample_bytes: int = 20_000) -> DataFrame:
-    """The documents in one of the learnt languages, by a score of at least ``least``, with all their columns."""
+    """The documents in one of the learnt languages, with all their columns: the score is at least ``least``, and the code
+    length a byte is one that texts of the language have, so other languages, program code and junk go."""
     scored = _scorer(docs, learn, sample_docs, sample_bytes)
 
     def work(batches):
         for batch in batches:
-            lang, sure = scored(batch)
-            yield batch.drop_columns([batch.schema.names[-1]]).filter(pa.array((lang != "und") & (sure >= least)))
+            lang, sure, plain = scored(batch)
+            yield batch.drop_columns([batch.schema.names[-1]]).filter(pa.array((lang != "und") & (sure >= least) & plain))
 
     return docs.select("*", _letters()).mapInArrow(work, docs.schema)

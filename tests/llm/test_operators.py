@@ -215,6 +215,38 @@ def test_secrets_beside_fixed_matches_and_after_names(spark):
     assert masked[0] == "é [SECRET]/[SECRET] end" and got[1].startswith("entropy:") and "0F3A9C7E1B5D8264F0E1D2C3B4A59687"[4:] not in masked[1]
 
 
+def test_secrets_beside_the_word_example_and_of_letters_only(spark):
+    key, letters = "Q7f9Kx2LmZ8pVt4RwB6nYc3D", "QxZvKfWmTzLhPcRgYbNdSjVkHwMq"
+    texts = [f"MY_EXAMPLE_KEY={key} end", f"EXAMPLE/{key}", f"value {letters} end", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "this_is_an_EXAMPLE_of_plain_words", "a documentationofeverythingthatisknown here", "THEQUALITYOFCAPITALLETTERSISFINE"]
+    got = {r["doc_id"]: r["text"] for r in secretscan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(x not in got[i] for i, x in ((0, key[4:-4]), (1, key[4:-4]), (2, letters[6:-6])))
+    assert [got[i] for i in (3, 4, 5, 6)] == texts[3:]
+
+
+def test_window_entropy_equals_brute_force(spark):
+    rng = random.Random(6)
+    values = ["".join(rng.choice(pool) for _ in range(rng.randint(20, 60))) for pool in ("0123456789abcdef", "ABCDEFGH0123456789", "aB3xY9kLmQ+/=_-z", "abcABC", "é" * 3 + "abc123") for _ in range(12)]
+
+    def entropy(w):
+        return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+
+    def brute(v, window, bar):
+        hits = []
+        for i in range(len(v) - window + 1):
+            w = v[i : i + window]
+            mixes = 0 < sum(c.isdigit() for c in w) < window
+            own = 3.0 if mixes and (re.fullmatch("[0-9a-f]+", w) or re.fullmatch("[0-9A-F]+", w)) else 3.5 if mixes and re.fullmatch("[A-Z0-9]+", w) else bar
+            if entropy(w) >= min(bar, own) - 1e-9:
+                hits.append(i)
+        return (hits[0], hits[-1]) if hits else (None, None)
+
+    values = [v for v in values if v.isascii()]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string").select("i", secretscan.entropy_range(F.col("v"), F.lit(3.7), 20, secretscan.BARS).alias("w"))
+    got = {r["i"]: (r["w"]["first"], r["w"]["last"]) for r in rows.collect()}
+    assert got == {i: brute(v, 20, 3.7) for i, v in enumerate(values)}
+    assert len({x is None for x, _ in got.values()}) == 2
+
+
 def test_bootstrap_finds_unseen_identifiers(spark):
     seen = [(i, f"please call hotline +1 (555) 010-{1000 + i} now") for i in range(12)]
     texts = seen + [(50, "please call hotline 0800-REACH7 now"), (51, "room 0800-REACH8 now")]
@@ -368,3 +400,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids(clean) == {r["doc_id"] for r in docs.collect() if not any(x in plain(r["text"]) for x in items)}
     safe = corpus_pipeline.without_secrets(spark, docs, folder)
     assert safe.columns == docs.columns and safe.count() == docs.count() and not [r for r in safe.collect() if re.search("AKIA[A-Z0-9]{14}", r["text"])]
+
+
+def test_other_languages_code_and_junk_are_rejected(spark):
+    rng = random.Random(14)
+    english, french = "the of and to in that it was for with his on be at by".split(), "le de et la les des en un une que qui dans pour pas sur".split()
+    rows = [(i, " ".join(rng.choice(english if i % 2 else french) for _ in range(rng.randint(3, 60))), "en" if i % 2 else "fr") for i in range(200)]
+    foreign = ["Привет мир, это обычный текст", "Dzień dobry, to jest zwykły tekst", "Jó napot kívánok, ez egy magyar szöveg", "你好，这是一个普通的文本", "for (int i = 0; i < n; ++i) { sum += a[i] * b[i]; }", "xkq zrt plm bvc wqx kkj zzt rrm", "1234 5678 x 90 12"]
+    docs = spark.createDataFrame(rows + [(1000 + i, 4 * (t + " "), None) for i, t in enumerate(foreign)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.in_known_language(docs, F.col("doc_id") < 120).collect()}
+    assert kept == set(range(200))
+    few = docs.where("doc_id < 6")  # too few texts to hold any out: no bound
+    assert langid.in_known_language(few, F.lit(True)).count() == 6
