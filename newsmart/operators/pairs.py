@@ -196,7 +196,10 @@ def _must_hit(need: float) -> Column:
 
 
 def candidate_keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """(sig, key, size, probe): every linkable pair has a key that one side probes and both hold.
+    """(sig, key, size, probe, rn, need): every linkable pair has a key that one side probes and both hold.
+
+    rn: the item's place among the set's items, rarest first; need: the share of the smaller set that must be common (0: one
+    common item is enough). ``within_reach`` tells from both sides' places whether so much can still be common.
 
     - titles: similarity t needs an overlap of t times the smaller set, so one of the smaller
       title's rarest tokens is in the other (prefix filtering, Chaudhuri et al., 2006);
@@ -207,27 +210,43 @@ def candidate_keys(sets: DataFrame, threshold: float) -> DataFrame:
     """
     t, e, t1 = bounds(threshold)
     tokens = _rare_first(sets, "tokens")
-    titles = tokens.select("sig", F.concat("part", F.lit("t:"), "item").alias("key"), "size", _must_hit(t).alias("probe"))
+    titles = tokens.select("sig", F.concat("part", F.lit("t:"), "item").alias("key"), "size", _must_hit(t).alias("probe"), "rn", F.lit(t).alias("need"))
     only = sets.where(F.size("entities") == 1).select("sig", F.get("entities", 0).alias("name"))
     single = tokens.join(only, "sig").select(
-        "sig", F.concat("part", F.lit("o:"), "name", F.lit("|"), "item").alias("key"), "size", _must_hit(t1).alias("probe")
+        "sig", F.concat("part", F.lit("o:"), "name", F.lit("|"), "item").alias("key"), "size", _must_hit(t1).alias("probe"), "rn", F.lit(t1).alias("need")
     )
     names = _rare_first(sets.where(F.size("entities") > 1), "entities").select(
-        "sig", F.concat("part", F.lit("e:"), "item").alias("key"), "size", _must_hit(e).alias("probe")
+        "sig", F.concat("part", F.lit("e:"), "item").alias("key"), "size", _must_hit(e).alias("probe"), "rn", F.lit(e).alias("need")
     )
-    flat = F.lit(0).alias("size")
-    numbers = sets.select("sig", "part", F.explode("numbers").alias("n")).select("sig", F.concat("part", F.lit("n:"), "n").alias("key"), flat, F.lit(True).alias("probe"))
+    flat, free = F.lit(0).alias("size"), [F.lit(0).alias("rn"), F.lit(0.0).alias("need")]
+    numbers = sets.select("sig", "part", F.explode("numbers").alias("n")).select("sig", F.concat("part", F.lit("n:"), "n").alias("key"), flat, F.lit(True).alias("probe"), *free)
     long = sets.select("sig", "part", F.explode("entities").alias("name")).where(F.length("name") > 3)
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 3), lambda i: F.substr("name", i, F.lit(4))))
     grams = long.select("sig", "part", "name", F.explode(pieces).alias("item"))
     df = grams.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
     best = F.row_number().over(Window.partitionBy("sig", "name").orderBy("df", "item"))
     inside = grams.join(df, "item").withColumn("probe", best == 1).groupBy("sig", "part", "item").agg(F.bool_or("probe").alias("probe")).select(
-        "sig", F.concat("part", F.lit("g:"), "item").alias("key"), flat, "probe"
+        "sig", F.concat("part", F.lit("g:"), "item").alias("key"), flat, "probe", *free
     )
     return titles.unionByName(single).unionByName(names).unionByName(numbers).unionByName(inside)
 
 
+def within_reach(size_a: Column, rn_a: Column, size_b: Column, rn_b: Column, need: Column) -> Column:
+    """Whether the smaller set a can have enough in common with b, if this item is the first they share.
+
+    It is the first on one of their keys, and the bound falls from key to key, so no pair that reaches it is lost.
+    """
+    return F.lit(1) + F.least(size_a - rn_a, size_b - rn_b) >= F.ceil(size_a * need - F.lit(1e-9))
+
+
+SUB_BLOCK = 2000  # members of a block that meet in one group of the join, on either side
+
+
+def in_sub_blocks(rows: DataFrame, own: str, other: str, subs: Column, by: list[str]) -> DataFrame:
+    """Rows of a block dealt into ``subs`` parts (column ``own``), once for each part of the other side (column ``other``)."""
+    return rows.withColumn(own, F.pmod(F.xxhash64(*by), subs).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (subs - 1).cast("int"))))
+
+
 def nodes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Collapse articles with equal comparison features inside one 48-hour slot.
 
@@ -255,7 +274,8 @@ def node_components(rows: DataFrame, n: DataFrame, threshold: float) -> DataFram
     Pass one compares every block's members with one leader, which is linear in the block and
     already joins near copies. Pass two only pairs members still in different components, and
     of a block's largest component only with the others. Pairs inside one component cannot
-    change the result, so none is lost.
+    change the result, so none is lost. Large blocks are cut into sub-blocks on either side, places in the sets rule pairs
+    out inside the join, and what pass one has compared is not compared again.
     """
     sets = cut_lineage(rows.groupBy("sig").agg(F.any_value("f").alias("f"), F.any_value("part").alias("part")))
     keys = candidate_keys(sets.select("sig", "part", "f.*"), threshold)
@@ -264,39 +284,47 @@ def node_components(rows: DataFrame, n: DataFrame, threshold: float) -> DataFram
     block = ["key", "at"]
     around = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
     members = cut_lineage(
-        placed.select("key", around.alias("at"), "sig", "slot", "node", "size", "probe").withColumn("probe", F.col("probe") & (F.col("slot") == F.col("at")))
+        placed.select("key", around.alias("at"), "sig", "slot", "node", "size", "probe", "rn", "need").withColumn("probe", F.col("probe") & (F.col("slot") == F.col("at")))
     )
     probes = members.where("probe")
     lead = probes.groupBy(*block).agg(F.min(F.struct("sig", "slot")).alias("l"))
     first = members.join(lead, block).where(F.col("sig") != F.col("l.sig")).select(
         F.col("l.sig").alias("s1"), F.col("l.slot").alias("k1"), F.col("sig").alias("s2"), F.col("slot").alias("k2")
     )
-    links = cut_lineage(_verified(first, rows, n, sets, threshold).unionByName(_same_feature_links(n)).distinct())
+    seen = cut_lineage(_canonical(first))
+    edges, apart = _verified(seen, rows, n, sets, threshold)
+    links = cut_lineage(edges.unionByName(_same_feature_links(n)).distinct())
     comp = connected_components(links)
 
     labelled = cut_lineage(
         members.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     )
     per = labelled.groupBy(*block, "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy(*block).agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-    open_ = labelled.join(top.select(*block, "top"), block).withColumn("rest", F.col("comp") != F.col("top"))
-    cols = lambda d: [F.col(c).alias(f"{c}{d}") for c in ("sig", "slot", "size", "comp", "rest")]
-    left, right = open_.where("probe").select(*block, *cols(1)), open_.select(*block, *cols(2))
-    pair = lambda a, b: a.join(b, block).where((F.col("comp1") != F.col("comp2")) & (F.col("size1") <= F.col("size2")))
+    top = per.groupBy(*block).agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / SUB_BLOCK).alias("subs")).where(F.col("k") > 1)
+    open_ = labelled.join(top.select(*block, "top", "subs"), block).withColumn("rest", F.col("comp") != F.col("top"))
+    cols = lambda d: [F.col(c).alias(f"{c}{d}") for c in ("sig", "slot", "size", "comp", "rest", "rn")]
+    left = in_sub_blocks(open_.where("probe").select(*block, *cols(1), "need", "subs"), "i", "j", F.col("subs"), ["sig1", "slot1"]).drop("subs")
+    right = in_sub_blocks(open_.select(*block, *cols(2), "subs"), "j", "i", F.col("subs"), ["sig2", "slot2"]).drop("subs")
+    fits = (F.col("comp1") != F.col("comp2")) & (F.col("size1") <= F.col("size2")) & within_reach(F.col("size1"), F.col("rn1"), F.col("size2"), F.col("rn2"), F.col("need"))
+    pair = lambda a, b: a.join(b, [*block, "i", "j"]).where(fits)
     both = pair(left.where("rest1"), right).unionByName(pair(left.where(~F.col("rest1")), right.where("rest2")))
-    second = both.select(F.col("sig1").alias("s1"), F.col("slot1").alias("k1"), F.col("sig2").alias("s2"), F.col("slot2").alias("k2"))
-    more = cut_lineage(_verified(second, rows, n, sets, threshold))
+    second = _canonical(both.select(F.col("sig1").alias("s1"), F.col("slot1").alias("k1"), F.col("sig2").alias("s2"), F.col("slot2").alias("k2")))
+    second = second.join(seen, ["sa", "sb", "ka", "kb"], "left_anti").join(apart, ["sa", "sb"], "left_anti")
+    more = cut_lineage(_verified(cut_lineage(second), rows, n, sets, threshold)[0])
     return connected_components(links.unionByName(more)).select(F.col("id").alias("node"), "label")
 
 
-def _verified(found: DataFrame, rows: DataFrame, n: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Edges (u, v) between nodes that hold at least one linked pair of articles."""
+def _canonical(found: DataFrame) -> DataFrame:
+    """Distinct pairs of feature sets and slots, the smaller set first."""
     swap = F.col("s1") < F.col("s2")
-    pair = found.select(
+    return found.select(
         F.least("s1", "s2").alias("sa"), F.greatest("s1", "s2").alias("sb"), F.when(swap, F.col("k1")).otherwise(F.col("k2")).alias("ka"),
         F.when(swap, F.col("k2")).otherwise(F.col("k1")).alias("kb"),
     ).distinct()
-    pair = cut_lineage(pair)  # read twice below
+
+
+def _verified(pair: DataFrame, rows: DataFrame, n: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(edges (u, v) between nodes that hold at least one linked pair of articles, pairs (sa, sb) that no time can link)."""
     # score each pair of feature sets once, whatever the number of slots it meets in
     uniq = pair.select("sa", "sb").distinct()
     small = is_small(sets, rows=FEATURE_ROWS)
@@ -314,7 +342,8 @@ def _verified(found: DataFrame, rows: DataFrame, n: DataFrame, sets: DataFrame,
     both = once(both, "t", title_similarity(F.col("fa.tokens"), F.col("fb.tokens")))
     both = both.where(numbers | (F.col("t") >= title - 1e-9) | (named & (F.col("t") >= least - 1e-9))).drop("t")
     scored = once(both, "s", static_score(F.col("fa"), F.col("fb"))).select("sa", "sb", "s").where(is_edge(F.col("s"), F.lit(1.0), threshold))
-    scored = scored.select("sa", "sb", "s", is_edge(F.col("s"), F.lit(0.0), threshold).alias("always"))
+    scored = cut_lineage(scored.select("sa", "sb", "s", is_edge(F.col("s"), F.lit(0.0), threshold).alias("always")))
+    apart = uniq.join(scored, ["sa", "sb"], "left_anti")
     side = lambda p: n.select(F.col("sig").alias(f"s{p}"), F.col("slot").alias(f"k{p}"), *[F.col(c).alias(f"{c}_{p}") for c in ("node", "lo", "hi", "u_lo", "u_hi")])
     met = pair.join(scored, ["sa", "sb"]).join(side("a"), ["sa", "ka"]).join(side("b"), ["sb", "kb"])
 
@@ -332,7 +361,7 @@ def _verified(found: DataFrame, rows: DataFrame, n: DataFrame, sets: DataFrame,
     untimed = near("u_lo_a", "u_hi_a", "lo_b", "hi_b") | near("lo_a", "hi_a", "u_lo_b", "u_hi_b")
     met = cut_lineage(met.where(touching).withColumn("sure", F.col("always") | untimed))
     direct = met.where("sure").select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    return direct.unionByName(_timed_links(rows, met.where(~F.col("sure")), threshold)).distinct()
+    return direct.unionByName(_timed_links(rows, met.where(~F.col("sure")), threshold)).distinct(), apart
 
 
 def _same_feature_links(n: DataFrame) -> DataFrame:

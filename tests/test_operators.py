@@ -93,7 +93,7 @@ def _brute_components(feats, threshold):
     return {i: find(i) for i in root}
 
 
-def test_clusters_equal_brute_force(spark):
+def test_clusters_equal_brute_force(spark, monkeypatch):
     """Copies, variants, shared entities, numbers, conflicts, missing dates, category and time edges."""
     rnd = random.Random(5)
     heads = ["Acme Corp cuts rates 25 bps", "Acme Corp hikes rates 25 bps", "Fed holds rates steady", "Federal Reserve holds steady", "Oil rises 3% in London", "Oil rises 3 % London",
@@ -111,6 +111,8 @@ def test_clusters_equal_brute_force(spark):
     assert got == want
     again = {r["id"]: r["label"] for r in clusters.assign(feats.repartition(3, "f.cat"), 0.70).collect()}
     assert again == want
+    monkeypatch.setattr(pairs, "SUB_BLOCK", 3)  # every block is cut
+    assert {r["id"]: r["label"] for r in clusters.assign(feats, 0.70).collect()} == want
 
 
 def test_same_title_far_apart_stays_apart(spark):
