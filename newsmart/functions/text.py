@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 from html.parser import HTMLParser
 
@@ -214,19 +215,75 @@ def clean_summary(s: pd.Series) -> pd.Series:
     return s.map(_clean_html)
 
 
-# --- fixed values: named character references decoded by the native cleaner ---
-BASIC_ENTITIES = [
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"),
-    ("&pound;", "£"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"),
+# --- the native cleaner -----------------------------------------------------------
+_HIDDEN = r"(?is)<(script|style)\b[^<>]*+>.*?</\1\s*>"
+_TAG = r"""</?[A-Za-z][^<>"']*+(?:(?:"[^"]*+"|'[^']*+')[^<>"']*+)*+/?>"""
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: What the native path leaves to the parser: nested or raw-text elements, odd comments, comments beside scripts.
+_HARD = r"(?is)<(template|textarea|title|plaintext|xmp|iframe|noembed|noframes|noscript|svg|math)\b|<!-->|<!--->|--!>|<!\[|(?:<!--.*<(?:script|style))|(?:<(?:script|style).*<!--)"
+
+
+def _numeric(ref: Column) -> Column:
+    """The character of a decimal or hexadecimal reference; null where the standard has a rule of its own."""
+    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
+    code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    plain = code.between(32, 126) | code.between(160, 0xD7FF) | code.between(0xE000, 0xFDCF) | code.between(0xFDF0, 0xFFFD) | code.isin(9, 10)
+    return F.when(plain, F.decode(F.unhex(F.lpad(F.conv(code.cast("string"), 10, 16), 4, "0")), "UTF-16BE"))
+
+
+def decoded(c: Column, names: dict[str, str]) -> Column:
+    """Named and numeric references as characters; what is none stays. Only texts with references are taken apart."""
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    one = lambda r: F.when(r == "", "").when(r.startswith("&#"), F.coalesce(_numeric(r), r)).otherwise(F.coalesce(F.try_element_at(known, r), r))
+    refs = F.regexp_extract_all(c, F.lit(f"({_REFERENCE})"), F.lit(1))
+    gaps = F.split(c, _REFERENCE, -1)
+    joined = F.array_join(F.zip_with(gaps, refs, lambda g, r: F.concat(F.coalesce(g, F.lit("")), F.coalesce(one(r), F.lit("")))), "")
+    return F.when(c.contains("&"), joined).otherwise(c)
+
+
+#: References worth a native lookup; texts with others go to the parser, which knows them all.
+COMMON_NAMES = [
+    "nbsp", "iexcl", "cent", "pound", "curren", "yen", "brvbar", "sect", "uml", "copy", "ordf", "laquo", "not", "shy", "reg", "macr", "deg", "plusmn", "sup2", "sup3", "acute", "micro",
+    "para", "middot", "cedil", "sup1", "ordm", "raquo", "frac14", "frac12", "frac34", "iquest", "Agrave", "Aacute", "Acirc", "Atilde", "Auml", "Aring", "AElig", "Ccedil", "Egrave",
+    "Eacute", "Ecirc", "Euml", "Igrave", "Iacute", "Icirc", "Iuml", "Ntilde", "Ograve", "Oacute", "Ocirc", "Otilde", "Ouml", "times", "Oslash", "Ugrave", "Uacute", "Ucirc", "Uuml",
+    "szlig", "agrave", "aacute", "acirc", "atilde", "auml", "aring", "aelig", "ccedil", "egrave", "eacute", "ecirc", "euml", "igrave", "iacute", "icirc", "iuml", "ntilde", "ograve",
+    "oacute", "ocirc", "otilde", "ouml", "divide", "oslash", "ugrave", "uacute", "ucirc", "uuml", "yuml", "quot", "amp", "lt", "gt", "apos", "OElig", "oelig", "Scaron", "scaron",
+    "ndash", "mdash", "lsquo", "rsquo", "sbquo", "ldquo", "rdquo", "bdquo", "dagger", "Dagger", "bull", "hellip", "permil", "prime", "Prime", "lsaquo", "rsaquo", "euro", "trade", "larr",
+    "uarr", "rarr", "darr", "minus", "infin", "ne", "le", "ge", "ensp", "emsp", "thinsp", "zwnj", "zwj",
 ]
 
 
+def _without_markup(c: Column) -> Column:
+    t = F.regexp_replace(c, _HIDDEN, " ")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
+    t = F.regexp_replace(t, r"<(?:![A-Za-z]|\?)[^<>]*+>", "")  # declarations leave no space
+    return F.regexp_replace(t, _TAG, " ")
+
+
+def is_plain_markup(c: Column) -> Column:
+    """Whether the native cleaner covers a text: whole tags and comments, and no reference but those it looks up, in either decoding."""
+    bare = "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), reverse=True))  # those that count without a semicolon
+    number = r"#0{0,4}(?:9|10|3[2-9]|[4-9][0-9]|1[01][0-9]|12[0-6]|1[6-9][0-9]|[2-9][0-9]{2}|[1-9][0-9]{3}|[1-4][0-9]{4}|5[0-4][0-9]{3})"
+    hexed = "#[xX]0{0,4}(?:9|[aA]|[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]|[A-Fa-f][0-9A-Fa-f]|[1-9A-Fa-f][0-9A-Fa-f]{2}|[1-9A-Ca-c][0-9A-Fa-f]{3})"
+    known, other = f"&(?:{'|'.join(COMMON_NAMES)}|{number}|{hexed});", f"&(?:#[0-9xX]|[A-Za-z][A-Za-z0-9]*;|{bare})"
+    text = _without_markup(c)
+    clear = lambda t: ~F.regexp_replace(t, known, "").rlike(other)
+    return ~c.rlike(_HARD) & ~text.contains("<") & ~text.contains("\u0000") & clear(text) & (~text.contains("&") | clear(decoded(text, _common())))
+
+
+def _common() -> dict[str, str]:
+    return {f"&{n};": html.entities.html5[f"{n};"] for n in COMMON_NAMES}
+
+
 def clean_summary_native(c: Column) -> Column:
-    """JVM-only cleaner for well-formed markup with the basic entities."""
-    t = F.regexp_replace(c, r"(?is)<!--.*?-->|<(script|style|template)\b.*?</(script|style|template)\s*>", " ")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for name, value in BASIC_ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(value))
-    t = strip(F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"\s+", " "))
+    """Cleaned text in the JVM: markup removed in whole parts, references decoded twice (feeds escape them twice)."""
+    t = decoded(decoded(_without_markup(c), _common()), _common())
+    t = F.regexp_replace(t, "[\\s\u00A0\u0085\u001C-\u001F\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+", " ")
+    t = F.trim(t)
     return F.when(t != "", t)
+
+
+def clean_markup(c: Column) -> Column:
+    """The native cleaner, and the parser for texts that it does not cover; those alone reach Python."""
+    easy = F.coalesce(is_plain_markup(c), F.lit(False))
+    return F.when(easy, clean_summary_native(c)).otherwise(clean_summary(F.when(~easy, c)))

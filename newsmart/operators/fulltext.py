@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsmart.functions.text import WORD
 from newsmart.operators.joins import broadcast_if_small
@@ -16,20 +12,17 @@ from newsmart.operators.joins import broadcast_if_small
 _ENDINGS = ["ational", "ization", "fulness", "ousness", "iveness", "tional", "ements", "ments", "ingly", "edly", "ement", "ness", "ment", "ing", "ies", "ied", "ion", "ed", "ly", "es", "s"]
 
 
-def light_stem(word: str) -> str:
-    """Drop one common English ending when at least three letters remain."""
-    for e in _ENDINGS:
-        if word.endswith(e) and len(word) - len(e) >= 3:
-            stem = word[: -len(e)]
-            if e in ("ies", "ied"):
-                return stem + "y"
-            return stem[:-1] if e in ("ing", "ed") and re.search(r"([bdfgmnprt])\1$", stem) else stem
-    return word
-
-
-@F.pandas_udf(T.StringType())
-def stem(s: pd.Series) -> pd.Series:
-    return s.map(lambda w: None if w is None else light_stem(w))
+def stem(word: Column) -> Column:
+    """Drop the first ending that leaves at least three letters: -ies and -ied become -y, -ing and -ed undo a doubled consonant."""
+    out = word
+    for e in reversed(_ENDINGS):
+        left = F.substr(word, F.lit(1), F.length(word) - len(e))
+        if e in ("ies", "ied"):
+            left = F.concat(left, F.lit("y"))
+        elif e in ("ing", "ed"):
+            left = F.regexp_replace(left, r"([bdfgmnprt])\1$", "$1")
+        out = F.when(word.endswith(F.lit(e)) & (F.length(word) - len(e) >= 3), left).otherwise(out)
+    return out
 
 
 def _word_rows(df: DataFrame, column: str) -> DataFrame:
@@ -46,7 +39,7 @@ def fulltext(queries: DataFrame, articles: DataFrame, annotations: DataFrame) ->
     must = queries.where(F.size("rule_words") > 0).select("query_id", F.lit("must").alias("clause"), F.array_distinct("rule_words").alias("ws"))
     may = queries.select("query_id", F.explode("expanded").alias("clause")).withColumn("ws", F.split("clause", "[ -]"))
     asked = must.unionByName(may).select("query_id", "clause", F.explode("ws").alias("word"))
-    terms = asked.select("word").distinct().withColumn("stem", stem("word"))
+    terms = asked.select("word").distinct().withColumn("stem", stem(F.col("word")))
     asked = asked.join(terms, "word").select("query_id", "clause", "stem").distinct()
     need = asked.groupBy("query_id", "clause").agg(F.count(F.lit(1)).alias("need"))
     text = articles.select("id", F.lit("article").alias("field"), F.concat_ws(" ", "title", "raw_summary").alias("txt")).unionByName(
@@ -55,7 +48,7 @@ def fulltext(queries: DataFrame, articles: DataFrame, annotations: DataFrame) ->
         )
     )
     posted = _word_rows(text, "txt")
-    vocab = posted.select("word").distinct().withColumn("stem", stem("word"))
+    vocab = posted.select("word").distinct().withColumn("stem", stem(F.col("word")))
     wanted = vocab.join(broadcast_if_small(asked.select("stem").distinct()), "stem")
     index = posted.join(broadcast_if_small(wanted), "word").select("id", "field", "stem").distinct()
     hits = index.join(asked, "stem").groupBy("query_id", "clause", "id", "field").agg(F.count_distinct("stem").alias("got"))

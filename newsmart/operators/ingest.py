@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsmart import lexicon as lx
-from newsmart.functions.text import clean_summary, strip, title_fingerprint
+from newsmart.functions.text import clean_markup, strip, title_fingerprint
 from newsmart.functions.urls import canonicalize_url, permalink
 from newsmart.operators.joins import broadcast_if_small
 
@@ -50,7 +50,7 @@ def new_items(normal: DataFrame, archive_urls: DataFrame) -> DataFrame:
 
 
 def with_clean_summary(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("raw_summary", clean_summary("summary")).drop("summary")
+    return rows.withColumn("raw_summary", clean_markup(F.col("summary"))).drop("summary")
 
 
 def ingest_summary(items: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:

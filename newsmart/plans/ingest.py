@@ -65,7 +65,9 @@ def archive_append(t):
     return ingest.new_items(batch, old).select("item_id", "source_id", "canonical_url", "title_fingerprint")
 
 
-@query("A10 B2", f"SELECT f.item_id, canonical_url, f.title, {clean_sql('i.summary')} AS raw_summary FROM fresh_item f JOIN feed_item i ON i.item_id = f.item_id")
+@query("A10 B2", f"""
+WITH clean AS MATERIALIZED (SELECT page_id, {clean_sql('html')} AS txt FROM pages), k AS (SELECT count(*) AS k FROM pages)
+SELECT f.item_id, canonical_url, f.title, clean.txt AS raw_summary FROM fresh_item f, k JOIN clean ON clean.page_id = f.item_id % k.k""")
 def archive_append_clean(t):
     old, batch = split_items(t)
     return ingest.with_clean_summary(ingest.new_items(batch, old)).select("item_id", "canonical_url", "title", "raw_summary")

@@ -36,19 +36,25 @@ def canonical_urls(t):
     return t.raw("pages").select("page_id", urls.canonicalize_url(F.col("url")).alias("canonical_url"))
 
 
+_entities = [
+    ("nbsp", " "), ("copy", "©"), ("reg", "®"), ("trade", "™"), ("middot", "·"), ("bull", "•"), ("mdash", "—"), ("ndash", "–"), ("hellip", "…"), ("lsquo", "‘"), ("rsquo", "’"),
+    ("ldquo", "“"), ("rdquo", "”"), ("laquo", "«"), ("raquo", "»"), ("euro", "€"), ("pound", "£"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&"),
+]
+
+
 def clean_sql(x):
     """Cleaned text of markup, or null."""
     out = rf"regexp_replace({x}, '(?is)<!--.*?-->|<(script|style|template)\b.*?</(script|style|template)\s*>', ' ', 'g')"
     out = rf"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
-    for name, value in text.BASIC_ENTITIES:
-        out = f"replace({out}, {s.q(name)}, {s.q(value)})"
+    for name, value in _entities:
+        out = f"replace({out}, '&{name};', {s.q(value)})"
     out = s.strip(rf"regexp_replace(replace({out}, chr(160), ' '), '\s+', ' ', 'g')")
     return f"nullif({out}, '')"
 
 
 @query("B2", f"SELECT page_id, {clean_sql('html')} AS clean_text FROM pages")
 def cleaned_page_text(t):
-    return t.spread("pages").select("page_id", text.clean_summary("html").alias("clean_text"))
+    return t.spread("pages").select("page_id", text.clean_markup(F.col("html")).alias("clean_text"))
 
 
 @query("B2", f"SELECT page_id, {clean_sql('html')} AS clean_text FROM pages")

@@ -121,7 +121,28 @@ def search_candidates(t):
     return search.candidate_pool(cut_lineage(q), docs, POOL, False).select("query_id", "id", F.col("ord").cast("bigint").alias("ord"))
 
 
-@query("C10")
+_endings = ["ational", "ization", "fulness", "ousness", "iveness", "tional", "ements", "ments", "ingly", "edly", "ement", "ness", "ment", "ing", "ies", "ied", "ion", "ed", "ly", "es", "s"]
+
+
+def _stem_sql(w):
+    def cut(e):
+        left = f"substr({w}, 1, length({w}) - {len(e)})"
+        if e in ("ies", "ied"):
+            return f"{left} || 'y'"
+        if e in ("ing", "ed"):
+            return f"CASE WHEN length({left}) > 1 AND substr({left}, -1) = substr({left}, -2, 1) AND contains('bdfgmnprt', substr({left}, -1)) THEN substr({left}, 1, length({left}) - 1) ELSE {left} END"
+        return left
+
+    return "CASE " + " ".join(f"WHEN ends_with({w}, '{e}') AND length({w}) >= {len(e) + 3} THEN {cut(e)}" for e in _endings) + f" ELSE {w} END"
+
+
+@query("C10", rf"""
+WITH ask AS (SELECT query_id, 'must' AS clause, unnest(list_distinct(rule_words)) AS w FROM q_terms WHERE len(rule_words) > 0 UNION ALL SELECT query_id, e, unnest(regexp_split_to_array(e, '[ -]')) FROM (SELECT query_id, unnest(expanded) AS e FROM q_terms)),
+ a AS (SELECT DISTINCT query_id, clause, {_stem_sql('w')} AS stem FROM ask), need AS (SELECT query_id, clause, count(*) AS need FROM a GROUP BY 1, 2),
+ txt AS (SELECT id, 'article' AS field, concat_ws(' ', title, raw_summary) AS x FROM article WHERE published_at IS NULL OR published_at <= {NOW}
+  UNION ALL SELECT n.article_id, 'annotation', n.summary FROM annotation n JOIN article r ON r.id = n.article_id WHERE n.summary IS NOT NULL AND (r.published_at IS NULL OR r.published_at <= {NOW})),
+ w AS (SELECT DISTINCT id, field, unnest(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+')) AS w FROM txt), ix AS (SELECT DISTINCT id, field, {_stem_sql('w')} AS stem FROM w)
+SELECT DISTINCT query_id, id, field FROM (SELECT a.query_id, a.clause, ix.id, ix.field, count(DISTINCT ix.stem) AS got FROM a JOIN ix ON ix.stem = a.stem GROUP BY ALL) JOIN need USING (query_id, clause) WHERE got >= need""")
 def fulltext_matches(t):
     """Stemmed boolean matches of the questions' expressions on title and summary."""
     from newsmart.operators.fulltext import fulltext

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmart.functions import dates, entities, markets, scoring, similarity, text, urls
+from newsmart.operators import fulltext
 
 
 def one(spark, value, fn, typ="string"):
@@ -133,3 +134,24 @@ def test_country_codes(spark, raw, want):
 )
 def test_source_labels(spark, raw, family, tier, weight):
     assert [one(spark, raw, f) for f in (entities.family_label, entities.tier_label, entities.tier_weight)] == [family, tier, weight]
+
+
+MARKUP = [
+    "<p>A &amp; B</p>", "x &amp;lt;b&amp;gt; y", "R&D at AT&T &amp; co", "caf&eacute; &#8211; &#x2014; &#039;q&#39;", "&#150; old dash", "&copy2024 &copy; 2024", "&hearts; &amp;hearts;", "a < b and c > d", "<a title='x>y' href=\"u\">link</a>!",
+    "<!DOCTYPE html><html><body>t<br/>u</body>", "a<!-- c <b> -->b", "<script>if (a < b) { '</p>' }</script>z", "<style>p{}</style><SCRIPT src=x></SCRIPT>ok", "<template><p>no</p></template>yes", "<p>broken <b", "&nbsp; &ensp;  ", "", "plain",
+    "un&zwj;known &bogus; ref", "<title>a &amp; b</title>", "<?php x ?>y", "<img alt=it's>z", "  x y \r\n z", "<!-->x-->y", "&#xD800; &#0; &#1114112;", "5 &lt 6 &gt7", "<div\nclass='a'\n>multi\nline</div>", "&AMP; &Eacute;&oelig;",
+]
+
+
+def test_native_cleaner_equals_the_parser(spark):
+    rows = spark.createDataFrame(list(enumerate(MARKUP)), "i int, x string")
+    got = rows.select("x", text.clean_summary("x").alias("want"), text.clean_markup(F.col("x")).alias("got"), text.is_plain_markup(F.col("x")).alias("plain"), text.clean_summary_native(F.col("x")).alias("native")).collect()
+    assert [(r["x"], r["got"]) for r in got] == [(r["x"], r["want"]) for r in got]
+    assert [(r["x"], r["native"]) for r in got if r["plain"]] == [(r["x"], r["want"]) for r in got if r["plain"]]
+    assert sum(r["plain"] for r in got) >= 15
+
+
+def test_stem(spark):
+    words = {"running": "run", "cities": "city", "studied": "study", "falling": "fall", "banks": "bank", "nations": "nation", "movements": "mov", "ring": "ring", "is": "is", "hopefulness": "hope", "markets": "market", "planned": "plan"}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", fulltext.stem(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in rows} == words
