@@ -1,9 +1,12 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
 The fixed patterns give seed entities. Words left of an entity form lexical patterns (one word, two words); identifier-like
-tokens elsewhere in the corpus are the other instances. In each round a pattern's confidence for a kind is the mean score
-of its distinct instances, and an instance scores 1 - product(1 - confidence) over its accepted patterns. Seeds keep
-score 1. After the last round, tokens that stand in an accepted pattern and score high are new spans ``like_<kind>``.
+tokens elsewhere in the corpus are the other instances. In each round a pattern's confidence for a kind is the mass of its
+instances of that kind (seeds count 1, discovered ones their score) over that mass, its seeds of other kinds and its
+instances whose length is not the kind's (beside half to twice the seeds' mean). Unseen instances that could be of the kind
+do not count against it, so what there is to discover does not keep it from being discovered. An instance scores
+1 - product(1 - confidence) over its accepted patterns. After the last round, tokens of the kind's length that stand in
+an accepted pattern and score high are new spans ``like_<kind>``.
 The graph grows with the identifiers of the corpus, and each round is two grouped sums over it.
 
 Defined results: null and empty texts have no spans; equal rows have equal results; null ids are kept. DataFrame
@@ -35,7 +38,7 @@ def luhn(number: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
-def base_matches(docs: DataFrame, context: int = 0) -> DataFrame:
+def base_matches(docs: DataFrame, context: bool = False) -> DataFrame:
     text = F.col("text")
     digit = text.rlike("[0-9]")
     found = matches(docs, [("email", EMAIL, text.contains("@")), ("ip", IP, digit & text.contains(".")), ("card", CARD, digit), ("phone", PHONE, text.contains("+"))], context)
@@ -48,42 +51,50 @@ def base_matches(docs: DataFrame, context: int = 0) -> DataFrame:
 
 def _contexts(rows: DataFrame) -> DataFrame:
     """A row per lexical pattern of an occurrence: the last word to its left, and the last two."""
-    words = F.filter(F.split(F.regexp_replace(F.lower("left"), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    n = F.size("_w")
-    one = F.when(n >= 1, F.element_at("_w", -1))
-    two = F.when(n >= 2, F.concat_ws(" ", F.element_at("_w", -2), F.element_at("_w", -1)))
-    return rows.withColumn("_w", words).withColumn("pattern", F.explode(F.array_compact(F.array(one, two)))).drop("_w", "left")
+    two = F.when(F.col("far").isNotNull(), F.concat_ws(" ", "far", "near"))
+    return rows.withColumn("pattern", F.explode(F.array_compact(F.array("near", two)))).drop("near", "far")
 
 
 def bootstrap(base: DataFrame, tokens: DataFrame, rounds: int = 3, bar: float = 0.8, support: int = 5) -> DataFrame:
-    """Spans of identifiers that high-confidence patterns discover. Both inputs carry ``left``."""
+    """Spans of identifiers that high-confidence patterns discover. Both inputs carry ``near`` and ``far``."""
     token = F.regexp_replace("value", r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}]+$", "")
     lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+@]+", 0))
     other = uncovered(tokens, base).withColumn("start", F.col("start") + lead).withColumn("value", token).withColumn("end", F.col("start") + F.length("value")).where("value <> ''")
     seen = stored(_contexts(base.withColumn("seed", F.col("kind")).unionByName(other.withColumn("seed", F.lit(None).cast("string")))))
-    edges = seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    score = edges.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    seeds, good = score, None
+    edges = seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")).withColumn("len", F.length("value"))
+    lengths = edges.where("seed is not null").select("value", "seed", "len").distinct().groupBy("seed").agg(F.avg("len").alias("usual")).collect()  # one row per kind
+    each = [F.struct(F.lit(r["seed"]).alias("kind"), F.col("len").between(r["usual"] / 2, r["usual"] * 2).alias("fits")) for r in sorted(lengths)]
+    each = F.array(*each) if each else F.expr("cast(array() as array<struct<kind:string,fits:boolean>>)")
+    # what speaks for and against (pattern, kind), for patterns with a seed of any kind
+    seeds = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).cast("double").alias("seeds"))
+    known = seeds.groupBy("pattern").agg(F.sum("seeds").alias("all_seeds"))
+    unseen = stored(edges.where("seed is null").select("pattern", "value", F.explode(each).alias("k")).select("pattern", "value", "k.kind", "k.fits"))
+    against = unseen.where("not fits").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("odd"))
+    score, good = None, None
     for _ in range(rounds):
-        # only patterns with a scored instance have a confidence at all
-        weight = edges.join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("seed").alias("seeds"))
-        good = weight.join(sizes, "pattern").where((F.col("seeds") >= support) & (F.col("mass") / F.col("n") >= bar)).select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("conf"))
-        good = stored(good)
-        new = edges.where("seed is null").join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
-        score = stored(seeds.unionByName(new))
-    best = seen.where("seed is null").join(good.select("pattern", F.col("kind").alias("like")), "pattern").join(score.where(F.col("score") >= bar).select("value", F.col("kind").alias("like")), ["value", "like"])
+        mass = seeds
+        if score is not None:
+            found = unseen.where("fits").join(score, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("seeds"))
+            mass = mass.unionByName(found).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
+        own = seeds.withColumnRenamed("seeds", "own")
+        x = mass.join(own, ["pattern", "kind"], "left").join(known, "pattern", "left").join(against, ["pattern", "kind"], "left")
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        contrary = zero(F.col("all_seeds")) - zero(F.col("own")) + zero(F.col("odd"))
+        good = stored(x.where((F.col("seeds") >= support) & (F.col("seeds") / (F.col("seeds") + contrary) >= bar)).select("pattern", "kind", (F.col("seeds") / (F.col("seeds") + contrary + 1)).alias("conf")))
+        score = stored(unseen.where("fits").join(good, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")))
+    like = F.col("kind").alias("like")
+    best = seen.where("seed is null").drop("kind").join(good.select("pattern", like), "pattern").join(score.where(F.col("score") >= bar).select("value", like), ["value", "like"])
     return best.select(*KEY, F.concat(F.lit("like_"), "like").alias("kind"), "value", "start", "end").distinct()
 
 
 def personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> keyed texts, and spans: doc_id, h, kind, value, start, end, base."""
     texts = keyed(docs)
-    base = base_matches(texts, context=48)
-    tokens = matches(texts, [("token", TOKEN, F.col("text").rlike("[0-9@]"))], context=48)
+    base = base_matches(texts, context=True)
+    tokens = matches(texts, [("token", TOKEN, F.col("text").rlike("[0-9@]"))], context=True)
     base = stored(base)
     extra = bootstrap(base, tokens)
-    return texts, base.drop("left").withColumn("base", F.lit(True)).unionByName(extra.withColumn("base", F.lit(False)))
+    return texts, base.drop("near", "far").withColumn("base", F.lit(True)).unionByName(extra.withColumn("base", F.lit(False)))
 
 
 def scan(docs: DataFrame) -> DataFrame:

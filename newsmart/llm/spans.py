@@ -21,23 +21,46 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def matches(docs: DataFrame, kinds: Iterable[tuple[str, str, Column]], context: int = 0) -> DataFrame:
-    """kinds: (name, pattern, cheap condition a text must meet) -> doc_id, h, kind, value, start, end[, left context].
+TAIL = 200
 
-    ``docs`` comes from ``keyed``. The condition must hold for every text with a match.
+
+def lexical(text: Column) -> Column:
+    """Lower-case words, without those that stand in a token with a digit or @."""
+    plain = F.regexp_replace(F.lower(text), r"\S*[0-9@]\S*", " ")
+    return F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: w != "")
+
+
+def last_words(gap: Column) -> Column:
+    """The last two lexical words of a text, last one last. The end is tried first; what it cuts in two is not a word."""
+    words = lexical(F.regexp_replace(F.substring(gap, -TAIL, TAIL), r"^\S+", ""))
+    return F.slice(F.reverse(F.when((F.length(gap) <= TAIL) | (F.size(words) < 2), lexical(gap)).otherwise(words)), 1, 2)
+
+
+def matches(docs: DataFrame, kinds: Iterable[tuple[str, str, Column]], context: bool = False) -> DataFrame:
+    """kinds: (name, pattern, cheap condition a text must meet) -> doc_id, h, kind, value, start, end[, near, far].
+
+    ``docs`` comes from ``keyed``. The condition must hold for every text with a match. With ``context``: the last word left of
+    the match (near) and the one before it (far), whatever matches stand between; null where there are none.
     """
-    none = F.expr("cast(array() as array<struct<kind:string,gap:int,value:string,left:string>>)")
+    none = F.expr("cast(array() as array<struct<kind:string,gap:int,value:string,left:array<string>>>)")
     found = []
     for name, pattern, possible in kinds:
         pairs = F.arrays_zip(F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), 0))
-        rows = F.transform(pairs, lambda z: F.struct(F.lit(name).alias("kind"), F.length(z["0"]).alias("gap"), z["1"].alias("value"), F.substring(z["0"], -max(context, 1), max(context, 1)).alias("left")))  # noqa: B023 (called at once)
+        left = (lambda z: last_words(z["0"])) if context else (lambda z: F.array().cast("array<string>"))
+        rows = F.transform(pairs, lambda z: F.struct(F.lit(name).alias("kind"), F.length(z["0"]).alias("gap"), z["1"].alias("value"), left(z).alias("left")))  # noqa: B023 (called at once)
         found.append(F.when(possible & F.col("text").rlike(pattern), F.filter(rows, lambda r: r["value"].isNotNull())).otherwise(none))
     hit = docs.select(*KEY, F.posexplode(F.concat(*found)).alias("at", "m")).select(*KEY, "at", "m.kind", "m.gap", "m.value", "m.left").dropDuplicates([*KEY, "kind", "at"])
-    before = Window.partitionBy(*KEY, "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(*KEY, "kind").orderBy("at")
+    before, upto = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("value")
     start = F.coalesce(F.sum(F.col("gap") + size).over(before), F.lit(0)) + F.col("gap")
     out = hit.withColumn("start", start).withColumn("end", F.col("start") + size)
-    return out.select(*KEY, "kind", "value", "start", "end", *(["left"] if context else []))
+    if not context:
+        return out.select(*KEY, "kind", "value", "start", "end")
+    last = F.get("left", 0)
+    far = F.coalesce(F.get("left", 1), F.last(last, ignorenulls=True).over(before))  # of a gap with one word: the word before that gap
+    out = out.withColumn("pair", F.when(last.isNotNull(), F.struct(last.alias("near"), far.alias("far"))))
+    return out.withColumn("pair", F.last("pair", ignorenulls=True).over(upto)).select(*KEY, "kind", "value", "start", "end", "pair.near", "pair.far")
 
 
 def digits(column: Column) -> Column:

@@ -254,6 +254,27 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert got[50] == "like_phone:20:31" and got[51] == ""
 
 
+@pytest.mark.parametrize("ratio", [0.25, 1, 4])
+def test_bootstrap_recall_at_several_ratios_to_the_seeds(spark, ratio):
+    rng = random.Random(int(ratio * 4))
+    code = lambda: f"0{rng.randint(100, 999)}-{''.join(rng.choice('ABCDEFGH') for _ in range(5))}{rng.randint(0, 9)}"
+    frames = ["please call our hotline {} now", "you may call the hotline {} or write", "fax number {} of the office"]
+    seeds = [(i, rng.choice(frames).format(f"+1 (555) 01{rng.randint(0, 9)}-{1000 + i}")) for i in range(40)]
+    hidden = [(1000 + i, rng.choice(frames).format(code())) for i in range(int(40 * ratio))]
+    noise = [(5000 + i, f"the room {rng.randint(1, 99)} of {rng.choice(['house', 'floor', 'unit'])} {code()} is open") for i in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(spark.createDataFrame(seeds + hidden + noise, "doc_id long, text string")).collect()}
+    found = [i for i, t in hidden if "like_phone:" in got[i]]
+    assert len(found) >= 0.9 * len(hidden)
+    assert not any("like_" in got[i] for i, _ in noise)
+
+
+def test_bootstrap_context_is_not_cut(spark):
+    seen = [(i, f"{'x' * 300} please call hotline +1 (555) 010-{1000 + i} now") for i in range(12)]
+    texts = seen + [(50, "hotline 0800-REACH7 0800-REACH8"), (51, "hotline 2 0800-REACH9"), (52, "call " + "y" * 400 + " hotline 0800-REACH1")]
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[50] == "like_phone:8:19,like_phone:20:31" and got[51] == "like_phone:10:21" and got[52] == "like_phone:414:425"
+
+
 def test_url_rules(spark):
     urls = ["http://a.ORG/x", "https://example.org/es/1", "http://m.example.org/en/12?q", "http://notexample.org/es/", "http://x.com/fr/", "http://x.com/de/#t", "http://x.org", "no url", None, "http://spam-farm.net/", "http://spam-farms.net/", "ftp://h/login/a"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(None, urls[0], "x")], "page_id long, url string, host string")
