@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +36,16 @@ PIECE = 1 << 19
 WORDED = r"[^\x20\x09-\x0D]"
 
 
-@lru_cache(4)
-def _table(size: int, base: int) -> np.ndarray:
-    return powers(size, base)
+_TABLES: dict[int, np.ndarray] = {}  # a worker's own: empty when functions are sent
 
 
 def _powers(n: int, base: int) -> np.ndarray:
     """The first n powers; tables are kept for pieces of the usual size."""
-    return (_table(2 * PIECE, base) if n <= 2 * PIECE else powers(n, base))[:n]
+    if n > 2 * PIECE:
+        return powers(n, base)[:n]
+    if base not in _TABLES:
+        _TABLES[base] = powers(2 * PIECE, base)
+    return _TABLES[base][:n]
 
 
 def shingles(data: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,6 @@ def most_different(lo: int, hi: int, threshold: Fraction) -> int:
     return apart(hi, math.floor(hi / threshold)) + 2  # rounding moves it by less than 2
 
 
-@lru_cache
 def layout(threshold: Fraction) -> list[tuple[int, int, int, int, int]]:
     """(least size, greatest size, column blocks, empty blocks allowed, number) of every size class up to 2^31.
 
