@@ -42,8 +42,8 @@ _SHARED: dict[tuple, object] = {}
 
 
 def shared(t: Tables, name: str, make: Callable[[], object]):
-    """A checkpointed intermediate that several queries of one session read."""
-    key = (t.spark.sparkContext.applicationId, t.path, name)
+    """A checkpointed intermediate that several queries of one session read, as long as the tables' files stay the same."""
+    key = (t.spark.sparkContext.applicationId, t.path, t.version(), name)
     if key not in _SHARED:
         _SHARED[key] = make()
     return _SHARED[key]

@@ -52,6 +52,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def version(self) -> int:
+        """A digest of the names, sizes and times of the folder's files: other data, another version."""
+        conf, path = self.spark._jsc.hadoopConfiguration(), self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files, found = path.getFileSystem(conf).listFiles(path, True), []
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return hash(tuple(sorted(found)))
+
     def spread(self, name: str) -> DataFrame:
         """The table over at least as many partitions as there are cores.
 

@@ -15,6 +15,7 @@ SAMPLE = [
     "canonical_urls", "title_fingerprints", "local_day_bounds", "title_entities", "queue_priorities", "balanced_feed", "section_feed", "queue_status",
     "source_health", "archive_append", "ingest_summary", "registry_upsert", "annotation_upsert", "reading_list", "pair_similarity", "article_caps",
     "article_sections", "entity_resolution", "market_affinity", "year_statistics", "candidate_partner_counts", "expanded_queries", "gold_pairs",
+    "streamed_counters", "streamed_job_states", "versioned_cluster_members", "category_mappings", "freshness_stages", "archive_append_clean", "gold_classification",
 ]
 
 
@@ -52,3 +53,14 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(names) == cols
     want = sorted((tuple(_norm(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
     assert got == want
+
+
+def test_shared_results_follow_the_files(spark, tmp_path):
+    from newsmart.plans.registry import shared
+    from newsmart.sources.bind import Tables
+
+    spark.range(3).write.parquet(str(tmp_path / "events.parquet"))
+    count = lambda: shared(Tables(spark, str(tmp_path)), "events", lambda: Tables(spark, str(tmp_path)).raw("events").count())
+    assert count() == 3
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert count() == 5
