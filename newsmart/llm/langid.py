@@ -159,11 +159,11 @@ def most_bits(texts: dict[str, list[bytes]]) -> np.ndarray:
     return bounds
 
 
-def _scorer(docs: DataFrame, learn, sample_docs: int, sample_bytes: int):
-    """Function of an Arrow batch with text and letters to (language, score, whether the language explains it) of its rows."""
+def _scorer(docs: DataFrame, learn, sample_docs: int, sample_bytes: int, bounded: bool = False):
+    """Function of an Arrow batch with text and letters to (language, score, whether the language explains it, if ``bounded``) of its rows."""
     texts = sample(docs, learn, sample_docs, sample_bytes)
     model = docs.sparkSession.sparkContext.broadcast(vars(train(texts)) if texts else None)  # bounded by the sample
-    most = most_bits(texts)
+    most = most_bits(texts) if bounded else np.full(len(texts), np.inf)
 
     def of(batch):
         m = Model(**model.value) if model.value else None
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, learn, sample_docs: int = 150, sample_bytes: int =
 def in_known_language(docs: DataFrame, learn, least: float = 0.5, sample_docs: int = 150, sample_bytes: int = 20_000) -> DataFrame:
     """The documents in one of the learnt languages, with all their columns: the score is at least ``least``, and the code
     length a byte is one that texts of the language have, so other languages, program code and junk go."""
-    scored = _scorer(docs, learn, sample_docs, sample_bytes)
+    scored = _scorer(docs, learn, sample_docs, sample_bytes, bounded=True)
 
     def work(batches):
         for batch in batches:
