@@ -115,6 +115,32 @@ def test_clusters_equal_brute_force(spark, monkeypatch):
     assert {r["id"]: r["label"] for r in clusters.assign(feats, 0.70).collect()} == want
 
 
+def test_unlikely_pairs_are_ruled_out_inside_the_join(spark):
+    """Every linked pair passes the glance on one of its common keys; hardly any other pair does, so blocks are not written out."""
+    rnd = random.Random(8)
+    names = ["Nation", "Nations", "Ationland", "Acme", "Acmeland", "Acme Corp", "Ouwhea", "Thouwhea", "Fed", "Le"]
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))
+    base = [[word() for _ in range(rnd.randint(2, 14))] for _ in range(25)]
+    rows = []
+    for i in range(1, 260):
+        w = [x if rnd.random() < 0.8 else word() for x in rnd.choice(base)]
+        e = " and ".join(rnd.sample(names, rnd.randint(0, 4)))
+        rows.append((i, rnd.randint(1, 8), " ".join(w) + (" at " + e if e else ""), 0, rnd.choice(["Energy", "World", "Sports", "Health"])))
+    sets = pairs.nodes(pairs.features(articles(spark, rows), sources(spark)))[2].localCheckpoint()
+    side = lambda p: sets.join(pairs.glances(sets), "sig").select(F.col("sig").alias(f"s{p}"), F.col("f").alias(f"f{p}"), F.col("g").alias(f"g{p}"))
+    every = side(1).crossJoin(side(2)).where("s1 < s2").localCheckpoint()
+    linked = every.where(pairs.compatible(F.col("f1.cat"), F.col("f2.cat")) & pairs.is_edge(pairs.static_score(F.col("f1"), F.col("f2")), F.lit(1.0), 0.70))
+    keys = pairs.candidate_keys(sets.select("sig", "part", "f.*"), 0.70).localCheckpoint()
+    a = keys.where("probe").select("key", "kind", "need", F.col("sig").alias("a"), F.col("size").alias("za"), F.col("rn").alias("ra"))
+    b = keys.select("key", F.col("sig").alias("b"), F.col("size").alias("zb"), F.col("rn").alias("rb"))
+    met = a.join(b, "key").where((F.col("a") != F.col("b")) & (F.col("za") <= F.col("zb")) & pairs.within_reach(F.col("za"), F.col("ra"), F.col("zb"), F.col("rb"), F.col("need")))
+    met = met.select(F.least("a", "b").alias("s1"), F.greatest("a", "b").alias("s2"), "kind").distinct().localCheckpoint()
+    kept = met.join(every, ["s1", "s2"]).where(pairs.could_link(F.col("g1"), F.col("g2"), F.col("kind"), 0.70)).select("s1", "s2").distinct()
+    want, got = {tuple(r) for r in linked.select("s1", "s2").collect()}, {tuple(r) for r in kept.collect()}
+    assert len(want) > 100 and want <= got
+    assert len(got) < 0.5 * met.select("s1", "s2").distinct().count()
+
+
 def test_same_title_far_apart_stays_apart(spark):
     a = articles(spark, [(1, 1, "Port of Rotterdam closes", 0, "Energy"), (2, 2, "Port of Rotterdam closes", 47, "Energy"), (3, 3, "Port of Rotterdam closes", 96, "Energy")])
     got = {r["id"]: r["label"] for r in clusters.assign_articles(a, sources(spark), None).collect()}
