@@ -151,6 +151,12 @@ def test_native_cleaner_equals_the_parser(spark):
     assert sum(r["plain"] for r in got) >= 15
 
 
+@pytest.mark.parametrize("raw, want", [("<title>a &amp;&amp</title><p>b", "a &&amp b"), ("5 &lt 6 &copy2024 &amp;gt x", "5 &lt 6 &copy2024 &gt x"), ("&notit; &not;it;", "&notit; ¬it;")])
+def test_references_without_a_semicolon_stay_text(spark, raw, want):
+    assert one(spark, raw, text.clean_summary) == want
+    assert one(spark, raw, text.clean_markup) == want
+
+
 def test_stem(spark):
     words = {"running": "run", "cities": "city", "studied": "study", "falling": "fall", "banks": "bank", "nations": "nation", "movements": "mov", "ring": "ring", "is": "is", "hopefulness": "hope", "markets": "market", "planned": "plan"}
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", fulltext.stem(F.col("w")).alias("s")).collect()
