@@ -167,3 +167,12 @@ def test_late_arrivals_are_counted(spark, tmp_path):
     days(0, 90).write.mode("append").parquet(src)
     want = freshness.window_counts(days(90, 0, 90), "ts", "kind")
     assert sorted(map(tuple, run().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    from newsmart.sources.bind import Tables
+
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    q = Tables(spark, str(tmp_path / "many")).stream("documents").writeStream.format("memory").queryName("many_files").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("many_files").count() == 10
