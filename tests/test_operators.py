@@ -420,3 +420,24 @@ def test_coverage_funnel(spark):
     assert got["7D"] == (5, 4, 80.0) and got["14D"] == (12, 11, 91.67) and got["All-Time"] == (28, 24, 85.71) and got["NEEDS REVISION"][0] == 1
     full = spark.createDataFrame([(i, "c") for i in range(1, 41)], "id long, cluster_id string")
     assert "PASS" in {r["name"] for r in audits.coverage_funnel(a, n, full, named, linked, dates.ts(str(T0))).collect()}
+
+
+def test_newest_slices_give_the_pool_of_the_whole_scope(spark, monkeypatch):
+    """Common words are done in the newest articles, rare ones and short scopes read on; matches outside the slices are not made."""
+    from newsmart.operators import search
+
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, ts(-(i * 2 % 997)), " ".join(rnd.choice(["oil", "gold", "rates", "fed"]) for _ in range(3)) + (" rare" if i % 50 == 0 else ""), "") for i in range(600)],
+                                 "id long, at timestamp, core string, extra string")
+    asks = [(1, ["oil"], None, None), (2, ["rare"], None, None), (3, ["rare", "gold"], None, ts(-200)), (4, ["fed"], ts(-60), ts(-30)), (5, [], None, None), (6, ["absent"], None, None), (7, ["rates"], ts(-900), ts(-100))]
+    q = spark.createDataFrame(asks, "query_id long, tokens array<string>, from_at timestamp, to_at timestamp")
+    run = lambda: {tuple(r) for r in search.candidate_pool(q, docs, 5, False).select("query_id", "id", "ord").collect()}
+    monkeypatch.setattr(search, "SLICES", ())
+    want = run()
+    made, real = [], search.matches
+    monkeypatch.setattr(search, "matches", lambda d, w: (made.append((d.count(), {r["token"] for r in w.select("token").distinct().collect()})), real(d, w))[1])
+    for slices in ((2, 8), (8,)):
+        monkeypatch.setattr(search, "SLICES", slices)
+        got = run()
+        assert got == want and len(want) >= 22, (len(got), len(want), sorted(got ^ want)[:8])
+    assert made[0][0] < 600 and all("oil" not in words for rows, words in made if rows == 600)
