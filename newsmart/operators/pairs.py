@@ -18,6 +18,7 @@ from newsmart.operators.joins import is_small, with_source
 from newsmart.session import cut_lineage
 
 WINDOW_US = 48 * 3600 * 1_000_000
+HOUR_US = 3600 * 1_000_000
 BIT_WORDS = 8  # of 64 bits of token hashes
 FEATURE_ROWS = 50_000  # feature sets broadcast to the scoring tasks; above it they are joined by shuffle
 
@@ -148,28 +149,32 @@ def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
 def partner_counts(feats: DataFrame) -> DataFrame:
     """How many candidate partners each article has: within 48 hours and of a compatible category.
 
-    Counted, not paired. Articles first collapse to one count per category and instant; a running
-    sum over two-day slices with their neighbours then reads the 48-hour window on both sides.
+    Counted, not paired. Articles first collapse to one count per category and instant. What lies in the window of an instant is
+    what has begun by its end less what had begun before its start: a running total by the hour plus a count inside one hour,
+    so that no frame slides over two days of rows.
     """
     broad = F.col("cat").isin(["", *lx.BROAD_CATEGORIES])
     points = feats.select("id", "at_us", F.col("f.cat").alias("cat"))
-    per = points.groupBy("cat", "at_us").agg(F.count(F.lit(1)).alias("n"))
+    per = points.where(F.col("at_us").isNotNull()).groupBy("cat", "at_us").agg(F.count(F.lit(1)).alias("n"))
     everyone = per.groupBy("at_us").agg(F.sum("n").alias("n")).withColumn("lane", F.lit("*"))
     wide = per.where(broad).groupBy("at_us").agg(F.sum("n").alias("n")).withColumn("lane", F.lit("broad"))
     own = per.where(~broad).select("at_us", "n", F.concat(F.lit("c:"), "cat").alias("lane"))
     lanes = everyone.unionByName(wide).unionByName(own)
     # queries: a broad article asks about everyone; another asks its own category and the broad ones
-    asks = per.select(
-        "cat", "at_us",
-        F.explode(F.when(broad, F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("c:"), "cat"), F.lit("broad")))).alias("lane"),
-    )
-    slot = F.floor(F.col("at_us") / WINDOW_US)
-    data = lanes.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))).select("lane", "slot", "at_us", "n", F.lit(None).cast("string").alias("cat"))
-    ask = asks.withColumn("slot", slot).select("lane", "slot", "at_us", F.lit(0).cast("bigint").alias("n"), "cat")
-    near = Window.partitionBy("lane", "slot").orderBy("at_us").rangeBetween(-WINDOW_US, WINDOW_US)
-    seen = data.unionByName(ask).withColumn("near", F.sum("n").over(near)).where(F.col("cat").isNotNull())
-    total = seen.groupBy("cat", "at_us").agg((F.sum("near") - 1).alias("partners"))
-    return points.join(total, ["cat", "at_us"]).select("id", "partners")
+    lane = F.explode(F.when(broad, F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("c:"), "cat"), F.lit("broad")))).alias("lane")
+    # at one instant the start of a window comes before the articles and its end after them
+    place = lambda us, turn, sign: F.struct((F.col("at_us") + us).alias("pos"), F.lit(turn).alias("turn"), F.lit(sign).alias("sign"))
+    ends = F.explode(F.array(place(-WINDOW_US, 0, -1), place(WINDOW_US, 2, 1))).alias("end")
+    asks = per.select("cat", "at_us", lane).select("lane", "cat", "at_us", ends).select("lane", "end.*", F.lit(0).cast("bigint").alias("n"), "cat", "at_us")
+    data = lanes.select("lane", F.col("at_us").alias("pos"), F.lit(1).alias("turn"), F.lit(0).alias("sign"), "n", F.lit(None).cast("string").alias("cat"), F.lit(None).cast("bigint").alias("at_us"))
+    line = data.unionByName(asks).withColumn("hour", F.floor(F.col("pos") / HOUR_US))
+    hours = line.groupBy("lane", "hour").agg(F.sum("n").alias("n"))  # one row per lane and hour
+    before = Window.partitionBy("lane").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("lane", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("prior"))
+    inside = Window.partitionBy("lane", "hour").orderBy("pos", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = line.withColumn("c", F.sum("n").over(inside)).where("turn <> 1").join(hours, ["lane", "hour"])
+    total = seen.groupBy("cat", "at_us").agg((F.sum(F.col("sign") * (F.col("c") + F.col("prior"))) - 1).alias("partners"))
+    return points.join(total, ["cat", "at_us"], "left").select("id", F.coalesce("partners", F.lit(0)).alias("partners"))
 
 
 def bounds(threshold: float) -> tuple[float, float, float]:

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsmart import lexicon as lx
 from newsmart.functions import dates
 from newsmart.operators import annotations, archive, audits, clusters, daily, evaluate, evidence, feeds, graph, neighbours, pairs, saved, selection, signals, suppress, windows
 from newsmart.session import cut_lineage
@@ -166,6 +167,22 @@ def test_long_titles_with_common_words_are_not_written_out(spark):
     assert len(got) < 1.2 * len(want) < 0.2 * met.select("s1", "s2").distinct().count()  # the glance alone leaves 1,004 of 1,900
 
 
+def test_partner_counts_slide_no_frame(spark):
+    """Counts in a window of two days on either side equal all pairs, at its very ends too, without a frame that slides over rows."""
+    rnd = random.Random(5)
+    cats = ["", "world", "energy", "sports", "business"]
+    day, rows = 86_400_000_000, []
+    for i in range(1, 200):
+        at = rnd.choice([rnd.randint(0, 12) * day, rnd.randint(0, 12 * day), -day + rnd.randint(0, 3)])
+        rows.append((i, at, rnd.choice(cats)))
+    feats = spark.createDataFrame(rows, "id long, at_us long, cat string").select("id", "at_us", F.struct("cat").alias("f"))
+    broad = {"", *lx.BROAD_CATEGORIES}
+    fits = lambda a, b: a[0] != b[0] and abs(a[1] - b[1]) <= 2 * day and (a[2] == b[2] or a[2] in broad or b[2] in broad)
+    counts = pairs.partner_counts(feats)
+    assert {r["id"]: r["partners"] for r in counts.collect()} == {a[0]: sum(fits(a, b) for b in rows) for a in rows}
+    assert "specifiedwindowframe(RangeFrame, -" not in counts._jdf.queryExecution().toString()
+
+
 def test_same_title_far_apart_stays_apart(spark):
     a = articles(spark, [(1, 1, "Port of Rotterdam closes", 0, "Energy"), (2, 2, "Port of Rotterdam closes", 47, "Energy"), (3, 3, "Port of Rotterdam closes", 96, "Energy")])
     got = {r["id"]: r["label"] for r in clusters.assign_articles(a, sources(spark), None).collect()}
