@@ -142,6 +142,32 @@ def test_unlikely_pairs_are_ruled_out_inside_the_join(spark):
     assert len(got) < 0.5 * met.select("s1", "s2").distinct().count()
 
 
+def test_features_travel_with_few_pairs_and_blocks_are_dealt_by_either_side(spark, monkeypatch):
+    """Above the broadcast bound outlines rule pairs out before features are joined; no linked pair is lost, and a hot block's rows
+    are repeated for the parts of the other side only, of which there are few."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))
+    names = ["Nation", "Nations", "Acme", "Acmeland", "Acme Corp", "Fed"]
+    base = [[word() for _ in range(rnd.randint(3, 14))] for _ in range(20)]
+    rows = []
+    for i in range(1, 200):
+        w = [x if rnd.random() < 0.8 else word() for x in rnd.choice(base)]
+        e = " and ".join(rnd.sample(names, rnd.randint(0, 3)))
+        rows.append((i, rnd.randint(1, 8), " ".join(w) + rnd.choice(["", "", " 25 bps", " 3%"]) + (" at " + e if e else ""), rnd.randint(0, 120), rnd.choice(["Energy", "World", "Health", None])))
+    feats = pairs.features(articles(spark, rows), sources(spark))
+    sets = pairs.nodes(feats)[2].localCheckpoint()
+    side = lambda p: sets.select(F.col("sig").alias(f"s{p}"), F.col("f").alias(f"f{p}"))
+    every = side("a").crossJoin(side("b")).where("sa < sb").localCheckpoint()
+    linked = every.where(pairs.compatible(F.col("fa.cat"), F.col("fb.cat")) & pairs.is_edge(pairs.static_score(F.col("fa"), F.col("fb")), F.lit(1.0), 0.70))
+    kept = pairs.outlines_link(every.select("sa", "sb"), pairs.outlines(sets), 0.70)
+    want, got = {(r["sa"], r["sb"]) for r in linked.collect()}, {tuple(r) for r in kept.collect()}
+    assert len(want) > 50 and want <= got and len(got) < 0.2 * every.count()
+    monkeypatch.setattr(pairs, "FEATURE_ROWS", 0)
+    assert {r["id"]: r["label"] for r in clusters.assign(feats, 0.70).collect()} == _brute_components(feats, 0.70)
+    parts = spark.createDataFrame([(1,), (2000,), (2001,), (10**9,)], "n long").select(pairs.sub_blocks(F.col("n")).alias("k"))
+    assert [r["k"] for r in parts.collect()] == [1, 1, 2, pairs.MOST_SUBS]
+
+
 def test_long_titles_with_common_words_are_not_written_out(spark):
     """Long titles share frequent words and their entities share pieces; the bounds inside the join leave the linked pairs and few others."""
     rnd = random.Random(11)
