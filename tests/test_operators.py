@@ -509,3 +509,21 @@ def test_newest_slices_give_the_pool_of_the_whole_scope(spark, monkeypatch):
         got = run()
         assert got == want and len(want) >= 22, (len(got), len(want), sorted(got ^ want)[:8])
     assert made[0][0] < 600 and all("oil" not in words for rows, words in made if rows == 600)
+
+
+def test_blocks_are_paired_in_lots_and_shuffle_files_go_with_their_action(spark, monkeypatch):
+    """Lots lose no link, and no shuffle file outlives the action that wrote it, however many lots there are."""
+    rnd = random.Random(13)
+    heads = ["Acme Corp cuts rates 25 bps", "Fed holds rates steady", "Federal Reserve holds steady", "Oil rises 3% in London", "Acmeland unveils phone", "Kushner Moscow Kiev talks", "Talks Kushner in Moscow Kiev"]
+    rows = [(i, rnd.randint(1, 8), rnd.choice(heads) + rnd.choice(["", " today", " again now", " says minister"]), rnd.randint(0, 200), rnd.choice(["Energy", "World", None])) for i in range(1, 120)]
+    feats = cut_lineage(pairs.features(articles(spark, rows), sources(spark)))
+    want = _brute_components(feats, 0.70)
+    passes, one = [], pairs._second_pass
+    monkeypatch.setattr(pairs, "_second_pass", lambda *a: passes.append(1) or one(*a))
+    monkeypatch.setattr(pairs, "LOT_ROWS", 100)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    written = lambda: {f for f in disk.getAllBlocks().mkString(",").split(",") if f.startswith("shuffle_")}
+    before = written()
+    labels = cut_lineage(clusters.assign(feats, 0.70))
+    assert written() <= before
+    assert len(passes) > 2 and {r["id"]: r["label"] for r in labels.collect()} == want
