@@ -134,7 +134,7 @@ WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, p_partkey AS b FROM lineite
 SELECT id, min(root) AS label FROM walk GROUP BY 1""")
 def supply_components(t):
     """The component step on an unrelated graph with long chains."""
-    li = t.raw("lineitem").select("l_partkey", "l_suppkey").distinct()
+    li = t.raw("lineitem").select("l_partkey", "l_suppkey")
     p = t.raw("part").select(F.col("p_partkey").alias("v"))
     e = li.select(F.col("l_partkey").alias("u"), (F.col("l_partkey") + F.col("l_suppkey")).alias("v")).join(p, "v").select("u", "v")
     loops = e.select("u").union(e.select("v")).distinct().select(F.col("u").alias("id"))

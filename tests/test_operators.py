@@ -527,3 +527,24 @@ def test_blocks_are_paired_in_lots_and_shuffle_files_go_with_their_action(spark,
     labels = cut_lineage(clusters.assign(feats, 0.70))
     assert written() <= before
     assert len(passes) > 2 and {r["id"]: r["label"] for r in labels.collect()} == want
+
+
+def test_dense_graph_is_settled_before_the_stars(spark, monkeypatch):
+    """Chains of dense neighbourhoods fall into their roots at once; nothing is left for rounds over all edges."""
+    rnd = random.Random(4)
+    pairs_ = [(u + k, u + k + rnd.randint(1, 9)) for k in (0, 10_000) for u in range(400) for _ in range(8)]
+    edges, left, stars = spark.createDataFrame(pairs_, "u long, v long"), [], graph._stars
+    monkeypatch.setattr(graph, "_stars", lambda e, n: left.append(e.count()) or stars(e, n))
+    root = {x: x for p in pairs_ for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in pairs_:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    got = {r["id"]: r["label"] for r in graph.connected_components(edges).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+    assert left == [0]
