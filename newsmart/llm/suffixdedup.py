@@ -15,6 +15,7 @@ anchors, about one per 18 bytes.
    their smallest document, and sends each class once to its bucket.
 3. A bucket sorts the classes of each anchor; where they differ, it sorts the suffixes at every window offset. Equal
    windows get the smallest document of all. The answer goes back to the blocks that asked.
+   Neither sorts a string whose hash no other of its group has, as that equals none.
 4. A block applies the answers to its documents.
 
 A passage that a third of all documents hold thus costs one row per block. Tasks hold one block or one bucket.
@@ -25,6 +26,7 @@ lose anything; repeated rows of one id do not affect one another; an empty table
 
 from __future__ import annotations
 
+import copy
 import hashlib
 
 import numpy as np
@@ -89,6 +91,40 @@ class Suffixes:
         self.power = powers(len(data) + 1)
         self.total = prefix_hash(data, self.power)
 
+    def at(self, start: np.ndarray, length: np.ndarray) -> Suffixes:
+        """Other substrings of the same bytes."""
+        out = copy.copy(self)
+        out.start, out.length = start, length
+        return out
+
+    def whole(self) -> np.ndarray:
+        """A hash of every substring; equal ones have equal hashes."""
+        return (self.total[self.start + self.length] - self.total[self.start]) * self.power[len(self.data) - self.start]
+
+    def classes(self, *group: np.ndarray) -> np.ndarray:
+        """Number of each substring's class: equal bytes and groups. Numbers follow from the contents, whatever the order of rows.
+
+        A substring whose hash nobody in its group has equals none; only the others are sorted.
+        """
+        key = self.whole()
+        for g in (self.length, *group):
+            key = mixed(key ^ mixed(g.astype(np.uint64) + np.uint64(1)))
+        order = np.argsort(key)
+        twin = np.zeros(len(key) + 1, bool)
+        twin[1:-1] = key[order[1:]] == key[order[:-1]]
+        some = order[twin[1:] | twin[:-1]]
+        by_bytes, equal = self.at(self.start[some], self.length[some]).sorted_groups(_ids(*(g[some] for g in group), self.length[some]))
+        rank = np.zeros(len(key), np.int64)
+        rank[some[by_bytes]] = np.cumsum(~equal)
+        new = np.ones(len(key), bool)
+        new[1:] = ~twin[1:-1]
+        if np.any(twin[1:-1] & (rank[order[1:]] != rank[order[:-1]])):  # a hash collision
+            order = np.lexsort((rank, key))
+            new[1:] |= rank[order[1:]] != rank[order[:-1]]
+        number = np.empty(len(key), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return number
+
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a and b, by binary search over prefix hashes."""
         p, q = self.start[a], self.start[b]
@@ -124,9 +160,14 @@ class Suffixes:
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(g)))
         begin, count = np.repeat(first, size), np.repeat(size, size)
+        # groups of one hash are in order as they stand: they are equal, or sorted by bytes below
+        whole, length = self.whole()[order], self.length[order]
+        apart = (whole != whole[begin]) | (length != length[begin])
+        to_merge = np.where(np.logical_or.reduceat(apart, first), size, 1) if len(size) else size
+        in_runs = np.repeat(to_merge, size)
         width = 1
-        while len(size) and width < size.max():
-            at = np.flatnonzero(count > width)
+        while len(size) and width < to_merge.max():
+            at = np.flatnonzero(in_runs > width)
             inside = at - begin[at]
             run = inside // (2 * width) * (2 * width)
             right = inside - run >= width
@@ -181,14 +222,10 @@ def _ids(*keys: np.ndarray) -> np.ndarray:
 
 
 def classes(data: np.ndarray, h, a, first, last):
-    """(class of each anchor, a member of each class): anchors with equal surroundings. Ordered by hash and bytes."""
-    length = last - first + LENGTH
-    group = _ids(h, a - first, length)
-    order, equal = Suffixes(data, first, length).sorted_groups(group)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(~equal) - 1
+    """(class of each anchor, a member of each class): anchors with equal surroundings. The same in any order of the rows."""
+    number = Suffixes(data, first, last - first + LENGTH).classes(h, a - first)
     member = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
-    member[number[order[::-1]]] = order[::-1]
+    member[number] = np.arange(len(number))
     return number, member
 
 
@@ -320,14 +357,13 @@ def _settle(table: pa.Table) -> pa.Table:
     block = np.repeat(table.column("block").to_numpy(), _sizes(table, "hash"))
     start = np.cumsum(size) - size
     # classes that different blocks share
-    order, equal = Suffixes(data, start, size).sorted_groups(_ids(h, anchor, size))
-    same = np.empty(len(order), np.int64)
-    same[order] = np.cumsum(~equal) - 1
+    text = Suffixes(data, start, size)
+    same = text.classes(h, anchor)
     n = int(same.max(initial=-1)) + 1
     low = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(low, same, least)
     rep = np.zeros(n, np.int64)
-    rep[same[order[::-1]]] = order[::-1]
+    rep[same] = np.arange(len(same))
     # where an anchor has several classes, window by window
     group = _ids(h[rep])
     open_ = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
@@ -336,12 +372,10 @@ def _settle(table: pa.Table) -> pa.Table:
     k = np.arange(len(of)) - np.repeat(np.cumsum(count[open_]) - count[open_], count[open_])
     best = low[of]
     if len(of):
-        places = start[rep[of]] + k
-        order, equal = Suffixes(data, places, np.full(len(of), LENGTH)).sorted_groups(_ids(group[of], anchor[rep[of]] - k))
-        run = np.cumsum(~equal) - 1
-        lowest = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(lowest, run, low[of[order]])
-        best[order] = lowest[run]
+        run = text.at(start[rep[of]] + k, np.full(len(of), LENGTH)).classes(group[of], anchor[rep[of]] - k)
+        lowest = np.full(run.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, run, best)
+        best = lowest[run]
     single = np.setdiff1d(np.arange(n), open_)
     # runs of windows with one smallest document
     new = np.ones(len(of), bool)

@@ -8,6 +8,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,41 @@ def test_suffix_sort_with_collisions(monkeypatch):
         assert equal.tolist() == [False] + [a == b for a, b in zip(key, key[1:])]
 
 
+def test_substrings_without_a_twin_are_not_sorted(monkeypatch):
+    """Documents that share a phrase and nothing around it: few windows are sorted; classes are those of the bytes."""
+    rng = random.Random(5)
+    phrase = prose(rng, 4)[:20]
+    texts = [(prose(rng, 40) + phrase + prose(rng, 40)).encode() for _ in range(60)]
+    texts += texts[:3]
+    data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    at = np.cumsum(size) - size + np.array([t.index(phrase.encode()) for t in texts])
+    start, offset = (at[:, None] - np.arange(30)).ravel(), np.tile(np.arange(30), len(texts))
+    length, group = np.full(len(start), 50), np.zeros(len(start), np.int64)
+    rows, sort = [], suffixdedup.Suffixes.sorted_groups
+    monkeypatch.setattr(suffixdedup.Suffixes, "sorted_groups", lambda self, g: rows.append(len(g)) or sort(self, g))
+    want = [(o, data[p : p + 50].tobytes()) for o, p in zip(offset, start)]
+    for collide in (False, True):
+        s = suffixdedup.Suffixes(data, start, length)
+        if collide:
+            s.total = np.zeros_like(s.total)  # every hash is equal: bytes must settle it
+        number = s.classes(group, offset)
+        assert len(set(zip(number.tolist(), want))) == len(set(want)) == number.max() + 1
+        turn = np.random.default_rng(1).permutation(len(start))
+        assert (suffixdedup.Suffixes.classes(s.at(start[turn], length), group, offset[turn]) == number[turn]).all()
+    assert rows[0] < len(start) / 5
+    rows.clear()
+    ids = np.arange(len(texts))
+    ask = pa.table([pa.array(ids), pa.array(texts), pa.array(np.zeros(len(texts), np.int64))], ["doc_id", "text", "block"])
+    asked = suffixdedup._repeated(suffixdedup._ask(1)(ask))
+    context = suffixdedup._contexts(1)(ask, asked)
+    rows.clear()
+    settled = suffixdedup._settle(context)
+    windows = sum(x - 49 for x in context.column("size").combine_chunks().flatten().to_pylist())
+    assert sum(rows) < windows / 5
+    _, offsets, gone = suffixdedup.removed(ask, pa.concat_tables([asked, settled]).combine_chunks())
+    assert gone[offsets[60] :].all() and not gone[: offsets[3]].any()
+
+
 def brute_components(rows, n, t):
     sets = {}
     for i, text, *_ in rows:
