@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -14,6 +15,8 @@ from newsmart.session import cut_lineage
 
 TILE = 1024  # titles of an edition are compared in tiles of about this many
 FOLDED = 64  # characters are counted in so many cells; folding only loosens the bound
+LONG = 200  # the alignment starts no block at a frequent character of a second text of this length or more
+GRAM, GRAM_CELLS, CHAR_CELLS = 4, 2048, 256
 
 
 def common_subsequence(masks: dict[str, int], n: int, b: str) -> int:
@@ -37,6 +40,56 @@ def _grams(titles: list[str]) -> list[Counter]:
     return [Counter(zip(t, t[1:])) for t in titles]
 
 
+def _codes(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le"), np.uint32)
+
+
+def _seeds(t: str) -> Counter:
+    """Characters at which the alignment starts a block if ``t`` is the second text: all but those of more than 1 % of it."""
+    return Counter({c: n for c, n in Counter(t).items() if n <= len(t) // 100 + 1})
+
+
+def _runs(t: str) -> Counter:
+    return Counter(t[i : i + GRAM] for i in range(len(t) - GRAM + 1))
+
+
+def _block_bound(a: list[str], b: list[str], pairs: np.ndarray) -> np.ndarray:
+    """At least as many characters as the alignment matches, for pairs whose second text is ``LONG`` or more.
+
+    Each block but one at the start of both texts holds a seed, so blocks are at most the common seeds and one; and a block
+    has at most ``GRAM - 1`` characters more than runs of ``GRAM`` characters, which are common. Folding only loosens the bound.
+    """
+    kind = np.uint16 if max(map(len, [*a, *b])) < 1 << 16 else np.uint32
+    mix = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+
+    def runs(t):
+        c = _codes(t)
+        n = max(0, len(c) - GRAM + 1)
+        h = sum((c[k : k + n] * mix[k] for k in range(1, GRAM)), c[:n] * mix[0])
+        return np.bincount((h >> np.uint32(16)) % GRAM_CELLS, minlength=GRAM_CELLS)
+
+    def seeds(t):
+        c, n = np.unique(_codes(t), return_counts=True)
+        few = n <= len(t) // 100 + 1
+        return np.bincount(c[few] % CHAR_CELLS, n[few], CHAR_CELLS)
+
+    def cells(titles, own, count, width):
+        out = np.zeros((len(titles), width), kind)
+        for i in np.unique(own):
+            out[i] = count(titles[i])
+        return out
+
+    one, two = pairs[:, 0], pairs[:, 1]
+    run_a, run_b = cells(a, one, runs, GRAM_CELLS), cells(b, two, runs, GRAM_CELLS)
+    char_a, seed_b = cells(a, one, lambda t: np.bincount(_codes(t) % CHAR_CELLS, minlength=CHAR_CELLS), CHAR_CELLS), cells(b, two, seeds, CHAR_CELLS)
+    out = np.empty(len(pairs), np.int64)
+    for k in range(0, len(pairs), 1024):
+        i, j = one[k : k + 1024], two[k : k + 1024]
+        common = np.minimum(run_a[i], run_b[j]).sum(1, dtype=np.int64)
+        out[k : k + 1024] = common + (GRAM - 1) * (np.minimum(char_a[i], seed_b[j]).sum(1, dtype=np.int64) + 1)
+    return out
+
+
 def _count_bound(a: list[str], b: list[str]) -> np.ndarray:
     """Characters that two titles have in common, at least as many as any alignment matches."""
 
@@ -76,16 +129,27 @@ def similar_pairs(a: list[str], b: list[str], threshold: float) -> tuple[np.ndar
     The matching-blocks ratio is at most twice the common subsequence over both lengths, and that at most the common
     characters. A pair is aligned only if all bounds reach the threshold: the common characters; the common pairs of
     neighbours (every matched block has one less than its length, and there is at most one block more than unmatched
-    characters); and the longest common subsequence.
+    characters); for a long second title the runs of characters and the seeds (``_block_bound``), first folded, then exactly; and
+    the longest common subsequence.
     """
     by_tokens = _jaccard(a, b) >= threshold
     total = np.array([len(t) for t in a])[:, None] + np.array([len(t) for t in b])[None, :]
     ratio = lambda matched, n: 2.0 * matched / n  # as the alignment computes it
     open_ = np.argwhere(~by_tokens & (ratio(_count_bound(a, b), total) >= threshold))
+    long = np.array([len(t) for t in b])[open_[:, 1]] >= LONG
+    if long.any():
+        fits = ~long
+        fits[long] = ratio(_block_bound(a, b, open_[long]), total[tuple(open_[long].T)]) >= threshold
+        open_ = open_[fits]
     grams_a, grams_b, masks, aligned = _grams(a), _grams(b), {}, 0
+    runs, chars, seeds = (functools.cache(f) for f in (_runs, Counter, _seeds))
     found = [np.argwhere(by_tokens)]
     for i, j in open_.tolist():
         n = len(a[i]) + len(b[j])
+        if len(b[j]) >= LONG:
+            matched = (runs(a[i]) & runs(b[j])).total() + (GRAM - 1) * ((chars(a[i]) & seeds(b[j])).total() + 1)
+            if ratio(matched, n) < threshold:
+                continue
         neighbours = (grams_a[i] & grams_b[j]).total()
         if ratio((neighbours + n + 1) // 3, n) < threshold:
             continue
@@ -122,7 +186,9 @@ def similar_titles(titles: DataFrame, threshold: float, tile: int = TILE) -> Dat
         day = table.column("edition_date")[0].as_py()
         return pa.table([pa.array([day] * len(pairs), pa.date32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["edition_date", "a", "b"])
 
-    return met.groupBy("edition_date", "t1", "t2").applyInArrow(work, "edition_date date, a long, b long")
+    by = ["edition_date", "t1", "t2"]  # few bytes and much work: as many tasks as there are partitions
+    met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return met.groupBy(*by).applyInArrow(work, "edition_date date, a long, b long")
 
 
 def kept(rows: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:

@@ -322,6 +322,25 @@ def test_alignment_bounds_lose_no_pair():
     assert suppress.common_subsequence(suppress._masks("abcbdab"), 7, "bdcaba") == 4
 
 
+def test_long_titles_are_ruled_out_by_runs_and_seeds(monkeypatch):
+    """Long titles of common letters: hardly any pair needs the common subsequence, and the result is that of the alignment."""
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("etaoinsr" * 4 + "hldcumfp" + "zqxj") for _ in range(rnd.randint(2, 9)))
+    base = [" ".join(word() for _ in range(rnd.randint(30, 90))) for _ in range(60)]
+    near = ["".join(c for c in t if rnd.random() > share) for t in base[:16] for share in (0.02, 0.1, 0.2)]
+    near += [t[: len(t) // 2] + base[k + 1][len(base[k + 1]) // 2 :] for k, t in enumerate(base[:20])] + ["ete" * 90, "ete" * 70 + "z" * 3, "te" * 120]
+    calls, exact = [], suppress.common_subsequence
+    monkeypatch.setattr(suppress, "common_subsequence", lambda *x: calls.append(1) or exact(*x))
+    titles = base + near
+    got, _ = suppress.similar_pairs(titles, titles, 0.70)
+    token = lambda x, y: len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
+    want = {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles) if token(x, y) >= 0.70 or SequenceMatcher(None, x, y).ratio() >= 0.70}
+    assert set(map(tuple, got.tolist())) == want
+    assert len(calls) < 3 * len(want)
+
+
 def test_rounds_of_suppression_do_not_grow_with_rows(spark, monkeypatch):
     counts = []
     for n in (60, 240):
