@@ -577,3 +577,22 @@ def test_checkpoints_in_a_loop_of_joins_carry_no_estimates(spark):
     plan = low._jdf.queryExecution().logical()
     assert plan.stats().sizeInBytes() < 2**63 and plan.constraints().isEmpty()
     assert {r["u"]: r["m"] for r in low.collect()} == {i: 0 for i in range(64)}
+
+
+def test_feature_sets_of_a_large_archive_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Twelve thousand feature sets are joined by shuffle, not broadcast."""
+    sides, hint = [], F.broadcast
+    monkeypatch.setattr(pairs.F, "broadcast", lambda df: sides.append(df.columns) or hint(df))
+    sets = spark.range(12_000).select(
+        F.col("id").alias("sig"), F.lit("").alias("part"),
+        F.struct(
+            F.array(F.concat(F.lit("w"), "id")).alias("tokens"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("numbers"),
+            *[F.lit(False).alias(c) for c in ("hold", "cut", "hike", "earnings", "launch")], F.lit("").alias("cat"),
+        ).alias("f"),
+    )
+    pair = spark.createDataFrame([(1, 2, 0, 0)], "sa long, sb long, ka long, kb long")
+    n = spark.range(12_000).select(F.col("id").alias("sig"), F.lit(0).cast("long").alias("slot"), F.col("id").alias("node"), *[F.lit(0).cast("long").alias(c) for c in ("lo", "hi", "u_lo", "u_hi")])
+    rows = spark.range(12_000).select("id", F.lit(0).cast("long").alias("at_us"), F.lit(0).cast("long").alias("pub_us"), F.col("id").alias("sig"), F.lit(0).cast("long").alias("slot"))
+    edges, apart = pairs._verified(pair, rows, n, sets, pairs.outlines(sets), 0.70)
+    assert edges.count() == 0 and apart.count() == 1
+    assert sides == []
